@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from . import sharding
+from .classifier import op10_quality_classifier
+from .mixing import op7_source_mixing
 from .quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_sharding": sharding.op8_sharding,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_sharding": sharding.SQL}
