@@ -119,7 +119,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def log_ratios(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     """log(p_trusted / p_raw) of each bucket, from the counts over all documents."""
-    marked = docs.join(trusted_ids(labels), "doc_id", "left").select(
+    marked = docs.hint("merge").join(trusted_ids(labels), "doc_id", "left").select(
         F.coalesce("trusted", F.lit(False)).alias("trusted"), "text"
     )
     kind = "slice int, counts binary"
