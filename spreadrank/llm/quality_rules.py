@@ -29,7 +29,7 @@ from .frames import docs_only, table
 BUCKETS = 1 << 16
 SLICE = 1 << 10
 PRIOR = 20.0
-THRESHOLD = -0.1
+THRESHOLD = -0.07
 _SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
