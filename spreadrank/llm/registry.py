@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from . import sharding
 from .classifier import op10_quality_classifier
+from .decontamination import op6_decontamination
+from .jaccard_join import op2_jaccard_join
 from .mixing import op7_source_mixing
 from .quality_rules import op1_quality_rules
+from .substring_dedup import op3_substring_dedup
+from .token_output import op5_token_output
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_jaccard_join": op2_jaccard_join,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_token_output": op5_token_output,
+    "op6_decontamination": op6_decontamination,
     "op7_source_mixing": op7_source_mixing,
     "op8_sharding": sharding.op8_sharding,
     "op10_quality_classifier": op10_quality_classifier,
