@@ -127,21 +127,21 @@ def _items(benchmark: DataFrame, window: int):
         yield Phrases([(r["i"], r["t"]) for r in block.distinct().collect()], window)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, carry: list[str] | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (start, end in words, merged), items (sorted) of each document.
 
-    ``carry``: columns of docs that come along in a struct ``row``.
+    Of carried() documents, text and row come along.
     """
-    carried = [F.struct(*carry).alias("row")] if carry else []
+    along = ["row"] if "row" in docs.columns else []
     df = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *carried,
+        F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *along,
     )
     schema = df.schema
     for phrases in _items(benchmark, window):
         shared = docs.sparkSession.sparkContext.broadcast(phrases)
         df = df.mapInArrow(_search(shared), schema)
-    return df.drop("text")
+    return df if along else df.drop("text")
 
 
 def _search(shared):

@@ -38,7 +38,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -110,7 +110,7 @@ def most_own(n):
 def _named(batches):
     for b in K.chunks(batches):
         h, at, names = _sets(b)
-        yield pa.RecordBatch.from_pydict({"doc_id": K.column(b, "doc_id"), "node": _names(names), "n": pa.array(np.diff(at).astype(np.int64))})
+        yield pa.RecordBatch.from_pydict({"doc_id": K.column(b, "doc_id"), "text_hash": K.column(b, "text_hash"), "node": _names(names), "n": pa.array(np.diff(at).astype(np.int64))})
 
 
 # -- 1: tokens of one node, on a sample of the tokens ----------------------------------------
@@ -406,10 +406,11 @@ def _links(work: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links (tested links of the document's set) of each document."""
+    """doc_id, text_hash, n_shingles, component_id and n_links (tested links of the document's set) of each document."""
     spark, n = docs.sparkSession, parts(docs.sparkSession)
     docs = docs_only(docs)
-    named = cut(docs.mapInArrow(_named, "doc_id long, node binary, n long"))
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    named = cut(hashed.mapInArrow(_named, "doc_id long, text_hash long, node binary, n long"))
     known = docs.where("doc_id is not null")
     blocks = known.mapInArrow(_sample_blocks(n), _BLOCK).repartitionById(n, F.col("part"))
     left = blocks.mapInArrow(_alone(n), _BLOCK).repartitionById(n, F.col("part")).mapInArrow(_may_link, "node binary, own long")
@@ -442,9 +443,20 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     rows = named.join(classes, "node", "left").withColumn("root", F.when(F.col("doc_id").isNull() | (F.col("n") == 0), None).otherwise(F.coalesce("root", "node")))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Carried() documents without those that link with an earlier one: of each component, the row of its
+    smallest doc_id (of its smallest text hash, once, if several rows have that). Rows of null doc_id stay."""
+    found = jaccard_join(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.min("text_hash").alias("_h"))
+    rows = docs.withColumn("_h", F.xxhash64("text"))
+    kept = rows.where("doc_id is not null").hint("merge").join(found, ["doc_id", "_h"])
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_h").orderBy("doc_id"))
+    kept = kept.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    return kept.unionByName(rows.where("doc_id is null")).drop("_h")

@@ -68,16 +68,17 @@ def phases(blocks: dict, shares: dict) -> dict:
     return out
 
 
-def mix_sources(docs: DataFrame, shares: dict | None = None, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, shares: dict | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, source, size, block, phase, slot, release, deadline and place_in_source of each document.
 
-    Order by slot and place_in_source for the mixed order. ``carry``: columns of docs that come along in a struct ``row``.
+    Order by slot and place_in_source for the mixed order. Of carried() documents, text and row come along.
     """
     spark = docs.sparkSession
+    along = ["text", "row"] if "row" in docs.columns else []
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("row.source" if along else "source").cast("string").alias("source"),
         (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(ROW_BYTES)).cast("long").alias("size"),
-        *([F.struct(*carry).alias("row")] if carry else []),
+        *along,
     )
     lined = with_prefix(rows, ["doc_id", "size"], {"before": F.col("size"), "place_in_source": F.lit(1)}, group="source")
     lined = lined.withColumn("block", F.expr(f"before div {block_bytes}"))
@@ -102,7 +103,7 @@ def mix_sources(docs: DataFrame, shares: dict | None = None, block_bytes: int =
         F.expr("bases[phase] + (_j div share) * _w + slots[phase][cast(_j % share as int)]").alias("slot"),
         F.expr("bases[phase] + (_j * _w) div share").alias("release"),
         F.expr("bases[phase] + ((_j + 1) * _w + share - 1) div share").alias("deadline"),
-        *(["row"] if carry else []),
+        *along,
     )
 
 
