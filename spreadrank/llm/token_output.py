@@ -20,7 +20,6 @@ empty table gives no files. Rows of equal doc_id stand in order of their text.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 
@@ -36,8 +35,7 @@ from .frames import cut, parts, scratch, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SEQUENCE, BATCH = 2048, 128
-CACHE = 400_000
-_UNSAFE = re.compile(r" (?!\S)")
+CACHE = 600_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -51,12 +49,19 @@ class _Pieces(dict):
 
     def __init__(self, encoder, prefix: str):
         super().__init__()
-        self.encoder, self.prefix = encoder, prefix
+        self.encoder, self.prefix, self.older = encoder, prefix, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
+    def __missing__(self, piece: str) -> bytes | None:
+        if len(self) >= CACHE:  # pieces in use come back from the older half
+            self.older = dict(self)
             self.clear()
-        found = self.encoder.whole(self.prefix + piece)
+        if piece in self.older:
+            found = self.older[piece]
+        # a space before white space or an end is no cut: such a text is encoded whole
+        elif self.prefix and (not piece or piece[0].isspace()):
+            found = None
+        else:
+            found = self.encoder.whole(self.prefix + piece)
         if len(piece) <= 64:
             self[piece] = found
         return found
@@ -85,10 +90,13 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _UNSAFE.search(text):
-            return self.whole(text)
         head, *rest = text.split(" ")
-        return (self.first[head] if head else b"") + b"".join(map(self.rest.__getitem__, rest))
+        found, ids = self.rest, []
+        try:
+            ids = [found[piece] for piece in rest]
+            return (self.first[head] if head else b"") + b"".join(ids)
+        except TypeError:  # there was None among them
+            return self.whole(text)
 
 
 def _open(uri: str):
