@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,8 @@ GRAM = WINDOW - PERIOD + 1
 FLUSH = 2_000_000
 LAST = np.iinfo(np.int64).max
 _SHARED = np.iinfo(np.int64).min  # stands for a document in an entry that says "shared already"
-_BLOCK = "part int, owner long, hashes binary, owners binary, counts binary"
-_HITS = "owner long, hashes binary"
+_BLOCK = "part int, told boolean, hashes binary, owners binary, counts binary"
+_HITS = "owner long, told binary"
 
 
 def _groups(values: np.ndarray) -> np.ndarray:
@@ -47,29 +48,32 @@ def _groups(values: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
 
 
-def _by_owner(owner: np.ndarray, h: np.ndarray, sort: bool = True):
-    if sort:
-        order = np.lexsort((h, owner))
-        owner, h = owner[order], h[order]
-    at = _groups(owner)
-    return owner[at[:-1]] if len(owner) else owner, np.diff(at), h
-
+def _blocks(part: np.ndarray, owner: np.ndarray, h: np.ndarray, n_parts: int, told: bool):
+    """Packed (owner, hash) pairs, one row for each part that has any."""
+    order = np.lexsort((h, owner, part))
+    part, owner, h = part[order], owner[order], h[order]
+    cuts = np.searchsorted(part, np.arange(n_parts + 1))
+    rows: dict = {"part": [], "told": [], "hashes": [], "owners": [], "counts": []}
+    for k in np.flatnonzero(np.diff(cuts)):
+        own = slice(cuts[k], cuts[k + 1])
+        at = _groups(owner[own])
+        for name, x in (("part", int(k)), ("told", told), ("hashes", K.pack(h[own])), ("owners", K.pack(owner[own][at[:-1]])), ("counts", K.pack(np.diff(at).astype(np.uint32)))):
+            rows[name].append(x)
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+    whole = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows.values(), kinds, strict=True)], names=list(rows))
+    for i in range(0, whole.num_rows, 64):
+        yield whole.slice(i, 64)
 
-def _block(part: int, owner: np.ndarray, h: np.ndarray) -> dict:
-    o, n, h = _by_owner(owner, h)
-    return {"part": part, "owner": None, "hashes": K.pack(h), "owners": K.pack(o), "counts": K.pack(n.astype(np.uint32))}
 
+def _tell(owner: np.ndarray, h: np.ndarray, n_parts: int):
+    """Blocks that tell owners of hashes of theirs; they go by the owner."""
+    yield from _blocks((K.mix(owner.astype(K.U64)) % K.U64(n_parts)).astype(np.int64), owner, h, n_parts, True)
 
-def _told(owner: np.ndarray, h: np.ndarray, n_parts: int) -> list[dict]:
-    """Rows that tell owners of hashes of theirs; they go by any range."""
-    o, n, h = _by_owner(owner, h)
-    ends = np.cumsum(n)
-    return [{"part": int(x) % n_parts, "owner": int(x), "hashes": K.pack(h[e - k : e]), "owners": None, "counts": None} for x, k, e in zip(o, n, ends, strict=True)]
 
-
-def _rows(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"part": pa.int32(), "owner": pa.int64(), "hashes": pa.binary(), "owners": pa.binary(), "counts": pa.binary()}
-    return pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
+def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    hs = [np.zeros(0, K.U64), *[np.frombuffer(r["hashes"], K.U64) for r in rows]]
+    os_ = [np.zeros(0, np.int64), *[np.repeat(np.frombuffer(r["owners"], np.int64), np.frombuffer(r["counts"], np.uint32)) for r in rows]]
+    return np.concatenate(hs), np.concatenate(os_)
 
 
 def _sent(h: np.ndarray, owner: np.ndarray, n_parts: int, owned: bool):
@@ -92,34 +96,23 @@ def _sent(h: np.ndarray, owner: np.ndarray, n_parts: int, owned: bool):
     tell = several.copy()
     if owned:
         tell[head] = False
-    if tell.any():
-        rows = _told(owner[tell], h[tell], n_parts)
-        for i in range(0, len(rows), 10_000):
-            yield _rows(rows[i : i + 10_000])
+    yield from _tell(owner[tell], h[tell], n_parts)
     sent_owner = owner[head] if owned else np.where(size > 1, _SHARED, owner[head])
-    part = (K.mix(h[head]) % K.U64(n_parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-    made = [_block(k, sent_owner[own], h[head][own]) for k in range(n_parts) if len(own := order[cuts[k] : cuts[k + 1]])]
-    for i in range(0, len(made), 64):
-        yield _rows(made[i : i + 64])
+    yield from _blocks((K.mix(h[head]) % K.U64(n_parts)).astype(np.int64), sent_owner, h[head], n_parts, False)
 
 
-def _settle(owned: bool):
+def _settle(n_parts: int, owned: bool):
     """Of a hash range's blocks: which owners are told of which hashes."""
 
     def run(batches):
-        hs, os_ = [np.zeros(0, K.U64)], [np.zeros(0, np.int64)]
-        out = pa.schema([("owner", pa.int64()), ("hashes", pa.binary())])
+        rows = []
         for b in batches:
-            told = b.filter(K.column(b, "owner").is_valid())
+            told = b.filter(K.column(b, "told"))
             if told.num_rows:
-                yield pa.RecordBatch.from_arrays([K.column(told, "owner"), K.column(told, "hashes")], schema=out)
-            for r in b.filter(K.column(b, "owner").is_null()).to_pylist():
-                hs.append(np.frombuffer(r["hashes"], K.U64))
-                os_.append(np.repeat(np.frombuffer(r["owners"], np.int64), np.frombuffer(r["counts"], np.uint32)))
-        h, owner = np.concatenate(hs), np.concatenate(os_)
-        del hs, os_
+                yield told
+            rows += b.filter(pa.compute.invert(K.column(b, "told"))).to_pylist()
+        h, owner = _unpacked(rows)
+        del rows
         order = np.lexsort((owner, h))
         h, owner = h[order], owner[order]
         at = _groups(h)
@@ -128,16 +121,22 @@ def _settle(owned: bool):
         size = np.diff(at)
         low, high = np.repeat(owner[at[:-1]], size), np.repeat(owner[at[1:] - 1], size)
         tell = (owner > low) if owned else (owner != _SHARED) & (low != high)
-        o, n, h = _by_owner(owner[tell], h[tell])
-        ends = np.cumsum(n)
-        for i in range(0, len(o), 10_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(o[i : i + 10_000]), K.binary([K.pack(h[e - k : e]) for k, e in zip(n[i : i + 10_000], ends[i : i + 10_000], strict=True)])], schema=out
-            )
+        yield from _tell(owner[tell], h[tell], n_parts)
 
     return run
 
 
+def _gathered(batches):
+    """All hashes that each owner of a part was told of, one row an owner."""
+    h, owner = _unpacked([r for b in batches for r in b.to_pylist()])
+    order = np.argsort(owner, kind="stable")
+    h, owner = h[order], owner[order]
+    at = _groups(owner)
+    for i in range(0, len(at) - 1, 5000):
+        cuts = at[i : i + 5001]
+        yield pa.RecordBatch.from_pydict({"owner": pa.array(owner[cuts[:-1]]), "told": K.binary([K.pack(h[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])})
+
+
 def _anchors(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     """Starts and hashes of the grams at cover positions."""
     place = np.arange(w.n) - w.bounds[w.doc] if w.n else np.zeros(0, np.int64)
@@ -177,10 +176,9 @@ def _anchor_hashes(b):
 
 def _known(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of which the documents of a chunk were told, with their ordinals."""
-    lists = K.column(b, "told")
-    flat = b"".join(x for own in lists.to_pylist() for x in own or ())
-    n = np.array([sum(map(len, own)) // 8 if own else 0 for own in lists.to_pylist()])
-    return np.frombuffer(flat, K.U64), np.repeat(np.arange(b.num_rows), n)
+    lists = K.column(b, "told").to_pylist()
+    n = np.array([len(x) // 8 if x else 0 for x in lists], np.int64)
+    return np.frombuffer(b"".join(x for x in lists if x), K.U64), np.repeat(np.arange(b.num_rows), n)
 
 
 def _among(h: np.ndarray, doc: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
@@ -236,8 +234,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     def told(df: DataFrame, found, owned: bool) -> DataFrame:
         sent = df.mapInArrow(_send(found, n, owned), _BLOCK).repartitionById(n, F.col("part"))
-        hits = sent.mapInArrow(_settle(owned), _HITS)
-        hits = hits.groupBy("owner").agg(F.collect_list("hashes").alias("told"))
+        hits = sent.mapInArrow(_settle(n, owned), _BLOCK).repartitionById(n, F.col("part")).mapInArrow(_gathered, _HITS)
         # both joins read one and the same exchange of the documents
         return docs.hint("merge").join(hits, "owner", "left")
 
