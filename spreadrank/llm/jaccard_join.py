@@ -16,8 +16,10 @@ only if it shares prefix tokens under all three.
    hub, the node with the fewest tokens of its own. Node against hub are the
    first candidates: one for each node and hub, however many share a token.
 3. Nodes already joined need no further test. Pairs of different components
-   that still share a prefix token are generated by a join on the token, with
-   the largest similarity that their sizes and own tokens allow as condition.
+   that still share a prefix token are generated by a join on the token. At the
+   first common token the places before it in either prefix are not common, so
+   sizes and places bound the similarity; the bound is a condition of the join,
+   and postings that it rules out for every partner's size leave before it.
 4. Candidates pass the other two orders, then exact verification; components
    come from distributed union-find.
 
@@ -405,6 +407,28 @@ def _links(work: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     return own.union(asked).union(pairs).repartitionById(n, F.col("part")).mapInArrow(_verify, "a binary, b binary")
 
 
+def _reachable(posts: DataFrame) -> DataFrame:
+    """Postings that some partner's size allows to link.
+
+    At the first common token of a pair at most ``left`` tokens of x, from that
+    place on, are common. With the least size of a partner in the posting (sizes
+    in classes of a twentieth, so a posting has few of them) that bounds the
+    similarity from above.
+    """
+    step = 1.05
+    low = posts.groupBy("token", F.floor(F.log("n") / math.log(step)).alias("c")).agg(F.min("n").alias("m"))
+    low = low.groupBy("token").agg(F.collect_list("m").alias("mins"))
+    least = F.expr(f"array_min(transform(filter(mins, m -> m * {step} + 1 >= {NUM / DEN} * n), m -> greatest(m, floor({NUM / DEN} * n))))")
+    return posts.join(low, "token").where((DEN + NUM) * F.col("left") >= NUM * (F.col("n") + least)).drop("mins")
+
+
+def _open(posts: DataFrame) -> DataFrame:
+    """Postings of tokens that nodes of several components have."""
+    posts = cut(posts)
+    open_ = posts.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    return cut(posts.join(open_, "token", "left_semi"))
+
+
 def jaccard_join(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id and n_links (tested links of the document's set) of each document."""
     spark, n = docs.sparkSession, parts(docs.sparkSession)
@@ -425,13 +449,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     pairs = work.select("part", F.col("id").alias("a"), F.explode("hubs").alias("b"))
     links = cut(_links(work, pairs, n))
     joined = components(links)
-    # what still shares a first-order prefix token across components
+    # what still shares a first-order prefix token across components and passes the positional filter
     light = work.select("part", "id", "n", "own", "node", "first").join(joined, "node", "left")
-    posts = light.select("part", "id", "n", "own", F.coalesce("root", "node").alias("root"), F.explode("first").alias("token"))
-    open_ = posts.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    posts = cut(posts.join(open_, "token", "left_semi"))
+    posts = light.select("part", "id", "n", "own", F.coalesce("root", "node").alias("root"), F.posexplode("first").alias("nth", "token"))
+    posts = _open(_reachable(posts.withColumn("left", F.expr("n - own - nth"))))
     x, y = posts.alias("x"), posts.alias("y")
-    most = F.expr("least(x.n - x.own, y.n - y.own)")
+    most = F.expr("least(x.left, y.left)")
     rest = x.join(y, F.expr("x.token = y.token and x.id < y.id and x.root <> y.root") & (DEN * most >= NUM * (F.expr("x.n + y.n") - most)))
     rest = rest.select(F.col("x.part").alias("part"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(pairs, ["part", "a", "b"], "left_anti")
     rest = rest.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").select("part", "a", "b")
