@@ -80,7 +80,7 @@ def _refill(x: str, digits: str) -> str:
 def _luhn(digits: str) -> str:
     """SQL of the Luhn sum of digits before the check digit; the digit next to it counts double."""
     return (
-        f"aggregate(sequence(1, length({digits})), 0, (t, i) -> t + if((length({digits}) - i) % 2 = 0, "
+        f"aggregate(sequence(1, length({digits})), cast(0 as bigint), (t, i) -> t + if((length({digits}) - i) % 2 = 0, "
         f"(2 * cast(substr({digits}, i, 1) as int)) div 10 + (2 * cast(substr({digits}, i, 1) as int)) % 10, cast(substr({digits}, i, 1) as int)))"
     )
 
@@ -161,8 +161,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     found = docs_only(docs).withColumn("_m", F.when(F.col("text").rlike("[0-9@]|AKIA|password|token|secret"), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))))
     found = found.withColumn("_p", F.expr(f"transform(_m, m -> case {cases} else named_struct('kind', '', 'new', m) end)"))
     whole = F.expr(f"array_join(zip_with(split(text, {_text(_ANY)}, -1), concat(_p.new, array('')), (a, b) -> concat(a, b)), '')")
-    counts = [F.coalesce(F.size(F.filter("_p", lambda p, k=k: p["kind"] == k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
-    counts = [F.greatest(c, F.lit(0).cast("long")).alias(f"n_{k}") for c, k in zip(counts, KINDS, strict=True)]
+    counts = [F.expr(f"cast(greatest(coalesce(size(filter(_p, p -> p.kind = '{k}')), 0), 0) as bigint)").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", F.when(F.size("_m") > 0, whole).otherwise(F.col("text")).alias("text"), *counts)
 
 
