@@ -12,9 +12,10 @@ only if it shares prefix tokens under all three.
    its prefix has places shares no prefix token with anyone, under any order.
    A third of the tokens (by hash) is enough to show that for most nodes; the
    rest stay in. This is a necessary condition, so nothing is lost.
-2. Of the nodes left, every token's exact number of nodes is counted, and its
-   hub, the node with the fewest tokens of its own. Node against hub are the
-   first candidates: one for each node and hub, however many share a token.
+2. Of the nodes left, every token's exact number of nodes is counted. The hub
+   of a prefix token is its node with the least share of tokens of its own. Node
+   against hub are the first candidates: one for each node and hub, however many
+   share a token; ``HUB_ROUNDS`` rounds of hubs join most of a large group.
 3. Nodes already joined need no further test. Pairs of different components
    that still share a prefix token are generated by a join on the token. At the
    first common token the places before it in either prefix are not common, so
@@ -50,6 +51,7 @@ from .frames import cut, docs_only, parts, table
 SHINGLE, NUM, DEN = 4, 85, 100
 SAMPLE = 3
 FLUSH = 2_000_000
+HUB_ROUNDS = 2
 _SALTS = [K.U64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)]
 
 
@@ -213,7 +215,7 @@ def _may_link(batches):
     for k, n in sizes.items():
         own = alone.get(k, np.zeros(len(n), np.int64))
         ok = own <= most_own(n)
-        yield pa.RecordBatch.from_pydict({"node": _names(names[k][ok]), "own": pa.array(own[ok])})
+        yield pa.RecordBatch.from_pydict({"node": _names(names[k][ok])})
 
 
 # -- 2: token counts and hubs of the nodes left ----------------------------------------------
@@ -231,9 +233,7 @@ def _node_rows(n_parts: int):
                 continue
             at2 = np.concatenate([[0], np.cumsum(at[own + 1] - at[own])])
             part = (names[own, 0] % K.U64(n_parts)).astype(np.int32)
-            odd = np.minimum(K.column(b, "own").to_numpy(zero_copy_only=False)[own] * 64 // np.maximum(np.diff(at2), 1), 63)
-            # an id orders nodes by their share of own tokens, then by name
-            id_ = (odd.astype(np.int64) << 57) | (names[own, 1] >> K.U64(7)).astype(np.int64)
+            id_ = (names[own, 1] >> K.U64(1)).astype(np.int64)
             yield pa.RecordBatch.from_pydict(
                 {"part": pa.array(part), "id": pa.array(id_), "node": _names(names[own]), "n": pa.array(np.diff(at2)), "tokens": _blobs(h[_ranges(at, own)], at2)}
             )
@@ -256,22 +256,16 @@ class _Part:
         self.doc = np.repeat(np.arange(len(self.n)), self.n)
 
     def distinct(self):
-        """Distinct tokens in order of hash range and hash; the count and the best node of each; the place of every token."""
-        order = np.lexsort((self.id[self.doc], self.tokens))
-        t = self.tokens[order]
-        head = np.ones(len(t), bool)
-        head[1:] = t[1:] != t[:-1]
-        start = np.flatnonzero(head)
-        place = np.empty(len(t), np.int64)
-        place[order] = np.cumsum(head) - 1
-        return t[head], np.diff(np.append(start, len(t))), self.id[self.doc[order[start]]], place
+        """Distinct tokens in order, the number of nodes of each, and the place of every token among them."""
+        t, place, count = np.unique(self.tokens, return_inverse=True, return_counts=True)
+        return t, count, place
 
 
-_COUNT = "part int, source int, tokens binary, counts binary, hubs binary"
+_COUNT = "part int, source int, tokens binary, counts binary"
 
 
 def _count_rows(rows: list[dict]) -> pa.RecordBatch:
-    kinds = {"part": pa.int32(), "source": pa.int32(), "tokens": pa.binary(), "counts": pa.binary(), "hubs": pa.binary()}
+    kinds = {"part": pa.int32(), "source": pa.int32(), "tokens": pa.binary(), "counts": pa.binary()}
     return pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
 
 
@@ -288,42 +282,35 @@ def _ask(n_parts: int):
         if not rows:
             return
         source = K.column(rows[0], "part")[0].as_py()
-        t, count, hub, _ = _Part(rows).distinct()
+        t, count, _ = _Part(rows).distinct()
         for k, own in enumerate(_split(t, n_parts)):
             if len(own):
-                yield _count_rows([{"part": k, "source": source, "tokens": K.pack(t[own]), "counts": K.pack(count[own].astype(np.uint32)), "hubs": K.pack(hub[own])}])
+                yield _count_rows([{"part": k, "source": source, "tokens": K.pack(t[own]), "counts": K.pack(count[own].astype(np.uint32))}])
 
     return run
 
 
 def _answer(batches):
-    """Of a hash range: the number of nodes and the hub of each token, in the order asked."""
+    """Of a hash range: the number of nodes of each token, in the order asked."""
     rows = [r for b in batches for r in b.to_pylist()]
     if not rows:
         return
     tokens = np.concatenate([np.frombuffer(r["tokens"], K.U64) for r in rows])
-    counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64)
-    hubs = np.concatenate([np.frombuffer(r["hubs"], np.int64) for r in rows])
-    order = np.lexsort((hubs, tokens))
-    t = tokens[order]
-    head = np.ones(len(t), bool)
-    head[1:] = t[1:] != t[:-1]
-    start, group = np.flatnonzero(head), np.cumsum(head) - 1
-    total = np.add.reduceat(counts[order], start)
-    df, hub = np.empty(len(t), np.int64), np.empty(len(t), np.int64)
-    df[order], hub[order] = total[group], hubs[order][start][group]
+    counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+    _, place = np.unique(tokens, return_inverse=True)
+    df = np.bincount(place, weights=counts).astype(np.uint32)[place]
     own_part, at = rows[0]["part"], 0
     for r in rows:
         n = len(r["tokens"]) // 8
-        yield _count_rows([{"part": r["source"], "source": own_part, "tokens": None, "counts": K.pack(df[at : at + n].astype(np.uint32)), "hubs": K.pack(hub[at : at + n])}])
+        yield _count_rows([{"part": r["source"], "source": own_part, "tokens": None, "counts": K.pack(df[at : at + n])}])
         at += n
 
 
-_WORK = "part int, id long, node binary, n long, own long, tokens binary, first array<long>, second binary, third binary, hubs array<long>"
+_WORK = "part int, id long, node binary, n long, own long, tokens binary, first array<long>, second binary, third binary"
 
 
 def _prefixes(n_parts: int):
-    """Nodes that may still link, their prefixes under each order and their hubs."""
+    """Nodes that may still link and their prefixes under each order."""
 
     def run(batches):
         nodes, told = [], {}
@@ -331,18 +318,18 @@ def _prefixes(n_parts: int):
             sets = b.filter(K.column(b, "node").is_valid())
             if sets.num_rows:
                 nodes.append(sets)
-            for r in b.filter(K.column(b, "node").is_null()).select(["source", "counts", "hubs"]).to_pylist():
-                told[r["source"]] = np.frombuffer(r["counts"], np.uint32).astype(np.int64), np.frombuffer(r["hubs"], np.int64)
+            for r in b.filter(K.column(b, "node").is_null()).select(["source", "counts"]).to_pylist():
+                told[r["source"]] = np.frombuffer(r["counts"], np.uint32)
         if not nodes:
             return
         part = K.column(nodes[0], "part")[0].as_py()
         p = _Part(nodes)
-        t, _, _, place = p.distinct()
-        df, hub = np.empty(len(t), np.int64), np.empty(len(t), np.int64)
+        t, _, place = p.distinct()
+        df = np.empty(len(t), np.int64)
         for k, own in enumerate(_split(t, n_parts)):
             if len(own):
-                df[own], hub[own] = told[k]
-        df, hub = df[place], hub[place]
+                df[own] = told[k]
+        df = df[place]
         own = np.bincount(p.doc[df == 1], minlength=len(p.n))
         left = most_own(p.n) + 1 - own  # places of the prefix for shared tokens
         keep = np.flatnonzero(left > 0)
@@ -363,7 +350,6 @@ def _prefixes(n_parts: int):
             cols["first"] = pa.array([p.tokens[f1[at1[d] : at1[d + 1]]].view(np.int64) for d in some], pa.list_(pa.int64()))
             for name, (f, at) in zip(("second", "third"), fronts[1:], strict=True):
                 cols[name] = _blobs(p.tokens[f[_ranges(at, some)]], np.concatenate([[0], np.cumsum(at[some + 1] - at[some])]))
-            cols["hubs"] = pa.array([np.setdiff1d(hub[f1[at1[d] : at1[d + 1]]], p.id[d]) for d in some], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(cols)
 
     return run
@@ -383,8 +369,6 @@ def _verify(batches):
                 (here if r["kind"] == 0 else sent)[r["id"]] = [r["node"], *(np.frombuffer(r[k], K.U64) for k in ("tokens", "second", "third"))]
     found = []
     for a, b in pairs:
-        if a not in here or b not in sent:  # a hub that has too many tokens of its own
-            continue
         x, y = here[a], sent[b]
         if not (np.isin(x[2], y[2], assume_unique=True).any() and np.isin(x[3], y[3], assume_unique=True).any()):
             continue
@@ -400,13 +384,30 @@ def _links(work: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """Links among the candidate pairs (part of a, a, b), by ids."""
     none = F.lit(None)
     sets = ("node", "tokens", "second", "third")
-    own = work.select("part", F.lit(0).alias("kind"), "id", none.cast("long").alias("b"), *sets)
+    own = work.join(pairs.select("part", F.col("a").alias("id")).distinct(), ["part", "id"], "left_semi")
+    own = own.select("part", F.lit(0).alias("kind"), "id", none.cast("long").alias("b"), *sets)
     asked = pairs.select("part", F.col("b").alias("id")).distinct().join(work.drop("part"), "id")
     asked = asked.select("part", F.lit(1).alias("kind"), "id", none.cast("long").alias("b"), *sets)
     pairs = pairs.select("part", F.lit(2).alias("kind"), F.col("a").alias("id"), "b", *[none.cast("binary").alias(k) for k in sets])
     return own.union(asked).union(pairs).repartitionById(n, F.col("part")).mapInArrow(_verify, "a binary, b binary")
 
 
+def _rooted(posts: DataFrame, joined: DataFrame) -> DataFrame:
+    return posts.join(joined, "node", "left").select("part", "id", "n", "own", "left", "token", F.coalesce("root", "node").alias("root"))
+
+
+def _may(n: str, left: str, m: str, other: str):
+    """Whether a pair can link whose first common token has so many tokens from there on, itself included."""
+    most = f"least({left}, {other})"
+    return F.expr(f"{DEN} * {most} >= {NUM} * ({n} + {m} - {most})")
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs that were not tested, either way round."""
+    again = tested.select("a", "b").union(tested.select("b", "a"))
+    return pairs.join(again, ["a", "b"], "left_anti").select("part", "a", "b")
+
+
 def _reachable(posts: DataFrame) -> DataFrame:
     """Postings that some partner's size allows to link.
 
@@ -437,27 +438,33 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     named = cut(hashed.mapInArrow(_named, "doc_id long, text_hash long, node binary, n long"))
     known = docs.where("doc_id is not null")
     blocks = known.mapInArrow(_sample_blocks(n), _BLOCK).repartitionById(n, F.col("part"))
-    left = blocks.mapInArrow(_alone(n), _BLOCK).repartitionById(n, F.col("part")).mapInArrow(_may_link, "node binary, own long")
-    left = left.groupBy("node").agg(F.min("own").alias("own"))
-    reps = named.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(left, "node")
-    nodes = known.hint("merge").join(reps, "doc_id").select("text", "node", "own").mapInArrow(_node_rows(n), _NODE)
-    nodes = cut(nodes.repartitionById(n, F.col("part")))
-    told = nodes.repartitionById(n, F.col("part")).mapInArrow(_ask(n), _COUNT).repartitionById(n, F.col("part")).mapInArrow(_answer, _COUNT)
-    both = nodes.withColumns({k: F.lit(None).cast(t) for k, t in (("source", "int"), ("counts", "binary"), ("hubs", "binary"))}).unionByName(told.drop("tokens"), allowMissingColumns=True)
+    left = blocks.mapInArrow(_alone(n), _BLOCK).repartitionById(n, F.col("part")).mapInArrow(_may_link, "node binary")
+    reps = named.where("doc_id is not null and n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(left.distinct(), "node")
+    nodes = known.hint("merge").join(reps, "doc_id").select("text", "node").mapInArrow(_node_rows(n), _NODE)
+    nodes = cut(nodes.repartitionById(n, F.col("part")))  # partition i of the checkpoint is part i
+    told = nodes.mapInArrow(_ask(n), _COUNT).repartitionById(n, F.col("part")).mapInArrow(_answer, _COUNT)
+    both = nodes.withColumns({k: F.lit(None).cast(t) for k, t in (("source", "int"), ("counts", "binary"))}).unionByName(told.drop("tokens"), allowMissingColumns=True)
     work = cut(both.repartitionById(n, F.col("part")).mapInArrow(_prefixes(n), _WORK))
 
-    pairs = work.select("part", F.col("id").alias("a"), F.explode("hubs").alias("b"))
-    links = cut(_links(work, pairs, n))
-    joined = components(links)
+    light = work.select("part", "id", "n", "own", "node", F.posexplode("first").alias("nth", "token")).withColumn("left", F.expr("n - own - nth"))
+    tested = spark.createDataFrame([], "part int, a long, b long")
+    links, joined, used = None, spark.createDataFrame([], "node binary, root binary"), tested.select(F.col("b").alias("id"))
+    for k in range(HUB_ROUNDS):
+        posts = _rooted(light, joined)
+        posts = _open(_reachable(posts)) if k else posts
+        best = F.min(F.struct(F.round(F.col("own") / F.col("n"), 6).alias("share"), "id", "n", "left", "root")).alias("h")
+        hubs = posts.join(used, "id", "left_anti").groupBy("token").agg(best)
+        met = posts.join(hubs, "token").where("id <> h.id and root <> h.root").where(_may("n", "left", "h.n", "h.left"))
+        pairs = cut(_untested(met.select("part", F.col("id").alias("a"), F.col("h.id").alias("b")).distinct(), tested))
+        found = cut(_links(work, pairs, n))
+        links = found if links is None else links.union(found)
+        tested, used = tested.union(pairs), used.union(pairs.select("b")).distinct()
+        joined = components(links)
     # what still shares a first-order prefix token across components and passes the positional filter
-    light = work.select("part", "id", "n", "own", "node", "first").join(joined, "node", "left")
-    posts = light.select("part", "id", "n", "own", F.coalesce("root", "node").alias("root"), F.posexplode("first").alias("nth", "token"))
-    posts = _open(_reachable(posts.withColumn("left", F.expr("n - own - nth"))))
+    posts = _open(_reachable(_rooted(light, joined)))
     x, y = posts.alias("x"), posts.alias("y")
-    most = F.expr("least(x.left, y.left)")
-    rest = x.join(y, F.expr("x.token = y.token and x.id < y.id and x.root <> y.root") & (DEN * most >= NUM * (F.expr("x.n + y.n") - most)))
-    rest = rest.select(F.col("x.part").alias("part"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(pairs, ["part", "a", "b"], "left_anti")
-    rest = rest.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti").select("part", "a", "b")
+    rest = x.join(y, F.expr("x.token = y.token and x.id < y.id and x.root <> y.root") & _may("x.n", "x.left", "y.n", "y.left"))
+    rest = _untested(rest.select(F.col("x.part").alias("part"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), tested)
     more = cut(_links(work, rest, n))
     every = links.union(more)
     roots = components(every)
