@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
-_SEGMENT = 1 << 20
+CHUNK_BYTES = 1 << 20
+_SEGMENT = 1 << 18
 _BYTE_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 

@@ -34,7 +34,7 @@ from .frames import parts, table
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 GRAM = WINDOW - PERIOD + 1
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 LAST = np.iinfo(np.int64).max
 _SHARED = np.iinfo(np.int64).min  # stands for a document in an entry that says "shared already"
 _BLOCK = "part int, told boolean, hashes binary, owners binary, counts binary"
