@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .fm_index import FMIndex
-from .frames import table
+from .frames import CARRIED, table
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
@@ -130,9 +130,9 @@ def _items(benchmark: DataFrame, window: int):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, spans (start, end in words, merged), items (sorted) of each document.
 
-    Of carried() documents, text and row come along.
+    Of carried() documents, text and the struct come along.
     """
-    along = ["row"] if "row" in docs.columns else []
+    along = [CARRIED] if CARRIED in docs.columns else []
     df = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *along,

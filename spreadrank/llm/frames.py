@@ -50,12 +50,16 @@ def docs_only(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+#: The struct column in which carried() puts the other columns.
+CARRIED = "__carried_row"
+
+
 def carried(df: DataFrame) -> DataFrame:
-    """doc_id and text for an operator, and all other columns of df in a struct ``row``, whatever their names are."""
-    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"]).alias("row")
+    """doc_id and text for an operator, and all other columns of df in one struct column, whatever their names are."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"]).alias(CARRIED)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest)
 
 
 def restored(df: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns that carried() was given, from text and row."""
-    return df.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns])
+    """The columns that carried() was given, from text and the struct."""
+    return df.select(*[F.col("text") if c == "text" else F.col(f"{CARRIED}.`{c}`").alias(c) for c in columns])

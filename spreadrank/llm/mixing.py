@@ -22,7 +22,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import table
+from .frames import CARRIED, table
 from .ranking import with_prefix
 
 BLOCK_BYTES = 1 << 16
@@ -71,12 +71,12 @@ def phases(blocks: dict, shares: dict) -> dict:
 def mix_sources(docs: DataFrame, shares: dict | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, source, size, block, phase, slot, release, deadline and place_in_source of each document.
 
-    Order by slot and place_in_source for the mixed order. Of carried() documents, text and row come along.
+    Order by slot and place_in_source for the mixed order. Of carried() documents, text and the struct come along.
     """
     spark = docs.sparkSession
-    along = ["text", "row"] if "row" in docs.columns else []
+    along = ["text", CARRIED] if CARRIED in docs.columns else []
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("row.source" if along else "source").cast("string").alias("source"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{CARRIED}.source" if along else "source").cast("string").alias("source"),
         (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(ROW_BYTES)).cast("long").alias("size"),
         *along,
     )
