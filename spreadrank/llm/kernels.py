@@ -9,6 +9,7 @@ bounded segments, so memory follows the chunk and not the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,8 +47,18 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
+def release() -> None:
+    """Gives memory that an earlier task of this worker freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``limit`` text bytes, or of one row."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -31,11 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import cut, parts, scratch, table
+from .kernels import release
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SEQUENCE, BATCH = 2048, 128
-CACHE = 600_000
+CACHE = 400_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -198,6 +199,7 @@ def write_tokens(docs: DataFrame, where: str, order: list[Column | str] | None =
     dealt = dealt.sortWithinPartitions(*names).select("doc_id", "text")
 
     def run(batches):
+        release()
         encoder, writer, shard = Encoder.of(path), None, TaskContext.get().partitionId()
         end = np.array([END_ID], encoder.kind).tobytes()
         for b in batches:
