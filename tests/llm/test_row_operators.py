@@ -1,0 +1,304 @@
+"""Classifier, mixing, sharding, lines, personal data and the pipeline."""
+
+import collections
+import datetime
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+from helpers import SCHEMA, WORD, documents, prose, texts
+
+from spreadrank.llm import classifier, line_dedup, mixing, pii, sharding
+from spreadrank.llm.components import components
+from spreadrank.llm.frames import docs_only
+
+PLAIN = texts() + [texts()[0], (None, texts()[4][1]), (None, None)]
+
+
+# -- quality classifier ------------------------------------------------------------------------
+
+
+def labelled(spark, n=240):
+    rng, rows, marks = random.Random(2), [], []
+    for i in range(n):
+        bad = i % 4 == 0
+        rows.append((i, " | ".join(prose(rng, 3) for _ in range(30)) + "%%%" if bad else prose(rng, 90)))
+        marks.append((i, 0 if bad else 1, 0))
+    return rows, marks
+
+
+def test_classifier_is_right_on_held_out_rows(spark):
+    rows, marks = labelled(spark)
+    docs, lab = documents(spark, rows, repeat=False), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model = classifier.fit(docs, lab)
+    got = {r["doc_id"]: r for r in classifier.classify(docs_only(docs), model).collect()}
+    held = [d for d, *_ in marks if zlib.crc32(str(d).encode()) % 3 == 1]
+    assert len(held) > 40 and all(got[d]["predicted"] == q for d, q, _ in marks if d in held)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
+    # labels of held-out rows teach nothing
+    other = spark.createDataFrame([(d, 1 - q if d in held else q, t) for d, q, t in marks], "doc_id long, quality int, toxic int")
+    assert np.array_equal(classifier.fit(docs, other).weights, model.weights)
+
+
+def test_preferences_are_logistic_in_differences():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, len(classifier.FEATURES)))
+    y = (x[:, 0] - 0.5 * x[:, 3] > 0).astype(int)
+    m = classifier.BradleyTerry(x, y)
+    assert m.weights[0] > 1 and m.weights[3] < -0.4 and ((m.score(x) >= 0.5) == y).mean() > 0.97
+
+
+def test_classifier_without_both_labels_and_on_odd_texts(spark):
+    lab = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (6, None, 0), (9, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    got = classifier.classify(docs_only(documents(spark)), classifier.fit(documents(spark), lab)).collect()
+    assert len(got) == len(PLAIN) and {r["score"] for r in got} == {0.5}
+    empty = spark.createDataFrame([], SCHEMA)
+    assert classifier.classify(docs_only(empty), classifier.fit(empty, lab)).count() == 0
+
+
+# -- mixing ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 4, "b": 3, "c": 1}, {"a": 7, "b": 7, "c": 5, "d": 1, "e": 11}])
+def test_period_is_fair(shares):
+    slots, total = mixing.period(shares), sum(shares.values())
+    assert sorted(x for s in slots.values() for x in s) == list(range(total))
+    for k, own in slots.items():
+        assert all(j * total // shares[k] <= t < -(-(j + 1) * total // shares[k]) for j, t in enumerate(own))
+        for t in range(1, total + 1):
+            assert abs(sum(x < t for x in own) - shares[k] * t / total) < 1
+
+
+def test_phases_use_every_block_once_and_stay_fair():
+    blocks, shares = {"a": 31, "b": 4, "c": 17, "d": 1}, {"a": 2, "b": 3, "c": 2, "d": 1}
+    seen = {}
+    for k, ps in mixing.phases(blocks, shares).items():
+        for j in range(blocks[k]):
+            first, base, total, own = [p for p in ps if p[0] <= j][-1]
+            slot = base + (j - first) // len(own) * total + own[(j - first) % len(own)]
+            assert slot not in seen
+            seen[slot] = k
+    assert sorted(seen) == list(range(sum(blocks.values())))
+
+
+def test_mixing_places_every_row(spark):
+    rows = [(i, prose(random.Random(i), 20 + i % 50)) for i in range(300)] + [(9, None), (9, "x" * 5000)]
+    got = mixing.mix_sources(documents(spark, rows), {"src0": 3, "src1": 2}, block_bytes=500).collect()
+    assert len(got) == len(rows) + 3 and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    assert len({(r["slot"], r["source"]) for r in got}) == len({r["slot"] for r in got})  # a slot is one source's
+    by = collections.defaultdict(list)
+    for r in sorted(got, key=lambda r: (str(r["source"]), r["place_in_source"])):
+        by[r["source"]].append(r)
+    for own in by.values():
+        assert [r["place_in_source"] for r in own] == list(range(len(own)))
+        at = 0
+        for r in own:
+            assert r["block"] == at // 500
+            at += r["size"]
+    assert None in by
+    assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mix_sources(documents(spark, rows), {"src0": 0})
+
+
+# -- sharding ----------------------------------------------------------------------------------
+
+
+def test_sharding(spark):
+    got = sharding.shard_by_bytes(documents(spark), 7).collect()
+    size = {}
+    assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == collections.Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in PLAIN)
+    for s in {r["shard"] for r in got}:
+        own = [r for r in got if r["shard"] == s]
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+        size[s] = sum(r["size"] for r in own)
+    order = sorted(got, key=lambda r: (r["shard"], r["slot"]))
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in order]
+    assert ids == sorted(ids)
+    total, most, before = sum(size.values()), max(r["size"] for r in got), 0
+    for r in order:
+        assert r["shard"] == min(6, (2 * before + r["size"]) * 7 // (2 * total))
+        before += r["size"]
+    assert most < total
+    assert sharding.shard_by_bytes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sharding_equals_its_sql(spark, tmp_path):
+    docs = documents(spark, [r for r in texts() if r[0] != 1006], repeat=False)
+    ours = docs.select("doc_id", "text").toPandas()
+    con = duckdb.connect()
+    con.register("documents", ours)
+    theirs = {tuple(r[:4]) + tuple(r[4:6]) for r in con.sql(sharding.SQL).fetchall()}
+    assert {tuple(r)[:6] for r in sharding.shard_by_bytes(docs).collect()} == theirs
+
+
+# -- lines -------------------------------------------------------------------------------------
+
+
+def line_rows(seed=0):
+    rng = random.Random(seed)
+    common, rows = [prose(rng, k, 3000) for k in (3, 12, 40, 90)], []
+    for i in range(50):
+        lines = [prose(rng, rng.choice([2, 8, 25, 60]), 3000) for _ in range(4)]
+        for c in common:
+            if rng.random() < 0.5:
+                w = c.split(" ")
+                for _ in range(len(w) // 25 + (rng.random() < 0.3)):
+                    w[rng.randrange(len(w))] = f"x{rng.randrange(9)}"
+                lines.insert(rng.randrange(len(lines)), " ".join(w))
+        rows.append((i, "\n".join(lines)))
+    return rows + [(60, None), (61, ""), (62, "\n \n\n"), (63, "short"), (64, "short"), (65, "日本語の文章がここにあります" * 30), (66, "日本語の文章がここにあります" * 30 + "。"), (67, "same\nsame\n\nsame")]
+
+
+def plain_lines(rows, links=None):
+    place, sets = [], []
+    for d, t in rows:
+        for pos, line in enumerate((t or "").split("\n")):
+            if WORD.search(line):
+                place.append((d, pos))
+                sets.append({line[i : i + 9] for i in range(len(line) - 8)} if len(line) >= 9 else {line})
+    root = list(range(len(place)))
+
+    def find(a):
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for a in range(len(place)):
+        for b in range(a):
+            x, y = sets[a], sets[b]
+            if x == y or min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                root[find(a)] = find(b)
+    first = {}
+    for i, p in enumerate(place):
+        first[find(i)] = min(first.get(find(i), p), p)
+    return {p for i, p in enumerate(place) if first[find(i)] != p}
+
+
+def test_line_dedup_against_all_pairs(spark):
+    rows = line_rows()
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(documents(spark, rows, repeat=False)).collect()}
+    gone = plain_lines(rows)
+    assert len(gone) > 30
+    missed = 0
+    for d, t in rows:
+        kept = None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone)
+        assert got[d]["n_lines"] == sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
+        missed += got[d]["text"] != kept
+    assert missed <= 2  # recall of the bands; what is found is exact
+
+
+def test_bands_have_high_recall(spark):
+    rng, pairs = random.Random(8), []
+    for i in range(120):
+        w = prose(rng, rng.choice([10, 30, 80]), 4000).split(" ")
+        v = list(w)
+        v[rng.randrange(len(v))] = "changed"
+        pairs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    text = dict(pairs)
+    sets = {d: {t[i : i + 9] for i in range(len(t) - 8)} for d, t in pairs}
+    near = [i for i in range(120) if len(sets[2 * i] & sets[2 * i + 1]) >= 0.8 * len(sets[2 * i] | sets[2 * i + 1])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(documents(spark, pairs, repeat=False)).collect()}
+    found = [i for i in near if got[2 * i + 1] == ""]
+    assert len(near) > 60 and len(found) >= 0.97 * len(near)
+    assert all(got[2 * i] == text[2 * i] for i in range(120))
+    assert all(got[2 * i + 1] == text[2 * i + 1] for i in range(120) if i not in near)
+
+
+def test_line_dedup_repeats_and_empty_tables(spark):
+    got = line_dedup.line_dedup(documents(spark, [(5, "a line\nb line"), (5, "a line\nb line"), (7, "a line\nmore")], repeat=False)).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["a line\nb line", "a line\nb line", "more"]
+    assert line_dedup.line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
+
+
+# -- personal data -----------------------------------------------------------------------------
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else x * 2 // 10 + x * 2 % 10 for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def test_pseudonyms_keep_formats_and_link_values(spark):
+    rng = random.Random(3)
+    cards = []
+    while len(cards) < 60:
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(15))
+        if luhn(d):
+            cards.append(d)
+    rows = [(i, f"card {c} and {c[:4]}-{c[4:8]}-{c[8:12]}-{c[12:]}, tel +1 ({rng.randrange(200, 1000)}) 555-{i:04d}; ip 10.{i}.255.{i}; on 20{i % 80 + 10}-0{i % 9 + 1}-1{i % 9}") for i, c in enumerate(cards)]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(documents(spark, rows, repeat=False)).collect()}
+    new = []
+    for i, t in rows:
+        x = got[i]["text"]
+        assert re.sub(r"[0-9]", "9", re.sub(r"(?<=ip )[0-9.]+", "IP", x)) == re.sub(r"[0-9]", "9", re.sub(r"(?<=ip )[0-9.]+", "IP", t))
+        a, b = re.findall(r"[0-9]{16}|[0-9]{4}(?:-[0-9]{4}){3}", x)
+        assert a == b.replace("-", "") and luhn(a) and a[0] == "4"
+        new.append(a)
+        assert all(int(o) <= 255 for o in re.search(r"ip ([0-9.]+);", x)[1].split("."))
+        datetime.date.fromisoformat(re.search(r"on ([0-9-]+)$", x)[1])
+        assert re.search(r"\(([2-9][0-9]{2})\) ([2-9][0-9]{2})-[0-9]{4}", x)
+        assert (got[i]["n_card"], got[i]["n_phone"], got[i]["n_ip"], got[i]["n_date"]) == (2, 1, 1, 1)
+    assert len(set(new)) == len(cards) and not set(new) & set(cards)  # a permutation
+    again = {r["doc_id"]: r["text"] for r in pii.pseudonymise(documents(spark, rows, repeat=False).repartition(5)).collect()}
+    other = {r["doc_id"]: r["text"] for r in pii.pseudonymise(documents(spark, rows, repeat=False), key="k2").collect()}
+    assert all(again[i] == got[i]["text"] != other[i] for i, _ in rows)
+
+
+def test_feistel_is_a_permutation_of_small_domains(spark):
+    df = spark.range(17 * 23).selectExpr("id div 23 as a", "id % 23 as b")
+    out = df.selectExpr(pii._feistel("t", "a", "b", "17", "23", "key") + " as p").select("p.a", "p.b").collect()
+    assert len({tuple(r) for r in out}) == 17 * 23 and all(0 <= r[0] < 17 and 0 <= r[1] < 23 for r in out)
+
+
+def test_what_does_not_validate_stays(spark):
+    rows = [(1, "4041894974608796 999.1.1.1 2021-02-30 000-12-3456 1.2.3.4.5 version 3.14 DE00370400440532013000 clean text"), (2, None), (3, ""), (4, "mail a.b+c@mail.example.com! A.B@x.org"), (5, "iban DE89370400440532013000 ssn 123-45-6789")]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(documents(spark, rows, repeat=False)).collect()}
+    assert got[1]["text"] == rows[0][1] and got[2]["text"] is None and got[3]["text"] == ""
+    assert re.fullmatch(r"mail [a-z]\.[a-z]\+[a-z]@mail\.example\.com! [A-Z]\.[A-Z]@x\.org", got[4]["text"]) and got[4]["n_email"] == 2
+    iban = re.search(r"DE[0-9]{20}", got[5]["text"])[0]
+    assert iban != "DE89370400440532013000" and int(iban[4:] + "1314" + iban[2:4]) % 97 == 1 and got[5]["n_ssn"] == 1
+    assert pii.pseudonymise(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert pii.pseudonymise(documents(spark)).count() == len(PLAIN)
+
+
+# -- pipeline ----------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, tmp_path):
+    import corpus_pipeline
+    from test_text_operators import contaminated, jaccard_classes, planted
+
+    rows, marks = labelled(spark)
+    rows += [(3000 + (d or 0), t) for d, t in planted() if d is not None] + [(5000 + i, rows[i][1]) for i in range(40)]
+    documents(spark, rows, repeat=False).drop("row", "score", "owner", "part", "node").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    from test_text_operators import BENCH
+
+    spark.createDataFrame(BENCH, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        columns, before = docs.columns, [tuple(r) for r in docs.select("doc_id", "text").collect()]
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert k == 4 or docs.columns == columns
+        kept.append((before, [r["doc_id"] for r in docs.collect()]))
+    bad = {d for d, q, _ in marks if q == 0}
+    assert not bad & set(kept[0][1]) and {d for d, q, _ in marks if q == 1} <= set(kept[0][1])
+    assert sorted(kept[1][1]) == sorted({c for _, _, c in jaccard_classes(kept[1][0])})
+    dirty = {r[0] for r in contaminated(kept[2][0]) if r[5]}
+    assert dirty and sorted(kept[2][1]) == sorted(d for d, _ in kept[2][0] if d not in dirty)
+    assert sorted(kept[3][1]) == sorted(d for d, _ in kept[3][0])
+    order = [r["doc_id"] for r in docs.orderBy("start").collect()]
+    files = spark.read.parquet(f"{tmp_path}/3").selectExpr("doc_id", "_metadata.file_name as f", "_metadata.row_index as i").orderBy("f", "i").collect()
+    assert order == [r["doc_id"] for r in files]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(order)
