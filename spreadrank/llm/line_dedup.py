@@ -44,10 +44,10 @@ def _mask(i: int) -> int:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line, id (128 bits of the line) and n (characters) of each line with a word."""
+    """doc_id, pos, line, whole (128 bits of the line), id (64 bits) and n (characters) of each line with a word."""
     line = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     line = line.where(F.col("line").rlike(_WORDED))
-    return line.withColumn("id", F.unhex(F.md5(F.col("line").cast("binary")))).withColumn("n", F.char_length("line"))
+    return line.withColumns({"whole": F.unhex(F.md5(F.col("line").cast("binary"))), "id": F.xxhash64("line"), "n": F.char_length("line")})
 
 
 def shingles(line: str = "line") -> Column:
@@ -68,27 +68,25 @@ def bands(lines: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids whose lines are similar enough."""
-    x = pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    both = x.join(texts.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    """Pairs (a, b) of ids whose lines are similar enough. Lines travel as text; sets are made where a pair is tested."""
+    x = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
+    both = x.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    both = both.select("a", "b", shingles("x").alias("x"), shingles("y").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
     """id and root of every line that links with a different line."""
-    posts = cut(bands(lines))
+    posts = bands(lines)
     buckets = posts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
     posts = cut(posts.join(buckets.select("key", "hub"), "key"))
     near = lambda a, b: F.expr(f"least({a}, {b}) >= 0.8 * greatest({a}, {b}) - {SHINGLE}")  # noqa: E731  a necessary condition on the lengths
     hubs = posts.where("id = hub").select("key", F.col("n").alias("hub_n"))
     first = posts.where("id <> hub").join(hubs, "key").where(near("n", "hub_n")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     first = cut(first)
-    wanted = posts.select("id").distinct()
-    texts = lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    texts = cut(texts)
-    sets = texts.select("id", shingles().alias("s"))
-    links = cut(_verified(first, sets))
+    texts = cut(lines.join(posts.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
+    links = cut(_verified(first, texts))
     roots = components(links)
     rooted = posts.select("key", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
@@ -96,7 +94,7 @@ def line_classes(lines: DataFrame) -> DataFrame:
     x, y = rooted.alias("x"), rooted.alias("y")
     rest = x.join(y, F.expr("x.key = y.key and x.id > y.id and x.root <> y.root") & near("x.n", "y.n"))
     rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    return components(links.union(_verified(rest, sets))).select(F.col("node").alias("id"), "root")
+    return components(links.union(_verified(rest, texts))).select(F.col("node").alias("id"), "root")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -104,13 +102,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     docs = docs_only(docs)
     lines = lines_of(docs)
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "pos")
-    whole = lines.select("id", place.alias("place"))
+    whole = lines.select("whole", "id", place.alias("place"))
     classes = cut(line_classes(lines))
     # each exact line's first place and number of places, then each class's first place
-    first = whole.groupBy("id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).join(classes, "id", "left").withColumn("class", F.coalesce("root", "id"))
-    best = first.where("root is not null").groupBy("class").agg(F.min("first").alias("best"))
-    first = first.where("n > 1 or root is not null").join(best, "class", "left").select("id", F.coalesce("best", "first").alias("stays"))
-    gone = whole.join(first, "id").where("place <> stays").groupBy("place.doc_id").agg(F.collect_set("place.pos").alias("gone"))
+    first = whole.groupBy("whole", "id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).join(classes, "id", "left")
+    best = first.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))
+    first = first.where("n > 1 or root is not null").join(best, "root", "left").select("whole", F.coalesce("best", "first").alias("stays"))
+    gone = whole.join(first, "whole").where("place <> stays").groupBy("place.doc_id").agg(F.collect_set("place.pos").alias("gone"))
     out = docs.join(gone.select(F.col("doc_id").alias("_d"), "gone"), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     split = F.split("text", "\n", -1)
