@@ -83,6 +83,22 @@ def _influence(i: Inputs) -> DataFrame:
     return i.parts.select("node_id", "cli", F.round("csli", 6).alias("csli"), "caspi", "csi", "score")
 
 
+def _taus(i: Inputs) -> DataFrame:
+    return evaluate.tau_vs_rate(i.adj, i.scores, evaluate.hash_sample(i.nodes, SAMPLE), list(RATES), runs=TRUTH_RUNS)
+
+
+def _removal(i: Inputs) -> DataFrame:
+    return experiments.node_removal(i.edges, i.scores.where("method = 'DC'"), K, runs=RUNS)
+
+
+def _removal_summary(i: Inputs) -> DataFrame:
+    return experiments.removal_summary(_removal(i), i.nodes.count(), i.nodes.count() - K)
+
+
+def _weights(i: Inputs) -> DataFrame:
+    return learn.learn_weights(i.parts, i.truth).withColumn("dataset", F.lit("co_return"))
+
+
 def _communities(i: Inputs) -> DataFrame:
     shown = graph.ego_subgraph(i.adj, _top5(i), 300)
     return graph.communities(graph.induced(i.edges, shown))
@@ -137,7 +153,10 @@ QUERIES = {
     "wilcoxon_z": _query(lambda i: evaluate.wilcoxon(i.scored).select("method_a", "method_b", "n", "w", "z")),
     "significance": _query(lambda i: evaluate.wilcoxon(i.scored).select("method_a", "method_b", "p_value", "significant")),
     "comparison_report": _query(lambda i: evaluate.comparison_report(i.scored, i.scores, _final(i), K)),
-    "tau_vs_lambda": _query(lambda i: evaluate.tau_vs_rate(i.adj, i.scores, evaluate.hash_sample(i.nodes, SAMPLE), list(RATES), runs=TRUTH_RUNS)),
+    "tau_vs_lambda": _query(_taus),
+    "tau_rate_matrix": _query(lambda i: report.rate_matrix(_taus(i), list(RATES))),
+    "all_metrics": _query(lambda i: evaluate.all_metrics(i.scored, K)),
+    "top_k_labels": _query(lambda i: evaluate.labelled(i.scored, K).select("method", "node_id", "truth", "predicted")),
     "roc_auc": _query(lambda i: evaluate.roc_auc(evaluate.labelled(i.scored, K))),
     "average_precision": _query(lambda i: evaluate.average_precision(evaluate.labelled(i.scored, K))),
     "threshold_curve": _query(lambda i: evaluate.threshold_curve(evaluate.labelled(i.scored, K))),
@@ -145,8 +164,12 @@ QUERIES = {
     "classification": _query(lambda i: evaluate.classification(evaluate.labelled(i.scored, K))),
     "weight_grid": _query(lambda i: learn.losses(i.parts, i.truth, learn.candidates(i.spark))),
     "weight_learned": _query(lambda i: learn.learn_weights(i.parts, i.truth)),
+    "weights_summary": _query(lambda i: report.weights_summary(_weights(i))),
+    "weight_matrix": _query(lambda i: report.weight_matrix(_weights(i))),
+    "mean_improvement": _query(lambda i: learn.mean_improvement(_weights(i))),
     "weight_gradient": _query(lambda i: learn.learn_weights(i.parts, i.truth, "gradient")),
-    "node_removal": _query(lambda i: experiments.node_removal(i.edges, i.scores.where("method = 'DC'"), K, runs=RUNS)),
+    "node_removal": _query(_removal),
+    "removal_summary": _query(_removal_summary),
     "ablation": _query(lambda i: experiments.ablation(i.parts, i.truth, K)),
     "component_gain": _query(lambda i: experiments.component_gain(experiments.ablation(i.parts, i.truth, K))),
     "metric_table": _query(lambda i: experiments.metric_table(i.adj, i.scores, i.scored, K, runs=RUNS)),

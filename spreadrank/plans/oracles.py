@@ -191,6 +191,7 @@ _learned = (
     "SELECT round(x1, 6) x1, round(x2, 6) x2, round(x3, 6) x3, round(x4, 6) x4, round(x1 + x2 + x3 + x4, 6) total, " + _dominant + " dominant, round(tau, 6) tau_learned, round(f.tau_fixed, 6) tau_fixed, "
     "round(CASE WHEN abs(f.tau_fixed) > 1e-8 THEN (tau - f.tau_fixed) / abs(f.tau_fixed) * 100 ELSE 0.0 END, 6) improvement FROM ({}) b, (SELECT tau tau_fixed FROM loss WHERE x1 = 0.25 AND x2 = 0.25 AND x3 = 0.25) f"
 )
+_best = _learned.format("SELECT * FROM loss ORDER BY round(loss, 9), candidate LIMIT 1")
 _quant = lambda p: f"quantile_cont(x, {p!r})"
 _scaledscores = "(SELECT method, (score - min(score) OVER (PARTITION BY method)) / (max(score) OVER (PARTITION BY method) - min(score) OVER (PARTITION BY method) + 1e-12) x FROM scores)"
 _n = lambda x: f"round({x}, 9)"
@@ -251,6 +252,13 @@ BODIES = {
     "weight_grid": "SELECT candidate, round(x1, 9) x1, round(x2, 9) x2, round(x3, 9) x3, round(x4, 9) x4, round(tau, 9) tau, round(loss, 9) loss FROM loss",
     "weight_learned": _learned.format("SELECT * FROM loss ORDER BY round(loss, 9), candidate LIMIT 1"),
     "weight_gradient": _learned.format("SELECT * FROM loss WHERE x1 = 0.25 AND x2 = 0.25 AND x3 = 0.25"),
+    "weights_summary": f"SELECT 'co_return' dataset, x1, x2, x3, x4, total, dominant FROM ({_best})",
+    "weight_matrix": f"SELECT 'co_return' dataset, unnest(['cli', 'csli', 'caspi', 'csi']) component, unnest([x1, x2, x3, x4]) weight FROM ({_best})",
+    "mean_improvement": f"SELECT round(avg(improvement), 6) improvement FROM ({_best})",
+    "removal_summary": f"SELECT round(b, 9) f_before, round(a, 9) f_after, round(CASE WHEN b > 1e-12 THEN (b - a) / b ELSE 0.0 END, 9) reduction, round(b / n, 9) ratio_before, round(a / (n - {K}), 9) ratio_after FROM (SELECT count(*)::DOUBLE / {RUNS} b FROM binf), (SELECT count(*)::DOUBLE / {RUNS} a FROM ainf), size_",
+    "all_metrics": "SELECT method, round(auc, 9) auc, ap, accuracy, precision, recall, f1, round(p_at_k, 9) p_at_k FROM auc JOIN ({ap}) USING (method) JOIN ({cl}) USING (method) JOIN pk USING (method)",
+    "top_k_labels": "SELECT method, node_id, truth::BIGINT truth, predicted::BIGINT predicted FROM lab",
+    "tau_rate_matrix": "SELECT method, " + ", ".join(f"max(tau) FILTER (rate = {r!r}) r_{r:.2f}".replace("r_0.", "r_0_") for r in RATES) + " FROM ({taus}) GROUP BY method",
     "node_removal": f"SELECT label, g.t::BIGINT t, round(count(*) FILTER (c.t <= g.t)::DOUBLE / {RUNS}, 9) f FROM (SELECT * FROM binf UNION ALL SELECT * FROM ainf) c, range({STEPS + 1}) g(t) GROUP BY label, g.t",
     "ablation": "SELECT method, round(tau, 9) tau, round(p_at_k, 9) p_at_k FROM atau JOIN apk USING (method)",
     "component_gain": "SELECT method, round(tau, 9) tau, round(tau - coalesce(lag(tau) OVER (ORDER BY ord), 0.0), 9) gain FROM atau",
@@ -258,13 +266,14 @@ BODIES = {
     "cascading_removal": "SELECT l.method, l.k, round((b.f - l.f) / (b.f + 1e-12), 9) reduction FROM kleft l JOIN kbase b ON b.method = l.method",
     "sir_error_bars": "SELECT method, round(avg(f), 9) mean, round(stddev_pop(f), 9) std FROM (SELECT label AS method, run // 3, count(*)::DOUBLE / 3 f FROM rinf GROUP BY label, run // 3) GROUP BY method",
     "curve_heatmap": "SELECT label, t::BIGINT t, round(f / CASE WHEN max(f) OVER (PARTITION BY label) > 0 THEN max(f) OVER (PARTITION BY label) ELSE 1.0 END, 9) AS value FROM curve",
-    "box_stats": f"SELECT method, {', '.join(_n(_quant(p)) + ' ' + n for p, n in ((0.0, 'low'), (0.25, 'q1'), (0.5, 'median'), (0.75, 'q3'), (1.0, 'high')))} FROM {_scaledscores} s, deg WHERE deg.node_id = (SELECT min(node_id) FROM deg) GROUP BY method",
+    "box_stats": f"SELECT method, {', '.join(_n(_quant(p)) + ' ' + n for p, n in ((0.0, 'low'), (0.25, 'q1'), (0.5, 'median'), (0.75, 'q3'), (1.0, 'high')))} FROM {_scaledscores} s GROUP BY method",
     "violin_quantiles": f"SELECT method, round(q, 9) q, round(value, 9) AS value FROM (SELECT method, unnest(list_transform(range(21), lambda i: i / 20.0::DOUBLE)) q, unnest([{', '.join(_quant(i / 20) for i in range(21))}]) AS value FROM {_scaledscores} s GROUP BY method)",
     "radar": "SELECT method, round(greatest(tau, 0) / coalesce(nullif(max(abs(tau)) OVER (), 0), 1), 9) tau, round(p_at_k / coalesce(nullif(max(p_at_k) OVER (), 0), 1), 9) p_at_k, round(coalesce(auc, 0.5) / greatest(max(auc) OVER (), 1.0), 9) auc, round(f_final / coalesce(nullif(max(f_final) OVER (), 0), 1), 9) f_final FROM tau JOIN pk USING (method) JOIN auc USING (method) JOIN metrics USING (method)",
     "histogram": "SELECT b::BIGINT bin, round(lo + b * (hi - lo) / 30, 9) low, count(x.node_id) n, round(count(x.node_id)::DOUBLE / (any_value(total) * ((hi - lo) / 30)), 9) density FROM (SELECT min(score) lo, max(score) hi, count(*) total FROM scores WHERE method = 'CI') s, range(30) g(b) LEFT JOIN (SELECT node_id, least(29, floor((score - min(score) OVER ()) / ((max(score) OVER () - min(score) OVER ()) / 30))) bin FROM scores WHERE method = 'CI') x ON x.bin = b GROUP BY b, lo, hi",
     "scatter_fit": "SELECT method, round(corr(score, sir), 9) pearson, round(regr_slope(sir, score), 9) slope, round(regr_intercept(sir, score), 9) intercept FROM scored GROUP BY method",
     "network_nodes": f"SELECT node_id, {_tier(0)} tier, {_tier(1)} colour, round({_tier(2)} + x * {_tier(3)}, 6) AS size, CASE WHEN rn <= 5 THEN '★ ' || node_id ELSE node_id::VARCHAR END AS label, 'node ' || node_id || ' | rank ' || rn AS title FROM (SELECT g.node_id, rn, CASE WHEN max(score) OVER () - min(score) OVER () > 1e-12 THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 0.0 END x FROM ego300 g JOIN ranked r ON r.node_id = g.node_id AND r.method = 'DC')",
 }
-BODIES["box_stats"] = BODIES["box_stats"].replace(" s, deg WHERE deg.node_id = (SELECT min(node_id) FROM deg)", " s")
+BODIES["all_metrics"] = BODIES["all_metrics"].format(ap=BODIES["average_precision"], cl=BODIES["classification"])
+BODIES["tau_rate_matrix"] = BODIES["tau_rate_matrix"].format(taus=BODIES["tau_vs_lambda"])
 
 SQL = {k: statement(b) for k, b in BODIES.items()}
