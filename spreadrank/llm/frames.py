@@ -8,7 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of texts are long; smaller Arrow batches bound what JVM and Python hold of them.
+_ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("64MB", "16MB")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the sizes of Arrow batches where the session has not set its own."""
+    for name, (usual, ours) in _ARROW.items():
+        if spark.conf.get(name, usual) in (usual, str(64 << 20), "67108864b"):
+            spark.conf.set(name, ours)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -47,6 +59,7 @@ def parts(spark: SparkSession) -> int:
 
 def docs_only(df: DataFrame) -> DataFrame:
     """doc_id and text alone; other columns never reach an operator."""
+    small_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

@@ -47,8 +47,15 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, o - o[0]
 
 
-def release() -> None:
-    """Gives memory that an earlier task of this worker freed back to the system."""
+#: What tasks keep in a worker for later tasks; a task of another operator drops it.
+KEPT: list[dict] = []
+
+
+def release(keep: dict | None = None) -> None:
+    """Drops what other operators' tasks keep in this worker, and gives freed memory back to the system."""
+    for cache in KEPT:
+        if cache is not keep:
+            cache.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import cut, parts, scratch, table
-from .kernels import release
+from .kernels import KEPT, release
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -100,6 +100,9 @@ class Encoder:
             return self.whole(text)
 
 
+KEPT.append(Encoder._made)
+
+
 def _open(uri: str):
     """File system and path of a URI or plain path."""
     return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri)
@@ -199,7 +202,7 @@ def write_tokens(docs: DataFrame, where: str, order: list[Column | str] | None =
     dealt = dealt.sortWithinPartitions(*names).select("doc_id", "text")
 
     def run(batches):
-        release()
+        release(keep=Encoder._made)
         encoder, writer, shard = Encoder.of(path), None, TaskContext.get().partitionId()
         end = np.array([END_ID], encoder.kind).tobytes()
         for b in batches:
