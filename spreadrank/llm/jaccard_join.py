@@ -431,7 +431,7 @@ def _open(posts: DataFrame) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id and n_links (tested links of the document's set) of each document."""
+    """doc_id, text_hash, n_shingles, component_id and n_verified (links of the document's set that were tested) of each document."""
     spark, n = docs.sparkSession, parts(docs.sparkSession)
     docs = docs_only(docs)
     hashed = docs.withColumn("text_hash", F.xxhash64("text"))
@@ -468,17 +468,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     more = cut(_links(work, rest, n))
     every = links.union(more)
     roots = components(every)
-    degree = every.union(every.select("b", "a")).distinct().groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = roots.join(degree, roots["node"] == degree["a"], "left").select("node", "root", "n_links")
+    degree = every.union(every.select("b", "a")).distinct().groupBy("a").agg(F.count(F.lit(1)).alias("n_verified"))
+    classes = roots.join(degree, roots["node"] == degree["a"], "left").select("node", "root", "n_verified")
     rows = named.join(classes, "node", "left").withColumn("root", F.when(F.col("doc_id").isNull() | (F.col("n") == 0), None).otherwise(F.coalesce("root", "node")))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root", "left").select(
-        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_verified", F.lit(0)).alias("n_verified")
     )
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, sql
 from .classifier import op10_quality_classifier
 from .decontamination import op6_decontamination
 from .jaccard_join import op2_jaccard_join
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {"op8_sharding": sharding.SQL}
+SQL: dict[str, str] = dict(sql.SQL)
