@@ -9,10 +9,12 @@ written whole under a name of their own for each attempt; the manifest, made
 durable by a checkpoint, names the attempt that counts, so a task that is run
 again leaves nothing wrong behind.
 
-Encoding uses the given tokenizer on whole texts. Where every space is followed
-by a non-space, the tokenizer's own pre-tokenisation cuts before each space, so
-a text's ids are those of its space-separated pieces one after the other, and
-pieces met before come from a bounded cache. Other texts are encoded in one go.
+Encoding uses the given byte-level tokenizer on whole texts. Where every space
+is followed by a non-space, the tokenizer's own pre-tokenisation cuts before
+each space, so a text's ids are those of its space-separated pieces one after
+the other, and pieces met before come from a bounded cache. A new piece of
+letters, with stops after it or not, is one or two pre-tokens and goes straight
+to the tokenizer's model. Other pieces and texts are encoded in one go.
 
 Nulls: a null text is empty (its end id alone); a null doc_id comes first. An
 empty table gives no files. Rows of equal doc_id stand in order of their text.
@@ -37,6 +39,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SEQUENCE, BATCH = 2048, 128
 CACHE = 400_000
+_STOPS = ".,;:!?"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -56,8 +59,13 @@ class _Pieces(dict):
         if len(self) >= CACHE:  # pieces in use come back from the older half
             self.older = dict(self)
             self.clear()
+        core = piece.rstrip(_STOPS)
         if piece in self.older:
             found = self.older[piece]
+        # letters make one pre-token with the prefix, and the stops after them another
+        elif core.isalpha():
+            found = self.get(core) or self.older.get(core) or self.encoder.letters(self.prefix + core)
+            found += self.encoder.stops[piece[len(core) :]]
         # a space before white space or an end is no cut: such a text is encoded whole
         elif self.prefix and (not piece or piece[0].isspace()):
             found = None
@@ -68,6 +76,20 @@ class _Pieces(dict):
         return found
 
 
+class _Stops(dict):
+    """Ids of runs of stops without a prefix."""
+
+    def __init__(self, encoder):
+        super().__init__({"": b""})
+        self.encoder = encoder
+
+    def __missing__(self, run: str) -> bytes:
+        found = self.encoder.whole(run)
+        if len(self) < 10_000 and len(run) < 9:
+            self[run] = found
+        return found
+
+
 class Encoder:
     _made: dict = {}
 
@@ -77,7 +99,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), END_ID) < 1 << 16 else "<u4")
-        self.first, self.rest = _Pieces(self, ""), _Pieces(self, " ")
+        self.model = self.tokenizer.model
+        # the byte-level alphabet: printable bytes stand for themselves, the others for 256 and on, in order
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.first, self.rest, self.stops = _Pieces(self, ""), _Pieces(self, " "), _Stops(self)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -88,6 +114,11 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def letters(self, text: str) -> bytes:
+        """Ids of one pre-token of letters, by the tokenizer's model alone."""
+        found = self.model.tokenize(text.encode().decode("latin-1").translate(self.alphabet))
+        return np.array([t.id for t in found], self.kind).tobytes()
+
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
