@@ -29,7 +29,9 @@ token once a task, so that very common passages do not gather anywhere. Node
 sets are sent once to each part of the nodes that asks for them.
 
 Nulls: a null text has an empty set; empty sets link with nothing. A null
-doc_id has no links and a null component. Repeated rows are one node; rows of
+doc_id has no links and a null component. Tasks name their batches by partition
+and order, so docs must come out alike when a task runs again: read them from
+files, as the queries do, or checkpoint them first. Repeated rows are one node; rows of
 one doc_id with different texts are different nodes. Sets are told apart by 128
 bits of hash, tokens by 64.
 """
