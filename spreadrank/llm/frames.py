@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,11 +43,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint in the shared folder."""
+    """Ends the lineage with a reliable checkpoint in the shared folder.
+
+    What led to it is then garbage; collecting it lets Spark delete the shuffle
+    files now instead of at the end of the job.
+    """
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return kept
 
 
 def scratch(spark: SparkSession, what: str) -> str:
