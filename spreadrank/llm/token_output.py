@@ -38,7 +38,7 @@ from .kernels import KEPT, release
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 SEQUENCE, BATCH = 2048, 128
-CACHE = 400_000
+CACHE = 800_000
 _STOPS = ".,;:!?"
 
 
