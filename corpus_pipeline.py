@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from spreadrank.llm.classifier import classify, fit
 from spreadrank.llm.decontamination import find_contamination, judged
-from spreadrank.llm.frames import carried, parts, restored, scratch, table
+from spreadrank.llm.frames import CARRIED, carried, parts, restored, scratch, table
 from spreadrank.llm.jaccard_join import one_of_each
-from spreadrank.llm.mixing import mix_sources
+from spreadrank.llm.mixing import ROW_BYTES, mix_sources
 from spreadrank.llm.token_output import read_tokens, write_tokens
 
 
@@ -40,9 +40,15 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(carried(docs))
-    order = ["slot", "place_in_source"]
-    return restored(mixed.repartitionByRange(parts(spark), *order).sortWithinPartitions(*order), docs.columns)
+    # places are worked out on narrow rows; rows alike in these three columns share a place, and all of them stay
+    key = ["doc_id", "source", "size"]
+    placed = mix_sources(docs).groupBy(*key).agg(F.min("slot").alias("slot"), F.min("place_in_source").alias("place"))
+    placed = placed.toDF(*[f"_{k}" for k in key], "slot", "place")
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(ROW_BYTES)
+    own = [F.col("doc_id"), F.col(f"{CARRIED}.source").cast("string"), size.cast("long")]
+    same = [x.eqNullSafe(F.col(f"_{k}")) for k, x in zip(key, own, strict=True)]
+    rows = carried(docs).hint("merge").join(placed, same[0] & same[1] & same[2])
+    return restored(rows.repartitionByRange(parts(spark), "slot", "place").sortWithinPartitions("slot", "place"), docs.columns)
 
 
 def write_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
