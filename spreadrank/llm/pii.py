@@ -16,7 +16,14 @@ of one half to the other, modulo its size, which is a permutation for any a, b.
 - email: the local part, character by character within letters and digits
 - secret: access keys, and values of password=, token= and the like, likewise
 
-What does not validate is left as it is. Separators and layout stay.
+What does not validate is left as it is and hides nothing: all kinds but the
+card and the IBAN validate in their pattern, so what fails is not matched, and
+no other kind fits inside an IBAN's run of letters and digits. Cards are looked
+for in what the other kinds leave. There every span of whole groups of digits is
+tried: first the usual layouts (one group, 4-4-4-4, 4-4-4-4-3, 4-6-5, 4-6-4),
+then, clear of those, the longest valid span from the left. Where a card in an
+unusual layout overlaps a value of another kind, the other kind goes first.
+Separators and layout stay.
 
 Nulls: a null text stays null with counts of 0. Empty tables give no rows;
 repeated rows are treated alike; other columns of the input are not read.
@@ -34,17 +41,26 @@ KEY = "not-a-secret"
 ROUNDS = 8
 KINDS = ("email", "phone", "card", "ip", "ssn", "date", "iban", "secret")
 _PHONE = r"(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.\-])[2-9][0-9]{2}[ .\-][0-9]{4}"
+_DAY = "(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
+_DAY_FIRST = "(?:(?:0[1-9]|[12][0-9]|3[01])/(?:0[13578]|1[02])|(?:0[1-9]|[12][0-9]|30)/(?:0[469]|11)|(?:0[1-9]|1[0-9]|2[0-8])/02)"
+_LEAP = "(?:19(?:0[48]|[2468][048]|[13579][26])|20(?:[02468][048]|[13579][26]))"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+_NAMES = ("password", "passwd", "secret", "token", "api_key")
+_AFTER = "|".join([*[f"{x}=" for x in _NAMES], "password: ", 'token = "', 'token: "', 'secret = "', 'api_key = "'])
 _PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]*+\.)+[A-Za-z]{2,}",
-    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?<=password=|passwd=|secret=|token=|api_key=|password: |token = \"|token: \"|secret = \"|api_key = \"))[A-Za-z0-9]{8,}",
+    "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?<=" + _AFTER + r"))(?![0-9]++(?![A-Za-z]))[A-Za-z0-9]{8,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z]{0,4}[0-9]{10,26}(?![A-Za-z0-9])",
     "phone": rf"(?<![0-9A-Za-z]){_PHONE}(?![0-9A-Za-z])",
-    "date": r"(?<![0-9A-Za-z/\-])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/(?:19|20)[0-9]{2})(?![0-9A-Za-z/\-])",
-    "ssn": r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])",
-    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])",
-    "card": r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "date": rf"(?<![0-9A-Za-z/\-])(?:(?:19|20)[0-9]{{2}}-{_DAY}|{_LEAP}-02-29|{_DAY_FIRST}/(?:19|20)[0-9]{{2}}|29/02/{_LEAP})(?![0-9A-Za-z/\-])",
+    "ssn": r"(?<![0-9A-Za-z\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z\-])",
+    "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
 }
 _ANY = "|".join(_PATTERNS.values())
+#: Groups of digits in which cards are looked for, and one card in them.
+_RUN = r"(?<![0-9A-Za-z])[0-9][0-9 \-]{11,}[0-9](?![0-9A-Za-z])"
+_CARD = r"^[0-9](?:[ \-]?[0-9]){12,18}$"
+_USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5})$"
 
 
 def _text(s: str) -> str:
@@ -148,11 +164,42 @@ def _branches(x: str, key: str) -> list[tuple[str, str, str]]:
         "concat_ws('.', cast(p.a div 256 as string), cast(p.a % 256 as string), cast(p.b div 256 as string), cast(p.b % 256 as string))"
     )
     out.append(("ip", f"{x} rlike '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$' and forall(split({x}, '[.]'), o -> cast(o as int) <= 255)", ip))
-    card = _let(q=d, u="(length(q) - 2) div 2", p=_feistel("card", "substr(q, 2, u)", "substr(q, u + 2, length(q) - 2 - u)", "cast(pow(10, u) as bigint)", "cast(pow(10, length(q) - 2 - u) as bigint)", key))(
+    return out
+
+
+def _card(x: str, key: str) -> str:
+    """SQL of the pseudonym of a valid card."""
+    d = f"regexp_replace({x}, '[^0-9]', '')"
+    return _let(q=d, u="(length(q) - 2) div 2", p=_feistel("card", "substr(q, 2, u)", "substr(q, u + 2, length(q) - 2 - u)", "cast(pow(10, u) as bigint)", "cast(pow(10, length(q) - 2 - u) as bigint)", key))(
         _let(z="concat(substr(q, 1, 1), lpad(cast(p.a as string), u, '0'), lpad(cast(p.b as string), length(q) - 2 - u, '0'))")(_refill(x, f"concat(z, {_check('z')})"))
     )
-    out.append(("card", f"{x} rlike '^[0-9][0-9 -]*[0-9]$' and length({d}) between 13 and 19 and {_check(f'substr({d}, 1, length({d}) - 1)')} = right({d}, 1)", card))
-    return out
+
+
+def _cards_of_run(run: str, key: str) -> str:
+    """SQL of a struct (o, n): a run of groups of digits with pseudonyms for its cards, and their number."""
+    each, d = "sequence(1, size(gg))", "regexp_replace(sp, '[^0-9]', '')"
+    span = lambda k: f"regexp_replace(array_join(slice(gg, ii, {k}), ''), '[ -]+$', '')"
+    valid = _let(sp=span("kk"))(f"sp rlike {_text(_CARD)} and {_check(f'substr({d}, 1, length({d}) - 1)')} = right(sp, 1)")
+    return _let(
+        gg=f"regexp_extract_all({run}, '[0-9]+[ -]*', 0)",
+        vv=f"transform({each}, ii -> filter(sequence(1, least(19, size(gg) - ii + 1)), kk -> {valid}))",
+        uu=f"transform({each}, ii -> coalesce(array_max(filter(vv[ii - 1], kk -> {span('kk')} rlike {_text(_USUAL)})), 0))",
+        ww=f"transform({each}, ii -> if(uu[ii - 1] > 0, uu[ii - 1], coalesce(array_max(filter(vv[ii - 1], kk -> not exists(slice(uu, ii, kk), y -> y > 0))), 0)))",
+    )(
+        f"aggregate({each}, named_struct('o', '', 'n', 0, 'to', 1), (ss, ii) -> case when ii < ss.to then ss "
+        f"when ww[ii - 1] = 0 then named_struct('o', concat(ss.o, gg[ii - 1]), 'n', ss.n, 'to', ii + 1) else "
+        + _let(sp=span("ww[ii - 1]"), tail="regexp_extract(gg[ii + ww[ii - 1] - 2], '[ -]*$', 0)")(f"named_struct('o', concat(ss.o, {_card('sp', key)}, tail), 'n', ss.n + 1, 'to', ii + ww[ii - 1])")
+        + " end, ss -> named_struct('o', ss.o, 'n', ss.n))"
+    )
+
+
+def _cards(x: str, key: str) -> str:
+    """SQL of a struct (o, n): a piece of text with pseudonyms for its cards, and their number."""
+    runs = f"regexp_extract_all({x}, {_text(_RUN)}, 0)"
+    filled = _let(cc=f"transform({runs}, rr -> {_cards_of_run('rr', key)})")(
+        f"named_struct('o', array_join(zip_with(split({x}, {_text(_RUN)}, -1), concat(cc.o, array('')), (a, b) -> concat(a, b)), ''), 'n', aggregate(cc.n, 0, (t, y) -> t + y))"
+    )
+    return f"if({x} rlike {_text(_RUN)}, {filled}, named_struct('o', {x}, 'n', 0))"
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -160,9 +207,14 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     cases = " ".join(f"when {cond} then named_struct('kind', '{kind}', 'new', {new})" for kind, cond, new in _branches("m", key))
     found = docs_only(docs).withColumn("_m", F.when(F.col("text").rlike("[0-9@]|AKIA|password|token|secret"), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))))
     found = found.withColumn("_p", F.expr(f"transform(_m, m -> case {cases} else named_struct('kind', '', 'new', m) end)"))
-    whole = F.expr(f"array_join(zip_with(split(text, {_text(_ANY)}, -1), concat(_p.new, array('')), (a, b) -> concat(a, b)), '')")
-    counts = [F.expr(f"cast(greatest(coalesce(size(filter(_p, p -> p.kind = '{k}')), 0), 0) as bigint)").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", F.when(F.size("_m") > 0, whole).otherwise(F.col("text")).alias("text"), *counts)
+    # what follows a value gets a letter in front, as no card begins there
+    rest = f"transform(split(text, {_text(_ANY)}, -1), (v, j) -> if(j = 0, v, concat('x', v)))"
+    found = found.withColumn("_c", F.expr(f"if(_m is null, null, transform({rest}, v -> {_cards('v', key)}))"))
+    whole = F.expr("array_join(zip_with(transform(_c.o, (v, j) -> if(j = 0, v, substr(v, 2))), concat(_p.new, array('')), (a, b) -> concat(a, b)), '')")
+    counts = {k: f"greatest(coalesce(size(filter(_p, p -> p.kind = '{k}')), 0), 0)" for k in KINDS} | {"card": "coalesce(aggregate(_c.n, 0, (t, y) -> t + y), 0)"}
+    counts = [F.expr(f"cast({v} as bigint)").alias(f"n_{k}") for k, v in counts.items()]
+    changed = F.expr("size(_m) > 0 or exists(_c, c -> c.n > 0)")
+    return found.select("doc_id", F.when(changed, whole).otherwise(F.col("text")).alias("text"), *counts)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

@@ -271,6 +271,25 @@ def test_what_does_not_validate_stays(spark):
     assert pii.pseudonymise(documents(spark)).count() == len(PLAIN)
 
 
+def test_a_plain_number_before_a_value_hides_nothing(spark):
+    values = {"card": "4111111111111111", "phone": "415-555-1234", "date": "2021-05-06", "ssn": "123-45-6789", "ip": "10.1.2.3", "iban": "DE89370400440532013000", "email": "ab@example.com"}
+    values = [*values.items(), ("card", "4111 1111 1111 1111"), ("card", "3782-822463-10005"), ("card", "41111 11111 111111"), ("date", "06/05/2021"), ("phone", "(415) 555-1234")]
+    before = ("12", "1200", "4432", "10023", "4041894974608796", "2021-02-30", "999.1.1.1", "000-12-3456", "DE00370400440532013000", "1 2", "token=12345678")
+    cases = [(k, v, b, a) for k, v in values for b in before for a in ("", " 77", " 77 end", "\n", " ok")]
+    alone = {r["text"]: r for r in pii.pseudonymise(documents(spark, [(i, v) for i, (_, v) in enumerate(values)], repeat=False)).collect()}
+    assert len(alone) == len(values) and all(sum(r[f"n_{k}"] for k in pii.KINDS) == 1 for r in alone.values())
+    rows = [(i, f"{b} {v}{a}") for i, (_, v, b, a) in enumerate(cases)]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(documents(spark, rows, repeat=False)).collect()}
+    for (i, text), (k, v, _, _) in zip(rows, cases):
+        assert got[i][f"n_{k}"] >= 1 and v not in got[i]["text"], text
+        if k != "card" or v.isdigit() or re.fullmatch(r"[0-9]{4}[ -].*", v):  # a usual layout: just the value changes to what it is alone
+            assert re.sub("[0-9]", "9", got[i]["text"]) == re.sub("[0-9]", "9", text) or k in ("ip", "email"), text
+            assert any(x in got[i]["text"] for x in alone), text
+    long = documents(spark, [(1, "7" * 60_000), (2, "1 " * 3000 + "4111111111111111"), (3, "a@b.com4111111111111111")], repeat=False)
+    long = {r["doc_id"]: r for r in pii.pseudonymise(long).collect()}
+    assert long[1]["text"] == "7" * 60_000 and long[2]["n_card"] >= 1 and not long[2]["text"].endswith("4111111111111111") and long[3]["n_card"] == 0
+
+
 # -- pipeline ----------------------------------------------------------------------------------
 
 
