@@ -61,6 +61,8 @@ _ANY = "|".join(_PATTERNS.values())
 _RUN = r"(?<![0-9A-Za-z])[0-9][0-9 \-]{11,}[0-9](?![0-9A-Za-z])"
 _CARD = r"^[0-9](?:[ \-]?[0-9]){12,18}$"
 _USUAL = r"^(?:[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5})$"
+#: No kind is without one of these.
+_GATE = f"[0-9@]|AKIA|(?i:{'|'.join(_NAMES)})"
 
 
 def _text(s: str) -> str:
@@ -205,7 +207,7 @@ def _cards(x: str, key: str) -> str:
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text with pseudonyms, and the count of each kind (n_email and so on)."""
     cases = " ".join(f"when {cond} then named_struct('kind', '{kind}', 'new', {new})" for kind, cond, new in _branches("m", key))
-    found = docs_only(docs).withColumn("_m", F.when(F.col("text").rlike("[0-9@]|AKIA|password|token|secret"), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))))
+    found = docs_only(docs).withColumn("_m", F.when(F.col("text").rlike(_GATE), F.regexp_extract_all("text", F.lit(_ANY), F.lit(0))))
     found = found.withColumn("_p", F.expr(f"transform(_m, m -> case {cases} else named_struct('kind', '', 'new', m) end)"))
     # what follows a value gets a letter in front, as no card begins there
     rest = f"transform(split(text, {_text(_ANY)}, -1), (v, j) -> if(j = 0, v, concat('x', v)))"
