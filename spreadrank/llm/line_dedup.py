@@ -6,14 +6,16 @@ lines link when the Jaccard similarity of their sets is at least 0.8. Linked
 lines form components by distributed union-find; of all lines of a component,
 exact copies included, only the first (smallest doc_id, then position) stays.
 
-Signatures are ``BANDS`` bands of two minima. Lines of up to ``LONG`` * 5/4
-characters hash all shingles; lines over ``LONG`` hash those that begin after a
-non-letter or a CJK character. Lines between the two have both signatures, and
-linked lines differ by at most a quarter in size, so any linked pair has one
-kind in common. Signatures only propose pairs: verification is exact and uses
-all shingles of both lines. In a band bucket each line is first tested against
-the bucket's smallest line; after union-find, lines of one bucket that are
-still in different components are tested pairwise, so no partner is left out.
+The size of a line is the number of its distinct shingles; linked lines differ
+by at most a quarter in size, however long they are as text. Signatures are
+``BANDS`` bands of two minima. Lines of a size up to ``LONG`` * 5/4 hash all
+shingles; lines of a size over ``LONG`` hash those that begin after a non-letter
+or a CJK character. Lines between the two have both signatures, so any linked
+pair has one kind in common. Signatures only propose pairs: verification is
+exact and uses all shingles of both lines. In a band bucket each line is first
+tested against the bucket's smallest line; after union-find, lines of one bucket
+that are still in different components and whose sizes allow a link are tested
+pairwise, so no pair that shares a bucket and could join two is left out.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes last in the
 order, and its lines lose to others. Empty tables give no rows. Rows that
@@ -44,10 +46,10 @@ def _mask(i: int) -> int:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line, whole (128 bits of the line), id (64 bits) and n (characters) of each line with a word."""
+    """doc_id, pos, line, whole (128 bits of the line) and id (64 bits) of each line with a word."""
     line = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     line = line.where(F.col("line").rlike(_WORDED))
-    return line.withColumns({"whole": F.unhex(F.md5(F.col("line").cast("binary"))), "id": F.xxhash64("line"), "n": F.char_length("line")})
+    return line.withColumns({"whole": F.unhex(F.md5(F.col("line").cast("binary"))), "id": F.xxhash64("line")})
 
 
 def shingles(line: str = "line") -> Column:
@@ -56,12 +58,11 @@ def shingles(line: str = "line") -> Column:
 
 
 def bands(lines: DataFrame) -> DataFrame:
-    """id, n and band keys of each distinct line, one row for each kind of signature and band."""
-    every = F.when(F.col("n") < SHINGLE, F.array("line")).otherwise(F.regexp_extract_all("line", F.lit(_ALL), F.lit(1)))
-    some = F.regexp_extract_all("line", F.lit(_SOME), F.lit(1))
-    short = lines.where(F.col("n") <= LONG * 5 // 4).select("id", "n", F.lit(0).alias("kind"), F.explode(every).alias("s"))
-    long = lines.where(F.col("n") > LONG).select("id", "n", F.lit(1).alias("kind"), F.explode(F.concat(some, F.array(F.substring("line", 1, SHINGLE)))).alias("s"))
-    hashed = short.union(long).select("id", "n", "kind", F.xxhash64("s").alias("h"))
+    """id, n (distinct shingles) and band keys of each distinct line, one row for each kind of signature and band."""
+    sets = lines.select("id", "line", shingles().alias("s")).select("id", "line", "s", F.size("s").alias("n"))
+    some = F.concat(F.regexp_extract_all("line", F.lit(_SOME), F.lit(1)), F.array(F.substring("line", 1, SHINGLE)))
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.when(F.col("n") <= LONG * 5 // 4, F.col("s")).alias("s")), F.struct(F.lit(1).alias("kind"), F.when(F.col("n") > LONG, some).alias("s")))
+    hashed = sets.select("id", "n", F.inline(kinds)).select("id", "n", "kind", F.explode("s").alias("s")).select("id", "n", "kind", F.xxhash64("s").alias("h"))
     minima = hashed.groupBy("id", "n", "kind").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
     keys = F.array(*[F.xxhash64("kind", F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     return minima.select("id", "n", F.explode(keys).alias("key"))
@@ -81,7 +82,7 @@ def line_classes(lines: DataFrame) -> DataFrame:
     posts = bands(lines)
     buckets = posts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
     posts = cut(posts.join(buckets.select("key", "hub"), "key"))
-    near = lambda a, b: F.expr(f"least({a}, {b}) >= 0.8 * greatest({a}, {b}) - {SHINGLE}")  # noqa: E731  a necessary condition on the lengths
+    near = lambda a, b: F.expr(f"5 * least({a}, {b}) >= 4 * greatest({a}, {b})")  # noqa: E731  a necessary condition on the sizes, as SIMILARITY is 4/5
     hubs = posts.where("id = hub").select("key", F.col("n").alias("hub_n"))
     first = posts.where("id <> hub").join(hubs, "key").where(near("n", "hub_n")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     first = cut(first)

@@ -209,6 +209,15 @@ def test_bands_have_high_recall(spark):
     assert all(got[2 * i + 1] == text[2 * i + 1] for i in range(120) if i not in near)
 
 
+def test_repetitive_lines_of_different_lengths(spark):
+    rng = random.Random(6)
+    saying = " ".join(f"word{rng.randrange(1000)}" for _ in range(32))  # over 200 distinct shingles
+    lines = [c * n for c in "=-." for n in (9, 40, 80, 100, 300, 700)] + ["ha " * n + "ha" for n in (8, 20, 90, 300)] + [" ".join([saying] * n) for n in (2, 3, 7)] + ["=" * 8]
+    rows = [(i, x) for i, x in enumerate(lines)]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(documents(spark, rows, repeat=False)).collect()}
+    assert {i for i, n in got.items() if n == 0} == {0, 6, 12, 18, 22, 25}
+
+
 def test_line_dedup_repeats_and_empty_tables(spark):
     got = line_dedup.line_dedup(documents(spark, [(5, "a line\nb line"), (5, "a line\nb line"), (7, "a line\nmore")], repeat=False)).orderBy("doc_id").collect()
     assert [r["text"] for r in got] == ["a line\nb line", "a line\nb line", "more"]
