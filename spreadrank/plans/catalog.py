@@ -114,6 +114,8 @@ QUERIES = {
     "hop_layers_l2": _query(lambda i: graph.hop_layers(i.adj, i.nodes, 2).groupBy("src", "dist").agg(F.count(F.lit(1)).alias("n_nodes"))),
     "ball_sizes": _query(lambda i: graph.balls(i.adj, _dc_top(i).select("node_id"), 2).groupBy("center").agg(F.count(F.lit(1)).alias("n_edges"))),
     "ball_sizes_no_center": _query(lambda i: graph.balls(i.adj, _dc_top(i).select("node_id"), 2, center=False).groupBy("center").agg(F.count(F.lit(1)).alias("n_edges"))),
+    "ball_sizes_all": _query(lambda i: graph.balls(i.adj, i.nodes, 2).groupBy("center").agg(F.count(F.lit(1)).alias("n_edges"))),
+    "ball_sizes_all_no_center": _query(lambda i: graph.balls(i.adj, i.nodes, 2, center=False).groupBy("center").agg(F.count(F.lit(1)).alias("n_edges"))),
     "ego_subgraph_top5": _query(lambda i: graph.induced(i.edges, graph.ego_subgraph(i.adj, _top5(i)))),
     "remove_top10": _query(lambda i: graph.without(i.edges, _dc_top(i))),
     "communities": _query(_communities),
@@ -130,6 +132,7 @@ QUERIES = {
     "local_influence": _values(influence.local_influence, "cli"),
     "semilocal_influence": _query(lambda i: influence.semilocal_influence(i.adj, i.blended).withColumn("csli", F.round("csli", 6))),
     "path_disruption_top20": _query(_top20),
+    "path_disruption": _query(lambda i: influence.path_disruption(i.adj, depth=2)),
     "path_disruption_l1": _query(lambda i: influence.path_disruption(i.adj, depth=1)),
     "semantic_influence": _query(lambda i: influence.semantic_influence(i.blended)),
     "influence_score": _query(_influence),
