@@ -3,13 +3,15 @@
 A column of texts is one byte buffer plus offsets. Word boundaries, word hashes
 and hashes of word windows are found for a whole chunk of documents with NumPy,
 so no Python loop touches single words. Chunks hold a bounded number of text
-bytes (a single longer text makes a chunk of its own) and the hashing works in
-bounded segments, so memory follows the chunk and not the partition.
+bytes (a single longer text makes a chunk of its own), so memory follows the
+chunk and not the partition. Hashes are built from mixed blocks of bytes; they
+are no polynomials, which repetitive words would defeat.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +19,11 @@ import pyarrow as pa
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20
-_SEGMENT = 1 << 18
-_BYTE_BASE = 0x9E3779B97F4A7C15 | 1
-_WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
+#: Two independent hashes of words and windows; together they are 128 bits wide.
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_FACTOR = 0xFF51AFD7ED558CCD
+_LONG = 512
+_KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
 
 _ALL = np.arange(256)
 #: Words are runs of bytes other than space and \t..\r.
@@ -78,25 +82,6 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             at = end
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n at least."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, _SEGMENT + 4096)
-        made = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        have = (made[0], made[1])
-        if size <= 4 * _SEGMENT:
-            _powers[base] = have
-    return have
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> U64(30))
@@ -106,22 +91,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hash of values[s:e] for every span; starts must not decrease."""
-    out = np.empty(len(starts), U64)
-    at = 0
-    while at < len(starts):
-        lo = int(starts[at])
-        end = max(int(np.searchsorted(starts, lo + _SEGMENT, side="left")), at + 1)
-        s, e = starts[at:end], ends[at:end]
-        hi = int(e.max()) if len(e) else lo
-        part = values[lo:hi].astype(U64) + U64(1)
-        power, inverse = _power(base, hi - lo + 1)
-        total = np.zeros(hi - lo + 1, U64)
-        np.cumsum(part * power[: hi - lo], out=total[1:])
-        out[at:end] = (total[e - lo] - total[s - lo]) * inverse[s - lo]
-        at = end
-    return mix(out + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """64-bit hash of the bytes data[s:e] of every span.
+
+    Eight bytes at a time go through the mixer, which is a bijection of them; spans over ``_LONG`` bytes take BLAKE2.
+    """
+    size = ends - starts
+    out = mix(size.astype(U64) * U64(_FACTOR) + U64(seed))
+    lanes = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    at, left = starts[live], size[live]
+    while len(live):
+        lane = lanes[at] & _KEEP[np.minimum(left, 8)]
+        out[live] = mix(out[live] ^ (lane * U64(_FACTOR)))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > _LONG):
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of a sequence whose two parts have the hashes a and b."""
+    return mix(a * U64(_FACTOR) + b)
 
 
 class Words:
@@ -145,7 +138,7 @@ class Words:
         self.mask = mask
         self._doc: np.ndarray | None = None
         if hashed:
-            self.hash = span_hashes(data, self.starts, self.ends, _BYTE_BASE)
+            self.hash = span_hashes(data, self.starts, self.ends)
 
     @property
     def doc(self) -> np.ndarray:
@@ -154,6 +147,11 @@ class Words:
             self._doc = np.repeat(np.arange(len(self.counts)), self.counts)
         return self._doc
 
+    @property
+    def second(self) -> np.ndarray:
+        """Another 64 bits of hash of each word."""
+        return span_hashes(self.data, self.starts, self.ends, SEEDS[1])
+
     def windows(self, m: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all windows of m words within one document, and their hashes."""
         return windows(self.hash, self.doc, m)
@@ -164,11 +162,34 @@ def windows(hashes: np.ndarray, doc: np.ndarray, m: int) -> tuple[np.ndarray, np
     if n < m:
         return np.zeros(0, np.int64), np.zeros(0, U64)
     s = np.flatnonzero(doc[: n - m + 1] == doc[m - 1 :])
-    return s, span_hashes(hashes, s, s + m, _WORD_BASE)
+    return s, window_hashes(hashes, m)[s]
+
+
+def window_hashes(hashes: np.ndarray, m: int) -> np.ndarray:
+    """Hash of hashes[i:i + m] for each i, from hashes of windows of powers of two."""
+    n, out, size, power, wide = len(hashes) - m + 1, None, 0, 1, hashes
+    while power <= m:
+        if m & power:
+            part = wide[size : size + n]
+            out = part if out is None else _joined(out, part)
+            size += power
+        if 2 * power <= m:
+            wide = _joined(wide[:-power], wide[power:])
+        power *= 2
+    return mix(out + U64(m))
 
 
 def sequence_hash(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hashes(hashes, starts, ends, _WORD_BASE)
+    """Hash of hashes[s:e] of every span; for spans of few hashes."""
+    size = ends - starts
+    out, live = mix(size.astype(U64)), np.flatnonzero(size > 0)
+    at = starts[live]
+    while len(live):
+        out[live] = _joined(out[live], hashes[at])
+        at = at + 1
+        more = at < ends[live]
+        live, at = live[more], at[more]
+    return out
 
 
 def words_of(col: pa.Array, is_word: np.ndarray = SPACED, lower: bool = False, hashed: bool = True) -> Words:

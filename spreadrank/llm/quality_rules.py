@@ -58,7 +58,7 @@ def base_counts(w: K.Words, offsets: np.ndarray) -> dict[str, np.ndarray]:
     ends = np.maximum(ends, starts)
     worded = np.searchsorted(w.starts, starts) < np.searchsorted(w.starts, ends)
     starts, ends, line_doc = starts[worded], ends[worded], line_doc[worded]
-    h = K.span_hashes(data, starts, ends, K._BYTE_BASE)
+    h = K.span_hashes(data, starts, ends)
     order = np.lexsort((h, line_doc))
     again = np.zeros(len(h), bool)
     again[1:] = (h[order][1:] == h[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])

@@ -12,8 +12,10 @@ window of a later document covers is removed.
 Hashes travel in packed blocks, one for each task and hash range, not as rows.
 Each task first settles what it sees itself: of a gram that many of its
 documents share it sends one entry, so a very common passage costs one entry a
-task. Blocks go to as many hash ranges as there are shuffle partitions. Windows
-are told apart by 64 bits of hash within a hash range.
+task. Blocks go to as many hash ranges as there are shuffle partitions. An
+anchor only proposes, so it travels as 32 bits within its hash range: two that
+are alike by chance cost a look and change nothing. Windows decide, so they are
+told apart by 128 bits of two independent hashes of their words.
 
 Nulls: a null text has no words; a null doc_id comes after all others (several
 are equal, so they take nothing from each other). Empty tables give no rows.
@@ -37,6 +39,8 @@ GRAM = WINDOW - PERIOD + 1
 FLUSH = 1_000_000
 LAST = np.iinfo(np.int64).max
 _SHARED = np.iinfo(np.int64).min  # stands for a document in an entry that says "shared already"
+#: What a task sends of an anchor: half of its hash, as its range fixes more bits.
+_SHORT = np.uint32
 _BLOCK = "part int, told boolean, hashes binary, owners binary, counts binary"
 _HITS = "owner long, told binary"
 
@@ -49,8 +53,8 @@ def _groups(values: np.ndarray) -> np.ndarray:
 
 
 def _blocks(part: np.ndarray, owner: np.ndarray, h: np.ndarray, n_parts: int, told: bool):
-    """Packed (owner, hash) pairs, one row for each part that has any."""
-    order = np.lexsort((h, owner, part))
+    """Packed (owner, hash) pairs, one row for each part that has any; a hash is a row of h."""
+    order = np.lexsort((h if h.ndim == 1 else h[:, 0], owner, part))
     part, owner, h = part[order], owner[order], h[order]
     cuts = np.searchsorted(part, np.arange(n_parts + 1))
     rows: dict = {"part": [], "told": [], "hashes": [], "owners": [], "counts": []}
@@ -70,35 +74,54 @@ def _tell(owner: np.ndarray, h: np.ndarray, n_parts: int):
     yield from _blocks((K.mix(owner.astype(K.U64)) % K.U64(n_parts)).astype(np.int64), owner, h, n_parts, True)
 
 
-def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
-    hs = [np.zeros(0, K.U64), *[np.frombuffer(r["hashes"], K.U64) for r in rows]]
+def _unpacked(rows: list[dict], kind: type) -> tuple[np.ndarray, np.ndarray]:
+    hs = [np.zeros(0, kind), *[np.frombuffer(r["hashes"], kind) for r in rows]]
     os_ = [np.zeros(0, np.int64), *[np.repeat(np.frombuffer(r["owners"], np.int64), np.frombuffer(r["counts"], np.uint32)) for r in rows]]
     return np.concatenate(hs), np.concatenate(os_)
 
 
-def _sent(h: np.ndarray, owner: np.ndarray, n_parts: int, owned: bool):
+def _in_order(h: np.ndarray, again: np.ndarray | None, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
+    """All three in the order of hash and owner, and the starts of runs of one hash and the end."""
+    order = np.lexsort((owner, h))
+    if again is not None:
+        same = h[order][1:] == h[order][:-1]
+        if (same & (again[order][1:] != again[order][:-1])).any():  # alike in the first 64 bits only
+            order = np.lexsort((owner, again, h))
+        again = again[order]
+    h, owner = h[order], owner[order]
+    if not len(h):
+        return h, again, owner, np.zeros(1, np.int64)
+    new = h[1:] != h[:-1]
+    if again is not None:
+        new |= again[1:] != again[:-1]
+    return h, again, owner, np.concatenate([[0], np.flatnonzero(new) + 1, [len(h)]])
+
+
+def _sent(h: np.ndarray, again: np.ndarray | None, owner: np.ndarray, n_parts: int):
     """Settles the hashes of one task as far as it can, and gives its blocks and told rows.
 
-    owned: a hash belongs to its smallest owner and only the others are told;
-    else all owners of a hash that several have are told.
+    Windows have ``again``, the other half of their hash; a window belongs to
+    its smallest owner and only the others are told. Without it, all owners of
+    an anchor that several have are told.
     """
-    order = np.lexsort((owner, h))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    if len(h):
-        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    h, owner = h[new], owner[new]
-    at = _groups(h)
-    size = np.diff(at)
+    h, again, owner, at = _in_order(h, again, owner)
     if not len(h):
         return
-    head, several = at[:-1], np.repeat(size > 1, size)
-    tell = several.copy()
-    if owned:
-        tell[head] = False
-    yield from _tell(owner[tell], h[tell], n_parts)
-    sent_owner = owner[head] if owned else np.where(size > 1, _SHARED, owner[head])
-    yield from _blocks((K.mix(h[head]) % K.U64(n_parts)).astype(np.int64), sent_owner, h[head], n_parts, False)
+    new = np.ones(len(h), bool)
+    new[1:] = owner[1:] != owner[:-1]
+    new[at[:-1]] = True
+    size = np.add.reduceat(new.astype(np.int64), at[:-1])
+    first = at[:-1]
+    tell = np.repeat(size > 1, np.diff(at)) & new
+    if again is not None:
+        tell[first] = False
+    short = h if again is not None else (h >> K.U64(32)).astype(_SHORT)
+    yield from _tell(owner[tell], short[tell], n_parts)
+    part = (K.mix(h[first]) % K.U64(n_parts)).astype(np.int64)
+    if again is not None:
+        yield from _blocks(part, owner[first], np.column_stack([h[first], again[first]]), n_parts, False)
+    else:
+        yield from _blocks(part, np.where(size > 1, _SHARED, owner[first]), short[first], n_parts, False)
 
 
 def _settle(n_parts: int, owned: bool):
@@ -111,11 +134,13 @@ def _settle(n_parts: int, owned: bool):
             if told.num_rows:
                 yield told
             rows += b.filter(pa.compute.invert(K.column(b, "told"))).to_pylist()
-        h, owner = _unpacked(rows)
+        if owned:
+            both, owner = _unpacked(rows, np.dtype((K.U64, 2)))
+            h, again = both.reshape(-1, 2).T
+        else:
+            (h, owner), again = _unpacked(rows, _SHORT), None
         del rows
-        order = np.lexsort((owner, h))
-        h, owner = h[order], owner[order]
-        at = _groups(h)
+        h, _, owner, at = _in_order(h, again, owner)
         if not len(h):
             return
         size = np.diff(at)
@@ -126,15 +151,19 @@ def _settle(n_parts: int, owned: bool):
     return run
 
 
-def _gathered(batches):
+def _gathered(owned: bool):
     """All hashes that each owner of a part was told of, one row an owner."""
-    h, owner = _unpacked([r for b in batches for r in b.to_pylist()])
-    order = np.argsort(owner, kind="stable")
-    h, owner = h[order], owner[order]
-    at = _groups(owner)
-    for i in range(0, len(at) - 1, 5000):
-        cuts = at[i : i + 5001]
-        yield pa.RecordBatch.from_pydict({"owner": pa.array(owner[cuts[:-1]]), "told": K.binary([K.pack(h[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])})
+
+    def run(batches):
+        h, owner = _unpacked([r for b in batches for r in b.to_pylist()], K.U64 if owned else _SHORT)
+        order = np.argsort(owner, kind="stable")
+        h, owner = h[order], owner[order]
+        at = _groups(owner)
+        for i in range(0, len(at) - 1, 5000):
+            cuts = at[i : i + 5001]
+            yield pa.RecordBatch.from_pydict({"owner": pa.array(owner[cuts[:-1]]), "told": K.binary([K.pack(h[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)])})
+
+    return run
 
 
 def _anchors(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -145,21 +174,23 @@ def _anchors(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     return s[on], h[on]
 
 
-def _send(found, n_parts: int, owned: bool):
-    """A mapper that gathers (hash, owner) of many chunks before it sends."""
+def _send(found, n_parts: int):
+    """A mapper that gathers (hash, its other half or None, owner) of many chunks before it sends."""
+
+    def sent(held):
+        hs, others, owners = zip(*held, strict=True)
+        return _sent(np.concatenate(hs), None if others[0] is None else np.concatenate(others), np.concatenate(owners), n_parts)
 
     def run(batches):
-        hs, os_, n = [], [], 0
+        held, n = [], 0
         for b in K.chunks(batches):
-            h, owner = found(b)
-            hs.append(h)
-            os_.append(owner)
-            n += len(h)
+            held.append(found(b))
+            n += len(held[-1][0])
             if n >= FLUSH:
-                yield from _sent(np.concatenate(hs), np.concatenate(os_), n_parts, owned)
-                hs, os_, n = [], [], 0
+                yield from sent(held)
+                held, n = [], 0
         if n:
-            yield from _sent(np.concatenate(hs), np.concatenate(os_), n_parts, owned)
+            yield from sent(held)
 
     return run
 
@@ -171,19 +202,19 @@ def _owner(b: pa.RecordBatch) -> np.ndarray:
 def _anchor_hashes(b):
     w = K.words_of(K.column(b, "text"))
     s, h = _anchors(w)
-    return h, _owner(b)[w.doc[s]]
+    return h, None, _owner(b)[w.doc[s]]
 
 
-def _known(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def _known(b: pa.RecordBatch, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of which the documents of a chunk were told, with their ordinals."""
     lists = K.column(b, "told").to_pylist()
-    n = np.array([len(x) // 8 if x else 0 for x in lists], np.int64)
-    return np.frombuffer(b"".join(x for x in lists if x), K.U64), np.repeat(np.arange(b.num_rows), n)
+    n = np.array([len(x) // np.dtype(kind).itemsize if x else 0 for x in lists], np.int64)
+    return np.frombuffer(b"".join(x for x in lists if x), kind), np.repeat(np.arange(b.num_rows), n)
 
 
 def _among(h: np.ndarray, doc: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
     """Which (hash, document) pairs the documents were told of."""
-    told, of = _known(b)
+    told, of = _known(b, h.dtype)
     salt = K.U64(0x9E3779B97F4A7C15)
     return np.isin(K.mix(h ^ K.mix(doc.astype(K.U64) * salt)), K.mix(told ^ K.mix(of.astype(K.U64) * salt)))
 
@@ -192,11 +223,12 @@ def _window_hashes(b):
     w = K.words_of(K.column(b, "text"))
     s, h = _anchors(w)
     shared = np.zeros(w.n + PERIOD, np.int64)
-    shared[s[_among(h, w.doc[s], b)]] = 1
+    shared[s[_among((h >> K.U64(32)).astype(_SHORT), w.doc[s], b)]] = 1
     total = np.concatenate([[0], np.cumsum(shared)])
     s, h = w.windows(WINDOW)
     near = total[s + PERIOD] > total[s]
-    return h[near], _owner(b)[w.doc[s[near]]]
+    again = K.window_hashes(w.second, WINDOW)[s[near]] if near.any() else h[near]
+    return h[near], again, _owner(b)[w.doc[s[near]]]
 
 
 def _removed(batches):
@@ -233,8 +265,8 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     )
 
     def told(df: DataFrame, found, owned: bool) -> DataFrame:
-        sent = df.mapInArrow(_send(found, n, owned), _BLOCK).repartitionById(n, F.col("part"))
-        hits = sent.mapInArrow(_settle(n, owned), _BLOCK).repartitionById(n, F.col("part")).mapInArrow(_gathered, _HITS)
+        sent = df.mapInArrow(_send(found, n), _BLOCK).repartitionById(n, F.col("part"))
+        hits = sent.mapInArrow(_settle(n, owned), _BLOCK).repartitionById(n, F.col("part")).mapInArrow(_gathered(owned), _HITS)
         # both joins read one and the same exchange of the documents
         return docs.hint("merge").join(hits, "owner", "left")
 

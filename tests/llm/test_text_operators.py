@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from helpers import ALNUM, LOWER, SCHEMA, WORD, documents, prose, texts
 
+from spreadrank.llm import kernels as K
 from spreadrank.llm import decontamination, fm_index, jaccard_join, quality_rules, substring_dedup, token_output
 from spreadrank.llm.frames import scratch
 
@@ -150,6 +151,42 @@ def test_substring_dedup(spark, seed):
     assert all(sum(s["end"] - s["start"] for s in r["spans"]) == r["n_removed"] for r in got)
 
 
+def thue_morse(n):
+    """Two texts of 2**n letters that collide under every polynomial modulo 2**64 with an odd base, for n > 10."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [7, 10, 13])
+def test_words_that_polynomials_confuse(spark, n):
+    a, b = thue_morse(n)
+    tail = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, a), (2, b), (3, f"{a} {tail}"), (4, f"{b} {tail}"), (5, f"{a} {tail}")]
+    docs = documents(spark, rows, repeat=False)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13}
+    items = spark.createDataFrame([(1, a), (2, f"{b} {tail}")], "item_id long, text string")
+    found = {r["doc_id"]: r["items"] or [] for r in decontamination.find_contamination(docs, items).collect()}
+    assert found == {1: ["1"], 2: [], 3: ["1"], 4: ["2"], 5: ["1"]}
+    twice = documents(spark, [(1, f"{a}\n{b}\n{a}")], repeat=False)
+    assert quality_rules.quality_rules(twice, labels(spark)).first()["n_dup_lines"] == 1
+
+
+def test_window_hashes_follow_the_words():
+    rng = np.random.default_rng(5)
+    h = rng.integers(0, 3, 400).astype(np.uint64)
+    for m in range(1, 15):
+        got = K.window_hashes(h, m)
+        want = [tuple(h[i : i + m]) for i in range(len(h) - m + 1)]
+        assert len(got) == len(want) and len(set(got.tolist())) == len(set(want)) == len(set(zip(got.tolist(), want)))
+
+
+def test_windows_alike_in_half_of_their_hash():
+    h, again, owner = np.array([5, 5, 5, 7], np.uint64), np.array([1, 2, 1, 1], np.uint64), np.array([30, 20, 10, 10])
+    _, again, owner, at = substring_dedup._in_order(h, again, owner)
+    assert at.tolist() == [0, 2, 3, 4] and owner.tolist() == [10, 30, 20, 10] and again.tolist() == [1, 1, 2, 1]
+
+
 def test_difference_cover():
     for a in range(7):
         for b in range(7):
