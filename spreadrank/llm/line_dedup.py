@@ -6,21 +6,29 @@ lines link when the Jaccard similarity of their sets is at least 0.8. Linked
 lines form components by distributed union-find; of all lines of a component,
 exact copies included, only the first (smallest doc_id, then position) stays.
 
-The size of a line is the number of its distinct shingles; linked lines differ
-by at most a quarter in size, however long they are as text. Signatures are
-``BANDS`` bands of two minima. Lines of a size up to ``LONG`` * 5/4 hash all
-shingles; lines of a size over ``LONG`` hash those that begin after a non-letter
-or a CJK character. Lines between the two have both signatures, so any linked
-pair has one kind in common. Signatures only propose pairs: verification is
-exact and uses all shingles of both lines. In a band bucket each line is first
-tested against the bucket's smallest line; after union-find, lines of one bucket
-that are still in different components and whose sizes allow a link are tested
-pairwise, so no pair that shares a bucket and could join two is left out.
+Signatures are ``BANDS`` bands of two minima over all shingles of a line, hashed
+from a fixed-width encoding. They only propose pairs; whether two lines link is
+decided on whole sets:
+
+1. Of the lines that share a band bucket with another line, and of no others,
+   each distinct line's set is made once: its exact size, and a map of ``WORDS``
+   * 64 bits of the hash classes that its shingles take.
+2. A class that only one of two lines takes stands for a shingle that only this
+   line has. That bounds the similarity from above, exactly, so a pair that fails
+   the bound is no link; it is a condition of the join that makes the pairs.
+3. Pairs that pass are tested on both sets. Each line of a bucket first meets the
+   bucket's smallest line. After union-find, lines of a bucket that still are in
+   different components meet: those outside the bucket's largest component meet
+   all, so one large family costs no pairs within itself.
+
+No pair that shares a bucket and could join two components is left out. Lines
+are told apart by 128 bits. A hub that very many lines meet is dealt out by salt.
 
 Nulls: a null text has no lines and stays null; a null doc_id comes last in the
 order, and its lines lose to others. Empty tables give no rows. Rows that
 repeat a doc_id share one numbering, so repeats of its lines at one position
-stay or go together.
+stay or go together. Texts of any length are taken whole; ties go to the
+earlier line. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +37,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import cut, docs_only, table
-
-SHINGLE, LONG, BANDS, ROWS = 9, 200, 6, 2
-SIMILARITY = 0.8
+from .frames import cut, docs_only, parts, table
+
+SHINGLE, BANDS, ROWS = 9, 6, 2
+#: Lines link at 4/5 of Jaccard similarity.
+NUM, DEN = 4, 5
+#: 64-bit words of a line's map of hash classes.
+WORDS = 16
+#: Pairs with one line that meet in a task.
+SALTED = 2000
 _ALL = rf"(?s)(?=(.{{{SHINGLE}}}))"
-_SOME = rf"(?s)(?:(?<!\p{{L}})|(?<=[぀-鿿가-힯]))(?=(\S.{{{SHINGLE - 1}}}))"
 _WORDED = r"[^\x20\x09-\x0D]"
 
 
@@ -46,55 +58,88 @@ def _mask(i: int) -> int:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line, whole (128 bits of the line) and id (64 bits) of each line with a word."""
+    """doc_id, pos, line and id (128 bits of the line) of each line with a word."""
     line = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     line = line.where(F.col("line").rlike(_WORDED))
-    return line.withColumns({"whole": F.unhex(F.md5(F.col("line").cast("binary"))), "id": F.xxhash64("line")})
+    return line.withColumn("id", F.unhex(F.md5(F.col("line").cast("binary"))))
 
 
 def shingles(line: str = "line") -> Column:
-    """All distinct shingles of a line."""
-    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1))))
+    """All shingles of a line, with repeats."""
+    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1)))
 
 
 def bands(lines: DataFrame) -> DataFrame:
-    """id, n (distinct shingles) and band keys of each distinct line, one row for each kind of signature and band."""
-    sets = lines.select("id", "line", shingles().alias("s")).select("id", "line", "s", F.size("s").alias("n"))
-    some = F.concat(F.regexp_extract_all("line", F.lit(_SOME), F.lit(1)), F.array(F.substring("line", 1, SHINGLE)))
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.when(F.col("n") <= LONG * 5 // 4, F.col("s")).alias("s")), F.struct(F.lit(1).alias("kind"), F.when(F.col("n") > LONG, some).alias("s")))
-    hashed = sets.select("id", "n", F.inline(kinds)).select("id", "n", "kind", F.explode("s").alias("s")).select("id", "n", "kind", F.xxhash64("s").alias("h"))
-    minima = hashed.groupBy("id", "n", "kind").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
-    keys = F.array(*[F.xxhash64("kind", F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return minima.select("id", "n", F.explode(keys).alias("key"))
+    """id and band keys of each distinct line, one row for each band."""
+    wide = lines.select("id", F.encode("line", "UTF-32").alias("u"), F.greatest(F.char_length("line") - SHINGLE, F.lit(0)).alias("last"))
+    at = wide.select("id", "u", F.explode(F.sequence(F.lit(0), "last")).alias("i"))
+    hashed = at.select("id", F.expr(f"xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE}))").alias("h"))
+    minima = hashed.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
+    return minima.select("id", F.explode(keys).alias("key"))
+
+
+def _mapped(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, line, n (distinct shingles) and the words w0, w1, ... of the class map of the distinct lines of the ids."""
+    texts = lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
+    sets = texts.select("id", "line", F.array_distinct(shingles()).alias("s"))
+    each = sets.select("id", "line", F.size("s").alias("n"), F.explode("s").alias("s")).select("id", "line", "n", F.xxhash64("s").alias("h"))
+    word = F.shiftright("h", 6).bitwiseAND(WORDS - 1)
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    return each.groupBy("id").agg(F.first("line").alias("line"), F.first("n").alias("n"), *words)
+
+
+def _may(x: str, y: str) -> Column:
+    """Whether two lines can link, by their sizes and class maps; always true of those that do."""
+    alone = lambda a, b: " + ".join(f"bit_count({a}.w{k} & ~{b}.w{k})" for k in range(WORDS))
+    most = f"least({x}.n - ({alone(x, y)}), {y}.n - ({alone(y, x)}))"
+    return F.expr(f"({DEN} + {NUM}) * {most} >= {NUM} * ({x}.n + {y}.n)")
+
+
+_MAP = ["n", *[f"w{k}" for k in range(WORDS)]]
+
+
+def _with_line(pairs: DataFrame, texts: DataFrame, side: str, to: str) -> DataFrame:
+    """The pairs with the text and size of one of their lines. A line of many pairs is dealt out by salt."""
+    n, other = parts(pairs.sparkSession), "b" if side == "a" else "a"
+    many = pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
+    dealt = texts.select("id", "line", "n").join(many, "id").select(
+        F.col("id").alias(side), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", F.struct("line", "n").alias(to)
+    )
+    salted = pairs.join(many.withColumnRenamed("id", side), side).withColumn("salt", F.pmod(F.xxhash64(other), "salts").cast("int")).drop("salts")
+    keys = [side, "salt"]
+    # a fixed number of tasks: few bytes, but much work for each of them
+    return salted.repartition(n, *keys).join(dealt.drop("salts").repartition(n, *keys), keys).drop("salt")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids whose lines are similar enough. Lines travel as text; sets are made where a pair is tested."""
-    x = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-    both = x.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    both = both.select("a", "b", shingles("x").alias("x"), shingles("y").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= SIMILARITY * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+    """Pairs (a, b) of ids whose lines are similar enough."""
+    both = _with_line(_with_line(pairs, texts, "a", "x"), texts, "b", "y")
+    common = F.size(F.array_intersect(shingles("x.line"), shingles("y.line")))
+    return both.where((DEN + NUM) * common >= NUM * (F.col("x.n") + F.col("y.n"))).select("a", "b")
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
     """id and root of every line that links with a different line."""
-    posts = bands(lines)
-    buckets = posts.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub <> last")
-    posts = cut(posts.join(buckets.select("key", "hub"), "key"))
-    near = lambda a, b: F.expr(f"5 * least({a}, {b}) >= 4 * greatest({a}, {b})")  # noqa: E731  a necessary condition on the sizes, as SIMILARITY is 4/5
-    hubs = posts.where("id = hub").select("key", F.col("n").alias("hub_n"))
-    first = posts.where("id <> hub").join(hubs, "key").where(near("n", "hub_n")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    first = cut(first)
-    texts = cut(lines.join(posts.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("line").alias("line")))
+    posts = cut(bands(lines))
+    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
+    posts = cut(posts.join(shared, "key"))
+    texts = cut(_mapped(lines, posts.select("id").distinct()))
+    maps = texts.select("id", *_MAP)
+    hubs = posts.groupBy("key").agg(F.min("id").alias("hub"))
+    met = posts.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    met = met.join(maps.select(F.col("id").alias("a"), F.struct(*_MAP).alias("x")), "a").join(maps.select(F.col("id").alias("b"), F.struct(*_MAP).alias("y")), "b")
+    first = cut(met.where(_may("x", "y")).select("a", "b"))
     links = cut(_verified(first, texts))
-    roots = components(links)
-    rooted = posts.select("key", "id", "n").join(roots, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rooted = cut(rooted.join(open_, "key", "left_semi"))
-    x, y = rooted.alias("x"), rooted.alias("y")
-    rest = x.join(y, F.expr("x.key = y.key and x.id > y.id and x.root <> y.root") & near("x.n", "y.n"))
-    rest = rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rooted = posts.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root"))["root"].alias("main")).where("roots > 1").drop("roots")
+    rooted = cut(rooted.join(open_, "key").withColumn("main", F.col("root") == F.col("main")).join(maps, "id"))
+    x, y = rooted.where("not main").alias("x"), rooted.alias("y")
+    once = F.expr("x.key = y.key and x.root <> y.root and (y.main or x.id > y.id)")
+    rest = x.join(y, once & _may("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    rest = cut(rest.join(first, ["a", "b"], "left_anti"))
     return components(links.union(_verified(rest, texts))).select(F.col("node").alias("id"), "root")
 
 
@@ -103,13 +148,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     docs = docs_only(docs)
     lines = lines_of(docs)
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "pos")
-    whole = lines.select("whole", "id", place.alias("place"))
+    places = lines.select("id", place.alias("place"))
     classes = cut(line_classes(lines))
     # each exact line's first place and number of places, then each class's first place
-    first = whole.groupBy("whole", "id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).join(classes, "id", "left")
+    first = places.groupBy("id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).join(classes, "id", "left")
     best = first.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))
-    first = first.where("n > 1 or root is not null").join(best, "root", "left").select("whole", F.coalesce("best", "first").alias("stays"))
-    gone = whole.join(first, "whole").where("place <> stays").groupBy("place.doc_id").agg(F.collect_set("place.pos").alias("gone"))
+    first = first.where("n > 1 or root is not null").join(best, "root", "left").select("id", F.coalesce("best", "first").alias("stays"))
+    gone = places.join(first, "id").where("place <> stays").groupBy("place.doc_id").agg(F.collect_set("place.pos").alias("gone"))
     out = docs.join(gone.select(F.col("doc_id").alias("_d"), "gone"), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     split = F.split("text", "\n", -1)
