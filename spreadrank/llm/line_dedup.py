@@ -79,15 +79,13 @@ def bands(lines: DataFrame) -> DataFrame:
     return minima.select("id", F.explode(keys).alias("key"))
 
 
-def _mapped(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, line, n (distinct shingles) and the words w0, w1, ... of the class map of the distinct lines of the ids."""
-    texts = lines.select("id", "line").join(ids, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    sets = texts.select("id", "line", F.array_distinct(shingles()).alias("s"))
-    each = sets.select("id", "line", F.size("s").alias("n"), F.explode("s").alias("s")).select("id", "line", "n", F.xxhash64("s").alias("h"))
+def _maps(texts: DataFrame) -> DataFrame:
+    """id, n (distinct shingles) and the words w0, w1, ... of the class map of each line."""
+    sets = texts.select("id", F.array_distinct(shingles()).alias("s"))
+    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("s")).select("id", "n", F.xxhash64("s").alias("h"))
     word = F.shiftright("h", 6).bitwiseAND(WORDS - 1)
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    words = [F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
-    return each.groupBy("id").agg(F.first("line").alias("line"), F.first("n").alias("n"), *words)
+    return each.groupBy("id", "n").agg(*[F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)])
 
 
 def _may(x: str, y: str) -> Column:
@@ -101,36 +99,35 @@ _MAP = ["n", *[f"w{k}" for k in range(WORDS)]]
 
 
 def _with_line(pairs: DataFrame, texts: DataFrame, side: str, to: str) -> DataFrame:
-    """The pairs with the text and size of one of their lines. A line of many pairs is dealt out by salt."""
+    """The pairs with the text of one of their lines. A line of many pairs is dealt out by salt."""
     n, other = parts(pairs.sparkSession), "b" if side == "a" else "a"
     many = pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
-    dealt = texts.select("id", "line", "n").join(many, "id").select(
-        F.col("id").alias(side), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "salts", F.struct("line", "n").alias(to)
-    )
+    dealt = texts.join(many, "id").select(F.col("id").alias(side), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("line").alias(to))
     salted = pairs.join(many.withColumnRenamed("id", side), side).withColumn("salt", F.pmod(F.xxhash64(other), "salts").cast("int")).drop("salts")
-    keys = [side, "salt"]
     # a fixed number of tasks: few bytes, but much work for each of them
-    return salted.repartition(n, *keys).join(dealt.drop("salts").repartition(n, *keys), keys).drop("salt")
+    return salted.repartition(n, side, "salt").join(dealt.repartition(n, side, "salt"), [side, "salt"]).drop("salt")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of ids whose lines are similar enough."""
+    """Those pairs (a, b, n: both sizes together) of ids whose lines are similar enough."""
     both = _with_line(_with_line(pairs, texts, "a", "x"), texts, "b", "y")
-    common = F.size(F.array_intersect(shingles("x.line"), shingles("y.line")))
-    return both.where((DEN + NUM) * common >= NUM * (F.col("x.n") + F.col("y.n"))).select("a", "b")
+    common = F.size(F.array_intersect(shingles("x"), shingles("y")))
+    return both.where((DEN + NUM) * common >= NUM * F.col("n")).select("a", "b")
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
     """id and root of every line that links with a different line."""
-    posts = cut(bands(lines))
+    posts = bands(lines)
     shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     posts = cut(posts.join(shared, "key"))
-    texts = cut(_mapped(lines, posts.select("id").distinct()))
-    maps = texts.select("id", *_MAP)
+    texts = lines.select("id", "line").join(posts.select("id").distinct(), "id", "left_semi")
+    texts = cut(texts.groupBy("id").agg(F.first("line").alias("line")).repartition(parts(lines.sparkSession), "id"))
+    maps = cut(_maps(texts))
     hubs = posts.groupBy("key").agg(F.min("id").alias("hub"))
     met = posts.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    met = met.join(maps.select(F.col("id").alias("a"), F.struct(*_MAP).alias("x")), "a").join(maps.select(F.col("id").alias("b"), F.struct(*_MAP).alias("y")), "b")
-    first = cut(met.where(_may("x", "y")).select("a", "b"))
+    of = lambda side, to: maps.select(F.col("id").alias(side), F.struct(*_MAP).alias(to))
+    met = met.join(of("a", "x"), "a").join(of("b", "y"), "b").where(_may("x", "y"))
+    first = cut(met.select("a", "b", F.expr("x.n + y.n").alias("n")))
     links = cut(_verified(first, texts))
     rooted = posts.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -138,8 +135,8 @@ def line_classes(lines: DataFrame) -> DataFrame:
     rooted = cut(rooted.join(open_, "key").withColumn("main", F.col("root") == F.col("main")).join(maps, "id"))
     x, y = rooted.where("not main").alias("x"), rooted.alias("y")
     once = F.expr("x.key = y.key and x.root <> y.root and (y.main or x.id > y.id)")
-    rest = x.join(y, once & _may("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    rest = cut(rest.join(first, ["a", "b"], "left_anti"))
+    rest = x.join(y, once & _may("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.expr("x.n + y.n").alias("n"))
+    rest = cut(rest.distinct().join(first, ["a", "b"], "left_anti"))
     return components(links.union(_verified(rest, texts))).select(F.col("node").alias("id"), "root")
 
 
