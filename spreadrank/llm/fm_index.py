@@ -19,13 +19,15 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     zeros = text == 0
     key = text.astype(np.int64) + int(zeros.sum())
     key[zeros] = np.arange(int(zeros.sum()))
-    sa = np.argsort(key, kind="stable")
+    # two symbols at once; what follows the last one, a 0, decides nothing
+    both = (key << 32) | np.append(key[1:], 0)
+    sa = np.argsort(both)
     first = np.ones(n, bool)
-    first[1:] = key[sa][1:] != key[sa][:-1]
+    first[1:] = both[sa][1:] != both[sa][:-1]
     place = np.arange(n)
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(first, place, 0))
-    h = 1
+    h = 2
     while True:
         alone = first & np.append(first[1:], True)
         open_ = np.flatnonzero(~alone)
@@ -33,7 +35,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             return sa
         s = sa[open_]
         both = (rank[s] << 32) | rank[s + h]  # s + h stays inside: equal suffixes end before a 0
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         s, both = s[order], both[order]
         new = np.ones(len(s), bool)
         new[1:] = both[1:] != both[:-1]
@@ -100,17 +102,18 @@ class FMIndex:
             c |= one.astype(np.int64) << shift
         return c
 
-    def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row ranges of the patterns, the rows of a matrix, by backward search."""
-        lo = np.zeros(len(patterns), np.int64)
-        hi = np.full(len(patterns), self.n, np.int64)
-        for k in range(patterns.shape[1] - 1, -1, -1):
-            live = np.flatnonzero(lo < hi)
-            if not len(live):
-                break
-            c = patterns[live, k]
+    def search(self, symbols: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges of the patterns symbols[s:s + n], by backward search."""
+        lo = np.zeros(len(starts), np.int64)
+        hi = np.full(len(starts), self.n, np.int64)
+        live = np.arange(len(starts))
+        for k in range(n - 1, -1, -1):
+            c = symbols[starts[live] + k]
             lo[live] = self.count[c] + self.rank(c, lo[live])
             hi[live] = self.count[c] + self.rank(c, hi[live])
+            live = live[lo[live] < hi[live]]
+            if not len(live):
+                break
         return lo, np.maximum(lo, hi)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,11 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def open_uri(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a URI or plain path."""
+    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

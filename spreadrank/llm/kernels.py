@@ -67,9 +67,9 @@ def release(keep: dict | None = None) -> None:
         pass
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of at most ``limit`` text bytes, or of one row."""
-    release()
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES, keep=None) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``limit`` text bytes, or of one row; drops what others than ``keep`` keep."""
+    release(keep)
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -27,12 +27,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
+from pyarrow.fs import LocalFileSystem
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import cut, parts, scratch, table
+from .frames import cut, open_uri, parts, scratch, table
 from .kernels import KEPT, release
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -134,11 +134,6 @@ class Encoder:
 KEPT.append(Encoder._made)
 
 
-def _open(uri: str):
-    """File system and path of a URI or plain path."""
-    return pa.fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if uri.startswith("/") else uri)
-
-
 def _schema(kind: np.dtype) -> pa.Schema:
     return pa.schema([("input_ids", pa.list_(pa.from_numpy_dtype(kind), SEQUENCE)), ("mask", pa.list_(pa.bool_(), SEQUENCE))])
 
@@ -151,7 +146,7 @@ class ShardWriter:
     """One shard: sequences are written as soon as a batch of them is full."""
 
     def __init__(self, where: str, name: str, kind: np.dtype):
-        fs, at = _open(where)
+        fs, at = open_uri(where)
         fs.create_dir(at, recursive=True)
         self.paths = f"{where}/{name}.tokens.arrows", f"{where}/{name}.docs.arrows"
         self.files = [fs.open_output_stream(f"{at}/{name}.{x}.arrows") for x in ("tokens", "docs")]
@@ -195,8 +190,8 @@ class Shard:
     def __init__(self, tokens_path: str, docs_path: str):
         tables = []
         for uri in (tokens_path, docs_path):
-            fs, at = _open(uri)
-            source = pa.memory_map(at) if isinstance(fs, pa.fs.LocalFileSystem) else fs.open_input_file(at)
+            fs, at = open_uri(uri)
+            source = pa.memory_map(at) if isinstance(fs, LocalFileSystem) else fs.open_input_file(at)
             tables.append(pa.ipc.open_stream(source).read_all())
         self.tokens, self.docs = tables
         self.chunks = [c.flatten() for c in self.tokens["input_ids"].chunks]

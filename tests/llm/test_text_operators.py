@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import ALNUM, LOWER, SCHEMA, WORD, documents, prose, texts
 
@@ -205,7 +206,7 @@ def test_fm_index_against_scanning():
     index = fm_index.FMIndex(text, 5)
     for n in (1, 2, 3, 6):
         patterns = rng.integers(1, 5, (50, n))
-        lo, hi = index.search(patterns)
+        lo, hi = index.search(patterns.ravel(), np.arange(50) * n, n)
         for p, a, b in zip(patterns, lo, hi, strict=True):
             want = [i for i in range(len(text) - n + 1) if (text[i : i + n] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
@@ -242,15 +243,21 @@ def contaminated(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [8 << 20, 40])
+@pytest.mark.parametrize("block", [1 << 18, 5])
 def test_decontamination_in_one_block_and_in_many(spark, monkeypatch, block):
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
-    rows = planted()
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+    rows = planted() + [(50, prose(random.Random(9), 60_000))]
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     got = decontamination.judged(decontamination.find_contamination(documents(spark, rows, repeat=False), bench))
     same_rows(got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect(), contaminated(rows))
 
 
+def test_the_index_holds_every_word():
+    w = K.words_of(pa.array([t for _, t in planted()], pa.string()), K.ALNUM, lower=True)
+    shard = decontamination.Shard(w)
+    assert int(shard.index.count[-1] - shard.index.count[1]) == w.n == sum(len(ALNUM.findall((t or "").translate(LOWER))) for _, t in planted())
+
+
 def test_decontamination_without_items_or_documents(spark):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     assert decontamination.find_contamination(spark.createDataFrame([], SCHEMA), bench).count() == 0
