@@ -9,12 +9,15 @@ written whole under a name of their own for each attempt; the manifest, made
 durable by a checkpoint, names the attempt that counts, so a task that is run
 again leaves nothing wrong behind.
 
-Encoding uses the given byte-level tokenizer on whole texts. Where every space
-is followed by a non-space, the tokenizer's own pre-tokenisation cuts before
-each space, so a text's ids are those of its space-separated pieces one after
-the other, and pieces met before come from a bounded cache. A new piece of
-letters, with stops after it or not, is one or two pre-tokens and goes straight
-to the tokenizer's model. Other pieces and texts are encoded in one go.
+Encoding gives the ids that the tokenizer, as loaded, gives for the whole text.
+Where its file says that it is a byte-level BPE with the usual pattern, without
+a normalizer, prefix space or dropout (``_by_pieces``), and every space of a text
+is followed by a non-space, its pre-tokenisation cuts before each space. The ids
+are then those of the space-separated pieces one after the other, and pieces met
+before come from a bounded cache. A new piece of letters, with stops after it or
+not, is one or two pre-tokens and goes straight to the tokenizer's model. All
+other texts, those that hold an added token, and all texts of any other
+tokenizer are encoded whole. A long text is one text.
 
 Nulls: a null text is empty (its end id alone); a null doc_id comes first. An
 empty table gives no files. Rows of equal doc_id stand in order of their text.
@@ -22,12 +25,13 @@ empty table gives no files. Rows of equal doc_id stand in order of their text.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import LocalFileSystem
+from pyarrow.fs import FileSelector, LocalFileSystem
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,6 +94,15 @@ class _Stops(dict):
         return found
 
 
+def _by_pieces(description: str) -> bool:
+    """Whether a tokenizer cuts before each space that a non-space follows, whatever the text around it is."""
+    t = json.loads(description)
+    pre, model = t.get("pre_tokenizer") or {}, t.get("model") or {}
+    usual = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+    return bool(usual and plain and model.get("type") == "BPE" and not t.get("normalizer") and not t.get("truncation") and not t.get("padding"))
+
+
 class Encoder:
     _made: dict = {}
 
@@ -97,7 +110,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.pieces = _by_pieces(self.tokenizer.to_str())
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), END_ID) < 1 << 16 else "<u4")
         self.model = self.tokenizer.model
         # the byte-level alphabet: printable bytes stand for themselves, the others for 256 and on, in order
@@ -122,6 +136,8 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.pieces or any(x in text for x in self.added):
+            return self.whole(text)
         head, *rest = text.split(" ")
         found, ids = self.rest, []
         try:
@@ -202,14 +218,6 @@ class Shard:
         mask = self.tokens["mask"].chunk(i // BATCH)[i % BATCH].values.to_numpy(zero_copy_only=False)
         return chunk[at : at + SEQUENCE].to_numpy(), mask
 
-    def ids(self, start: int, n: int) -> np.ndarray:
-        size, out = SEQUENCE * BATCH, []
-        while n > 0:
-            chunk, at = self.chunks[start // size], start % size
-            out.append(chunk[at : at + n].to_numpy())
-            start, n = start + len(out[-1]), n - len(out[-1])
-        return out[0] if len(out) == 1 else np.concatenate(out)
-
 
 def write_tokens(docs: DataFrame, where: str, order: list[Column | str] | None = None, tokenizer: str | None = None) -> DataFrame:
     """Writes the shards under the folder ``where`` and gives the manifest, in order of ``shard``.
@@ -244,7 +252,41 @@ def write_tokens(docs: DataFrame, where: str, order: list[Column | str] | None =
             names = ["shard", "tokens_path", "docs_path", "n_docs", "n_tokens"]
             yield pa.RecordBatch.from_pydict({k: pa.array([v]) for k, v in zip(names, made, strict=True)})
 
-    return cut(dealt.mapInArrow(run, _MANIFEST))
+    manifest = cut(dealt.mapInArrow(run, _MANIFEST))
+    _remove_others(where, {x for r in manifest.select("tokens_path", "docs_path").collect() for x in r})
+    return manifest
+
+
+def _remove_others(where: str, counted: set[str]) -> None:
+    """Removes what attempts that do not count have left."""
+    fs, at = open_uri(where)
+    names = {x.rsplit("/", 1)[1] for x in counted}
+    for x in fs.get_file_info(FileSelector(at, allow_not_found=True)):
+        if x.base_name not in names:
+            fs.delete_file(x.path)
+
+
+def _batches(uri: str):
+    """The batches of a stream file, one at a time; mapped where the disk is local."""
+    fs, at = open_uri(uri)
+    with pa.memory_map(at) if isinstance(fs, LocalFileSystem) else fs.open_input_stream(at) as source:
+        yield from pa.ipc.open_stream(source)
+
+
+def _documents(tokens_path: str, docs_path: str):
+    """(batch of documents, ids of each) of a shard, with a few batches in memory."""
+    ids, held, base = (b.column(0).flatten().to_numpy() for b in _batches(tokens_path)), np.zeros(0, np.uint32), 0
+    for batch in _batches(docs_path):
+        for d in (batch.slice(i, 10_000) for i in range(0, batch.num_rows, 10_000)):
+            own = []
+            for start, n in zip(d.column(1).to_numpy().tolist(), d.column(2).to_numpy().tolist(), strict=True):
+                if start + n > base + len(held):
+                    more, base = [held[start - base :]], start
+                    while sum(map(len, more)) < n:
+                        more.append(next(ids))
+                    held = np.concatenate(more)
+                own.append(held[start - base : start - base + n])
+            yield d, own
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -257,11 +299,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
-                shard = Shard(r["tokens_path"], r["docs_path"])
-                for d in shard.docs.to_batches(max_chunksize=10_000):
-                    start, n = d.column(1).to_numpy(), d.column(2).to_numpy()
-                    crc = [zlib.crc32(shard.ids(s, k).astype("<u4").tobytes()) for s, k in zip(start.tolist(), n.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": d.column(0), "start": pa.array(start + r["offset"]), "n_tokens": d.column(2), "ids_crc32": pa.array(crc, pa.int64())})
+                for d, own in _documents(r["tokens_path"], r["docs_path"]):
+                    crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in own]
+                    start = d.column(1).to_numpy() + r["offset"]
+                    yield pa.RecordBatch.from_pydict({"doc_id": d.column(0), "start": pa.array(start), "n_tokens": d.column(2), "ids_crc32": pa.array(crc, pa.int64())})
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -272,7 +272,6 @@ def test_token_files_round_trip(spark):
     manifest = token_output.write_tokens(documents(spark, rows, repeat=True), scratch(spark, "tokens"))
     got = sorted(map(tuple, token_output.read_tokens(manifest).collect()), key=lambda r: r[1])
     t = Tokenizer.from_file(token_output.tokenizer_path())
-    t.encode_special_tokens = True
     plain = sorted(rows + [rows[0], (None, rows[4][1]), (None, None)], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     start, every = 0, []
     for g, (d, x) in zip(got, plain, strict=True):
@@ -294,6 +293,33 @@ def test_token_files_round_trip(spark):
     assert not ids.flags.owndata
 
 
+def test_pieces_only_for_tokenizers_that_cut_at_spaces(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    path = token_output.tokenizer_path()
+    assert token_output.Encoder(path).pieces
+    described = json.loads(Tokenizer.from_file(path).to_str())
+    described["normalizer"] = {"type": "Lowercase"}
+    other = tmp_path / "lower.json"
+    other.write_text(json.dumps(described))
+    encoder = token_output.Encoder(str(other))
+    assert not encoder.pieces
+    for x in ("Some WORDS here", "A <|endoftext|> B"):
+        assert encoder.encode(x) == np.array(Tokenizer.from_file(str(other)).encode(x, add_special_tokens=False).ids, encoder.kind).tobytes()
+
+
+def test_what_failed_attempts_left_goes(spark):
+    where = scratch(spark, "tokens")
+    fs, at = token_output.open_uri(where)
+    fs.create_dir(at, recursive=True)
+    fs.open_output_stream(f"{at}/000000-lost.tokens.arrows").close()
+    manifest = token_output.write_tokens(documents(spark), where).collect()
+    left = {x.base_name for x in fs.get_file_info(token_output.FileSelector(at))}
+    assert left == {r[k].rsplit("/", 1)[1] for r in manifest for k in ("tokens_path", "docs_path")}
+
+
 def test_no_token_files_without_documents(spark):
     m = token_output.write_tokens(spark.createDataFrame([], SCHEMA), scratch(spark, "tokens"))
     assert m.count() == 0 and token_output.read_tokens(m).count() == 0
