@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .fm_index import FMIndex
-from .frames import CARRIED, cut, open_uri, scratch, table
+from .frames import CARRIED, cut, is_carried, open_uri, scratch, table
 
 WINDOW = 13
 BLOCK_WORDS = 1 << 18
@@ -161,7 +161,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
     Of carried() documents, text and the struct come along.
     """
-    along = [CARRIED] if CARRIED in docs.columns else []
+    along = [CARRIED] if is_carried(docs) else []
     df = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), *along,

@@ -88,6 +88,11 @@ def carried(df: DataFrame) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest)
 
 
+def is_carried(df: DataFrame) -> bool:
+    """Whether carried() made the table; a column of the same name in another table is just a column."""
+    return df.columns == ["doc_id", "text", CARRIED] and df.schema[CARRIED].dataType.typeName() == "struct"
+
+
 def restored(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns that carried() was given, from text and the struct."""
     return df.select(*[F.col("text") if c == "text" else F.col(f"{CARRIED}.`{c}`").alias(c) for c in columns])

@@ -4,9 +4,11 @@ A document's set is its distinct ``SHINGLE``-word shingles; documents of the
 same set are one node. Two nodes link when 100 * |x & y| >= 85 * |x | y|.
 
 Prefix filtering: under any one order of all tokens, linked nodes share a token
-among the first n - ceil(0.85 n) + 1 of each. The orders here put tokens of
-fewer nodes first and break ties by three different hashes; a pair is verified
-only if it shares prefix tokens under all three.
+among the first n - ceil(0.85 n) + 1 of each. The first order goes by the number
+of nodes that have a token, the second by that number's power of two and the
+third by its power of four; within these, each goes by a hash of its own, so a
+token's place differs widely between them. A pair is verified only if it shares
+prefix tokens under all three.
 
 1. Tokens of one node come first in each order. A node with more of them than
    its prefix has places shares no prefix token with anyone, under any order.
@@ -33,7 +35,8 @@ doc_id has no links and a null component. Tasks name their batches by partition
 and order, so docs must come out alike when a task runs again: read them from
 files, as the queries do, or checkpoint them first. Repeated rows are one node; rows of
 one doc_id with different texts are different nodes. Sets are told apart by 128
-bits of hash, tokens by 64.
+bits of hash, tokens by 64, nodes on their way by their part and 63 bits. Long
+texts are taken whole; ties between hubs go to the smaller id.
 """
 
 from __future__ import annotations
@@ -336,8 +339,9 @@ def _prefixes(n_parts: int):
         left = most_own(p.n) + 1 - own  # places of the prefix for shared tokens
         keep = np.flatnonzero(left > 0)
         fronts = []
-        for salt in _SALTS:
-            order = np.lexsort((K.mix(p.tokens ^ salt), df, p.doc))
+        power = np.frexp(df)[1]  # 1 for a token of one node, 2 for two or three, and so on
+        for salt, rank in zip(_SALTS, (df, power, np.where(df > 1, power // 2, 0)), strict=True):
+            order = np.lexsort((K.mix(p.tokens ^ salt), rank, p.doc))
             order = order[df[order] > 1]
             doc = p.doc[order]
             at = np.searchsorted(doc, np.arange(len(p.n) + 1))
@@ -366,9 +370,9 @@ def _verify(batches):
     for b in batches:
         for r in b.to_pylist():
             if r["kind"] == 2:
-                pairs.append((r["id"], r["b"]))
+                pairs.append((r["id"], (r["b_part"], r["b"])))
             else:
-                (here if r["kind"] == 0 else sent)[r["id"]] = [r["node"], *(np.frombuffer(r[k], K.U64) for k in ("tokens", "second", "third"))]
+                (here if r["kind"] == 0 else sent)[r["id"] if r["kind"] == 0 else (r["b_part"], r["id"])] = [r["node"], *(np.frombuffer(r[k], K.U64) for k in ("tokens", "second", "third"))]
     found = []
     for a, b in pairs:
         x, y = here[a], sent[b]
@@ -382,15 +386,18 @@ def _verify(batches):
     yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
 
 
+_PAIR = ["part", "a", "b_part", "b"]
+
+
 def _links(work: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """Links among the candidate pairs (part of a, a, b), by ids."""
+    """Links among the candidate pairs (part and id of a, part and id of b)."""
     none = F.lit(None)
     sets = ("node", "tokens", "second", "third")
     own = work.join(pairs.select("part", F.col("a").alias("id")).distinct(), ["part", "id"], "left_semi")
-    own = own.select("part", F.lit(0).alias("kind"), "id", none.cast("long").alias("b"), *sets)
-    asked = pairs.select("part", F.col("b").alias("id")).distinct().join(work.drop("part"), "id")
-    asked = asked.select("part", F.lit(1).alias("kind"), "id", none.cast("long").alias("b"), *sets)
-    pairs = pairs.select("part", F.lit(2).alias("kind"), F.col("a").alias("id"), "b", *[none.cast("binary").alias(k) for k in sets])
+    own = own.select("part", F.lit(0).alias("kind"), "id", none.cast("int").alias("b_part"), none.cast("long").alias("b"), *sets)
+    asked = pairs.select("part", "b_part", F.col("b").alias("id")).distinct().join(work.withColumnRenamed("part", "b_part"), ["b_part", "id"])
+    asked = asked.select("part", F.lit(1).alias("kind"), "id", "b_part", none.cast("long").alias("b"), *sets)
+    pairs = pairs.select("part", F.lit(2).alias("kind"), F.col("a").alias("id"), "b_part", "b", *[none.cast("binary").alias(k) for k in sets])
     return own.union(asked).union(pairs).repartitionById(n, F.col("part")).mapInArrow(_verify, "a binary, b binary")
 
 
@@ -406,8 +413,8 @@ def _may(n: str, left: str, m: str, other: str):
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
     """Pairs that were not tested, either way round."""
-    again = tested.select("a", "b").union(tested.select("b", "a"))
-    return pairs.join(again, ["a", "b"], "left_anti").select("part", "a", "b")
+    again = tested.select(*_PAIR).union(tested.select("b_part", "b", "part", "a"))
+    return pairs.join(again, _PAIR, "left_anti").select(*_PAIR)
 
 
 def _reachable(posts: DataFrame) -> DataFrame:
@@ -449,24 +456,24 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     work = cut(both.repartitionById(n, F.col("part")).mapInArrow(_prefixes(n), _WORK))
 
     light = work.select("part", "id", "n", "own", "node", F.posexplode("first").alias("nth", "token")).withColumn("left", F.expr("n - own - nth"))
-    tested = spark.createDataFrame([], "part int, a long, b long")
-    links, joined, used = None, spark.createDataFrame([], "node binary, root binary"), tested.select(F.col("b").alias("id"))
+    tested = spark.createDataFrame([], "part int, a long, b_part int, b long")
+    links, joined, used = None, spark.createDataFrame([], "node binary, root binary"), tested.select(F.col("b_part").alias("part"), F.col("b").alias("id"))
     for k in range(HUB_ROUNDS):
         posts = _rooted(light, joined)
         posts = _open(_reachable(posts)) if k else posts
-        best = F.min(F.struct(F.round(F.col("own") / F.col("n"), 6).alias("share"), "id", "n", "left", "root")).alias("h")
-        hubs = posts.join(used, "id", "left_anti").groupBy("token").agg(best)
-        met = posts.join(hubs, "token").where("id <> h.id and root <> h.root").where(_may("n", "left", "h.n", "h.left"))
-        pairs = cut(_untested(met.select("part", F.col("id").alias("a"), F.col("h.id").alias("b")).distinct(), tested))
+        best = F.min(F.struct(F.round(F.col("own") / F.col("n"), 6).alias("share"), "id", "part", "n", "left", "root")).alias("h")
+        hubs = posts.join(used, ["part", "id"], "left_anti").groupBy("token").agg(best)
+        met = posts.join(hubs, "token").where("root <> h.root").where(_may("n", "left", "h.n", "h.left"))
+        pairs = cut(_untested(met.select("part", F.col("id").alias("a"), F.col("h.part").alias("b_part"), F.col("h.id").alias("b")).distinct(), tested))
         found = cut(_links(work, pairs, n))
         links = found if links is None else links.union(found)
-        tested, used = tested.union(pairs), used.union(pairs.select("b")).distinct()
+        tested, used = tested.union(pairs), used.union(pairs.select("b_part", "b")).distinct()
         joined = components(links)
     # what still shares a first-order prefix token across components and passes the positional filter
     posts = _open(_reachable(_rooted(light, joined)))
     x, y = posts.alias("x"), posts.alias("y")
-    rest = x.join(y, F.expr("x.token = y.token and x.id < y.id and x.root <> y.root") & _may("x.n", "x.left", "y.n", "y.left"))
-    rest = _untested(rest.select(F.col("x.part").alias("part"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), tested)
+    rest = x.join(y, F.expr("x.token = y.token and (x.id < y.id or x.id = y.id and x.part < y.part) and x.root <> y.root") & _may("x.n", "x.left", "y.n", "y.left"))
+    rest = _untested(rest.select(F.col("x.part").alias("part"), F.col("x.id").alias("a"), F.col("y.part").alias("b_part"), F.col("y.id").alias("b")).distinct(), tested)
     more = cut(_links(work, rest, n))
     every = links.union(more)
     roots = components(every)

@@ -10,9 +10,19 @@ worked out. When a source runs out, a new phase begins in which the others
 share its part. The tables of the phases depend on sources and shares alone,
 which are bounded; a document finds its slot by arithmetic on its own block.
 
+A document stays whole, in the slot of the block that holds its middle byte, and
+the blocks that it covers besides stay its source's: after a long document the
+source rests until its share has caught up. So at every slot a source is within
+a block and half of its longest document of its target; where no document is
+longer than a block is wide, that is the block of the schedule and a part of one.
+
 All documents are placed; none is repeated or left out. Nulls: a null source is
 a source of its own; a null text has only its row bytes; a null doc_id comes
-first. Sources that have no share given get one of 1.
+first. Sources that have no share given get one of 1. Rows that tie in doc_id
+and size come in the order of their texts' hashes; equal rows take places one
+after the other. Sources are configuration: more than ``MAX_SOURCES`` of them,
+or shares of more than ``MAX_SHARES`` in all, raise an error before any row is
+placed. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +32,7 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import CARRIED, table
+from .frames import CARRIED, is_carried, table
 from .ranking import with_prefix
 
 BLOCK_BYTES = 1 << 16
@@ -74,14 +84,14 @@ def mix_sources(docs: DataFrame, shares: dict | None = None, block_bytes: int =
     Order by slot and place_in_source for the mixed order. Of carried() documents, text and the struct come along.
     """
     spark = docs.sparkSession
-    along = ["text", CARRIED] if CARRIED in docs.columns else []
+    along = ["text", CARRIED] if is_carried(docs) else []
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(f"{CARRIED}.source" if along else "source").cast("string").alias("source"),
         (F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(ROW_BYTES)).cast("long").alias("size"),
-        *along,
+        F.xxhash64("text").alias("text_hash"), *along,
     )
-    lined = with_prefix(rows, ["doc_id", "size"], {"before": F.col("size"), "place_in_source": F.lit(1)}, group="source")
-    lined = lined.withColumn("block", F.expr(f"before div {block_bytes}"))
+    lined = with_prefix(rows, ["doc_id", "size", "text_hash"], {"before": F.col("size"), "place_in_source": F.lit(1)}, group="source")
+    lined = lined.withColumn("block", F.expr(f"(2 * before + size) div {2 * block_bytes}"))
     totals = lined.groupBy("source").agg(F.max("block").alias("last")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")

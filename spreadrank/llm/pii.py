@@ -7,10 +7,12 @@ of one half to the other, modulo its size, which is a permutation for any a, b.
 
 - card: 13 to 19 digits with a valid Luhn digit; the first digit stays, the
   others are permuted, the check digit is worked out anew
-- phone: North American numbers; area and exchange keep a first digit of 2 to 9
+- phone: North American numbers with separators; area and exchange keep a first
+  digit of 2 to 9, so 555-123-4567, whose exchange begins with 1, is none
 - ip: IPv4 with octets up to 255
 - ssn: area 001 to 899 without 666, group 01 to 99, serial 0001 to 9999
-- date: year-month-day and day/month/year of 1900 to 2099 that exist
+- date: year-month-day, day/month/year and, where that is no date, month/day/year
+  of 1900 to 2099 that exist; one day has one pseudonym in all three layouts
 - iban: valid by mod 97; the digits of the account are permuted, the check
   digits are worked out anew
 - email: the local part, character by character within letters and digits
@@ -43,6 +45,7 @@ KINDS = ("email", "phone", "card", "ip", "ssn", "date", "iban", "secret")
 _PHONE = r"(?:\+?1[ .\-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[.\-])[2-9][0-9]{2}[ .\-][0-9]{4}"
 _DAY = "(?:(?:0[13578]|1[02])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[469]|11)-(?:0[1-9]|[12][0-9]|30)|02-(?:0[1-9]|1[0-9]|2[0-8]))"
 _DAY_FIRST = "(?:(?:0[1-9]|[12][0-9]|3[01])/(?:0[13578]|1[02])|(?:0[1-9]|[12][0-9]|30)/(?:0[469]|11)|(?:0[1-9]|1[0-9]|2[0-8])/02)"
+_MONTH_FIRST = "(?:(?:0[13578]|1[02])/(?:1[3-9]|2[0-9]|3[01])|(?:0[469]|11)/(?:1[3-9]|2[0-9]|30)|02/(?:1[3-9]|2[0-8]))"
 _LEAP = "(?:19(?:0[48]|[2468][048]|[13579][26])|20(?:[02468][048]|[13579][26]))"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 _NAMES = ("password", "passwd", "secret", "token", "api_key")
@@ -52,7 +55,7 @@ _PATTERNS = {
     "secret": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])|(?i:(?<=" + _AFTER + r"))(?![0-9]++(?![A-Za-z]))[A-Za-z0-9]{8,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z]{0,4}[0-9]{10,26}(?![A-Za-z0-9])",
     "phone": rf"(?<![0-9A-Za-z]){_PHONE}(?![0-9A-Za-z])",
-    "date": rf"(?<![0-9A-Za-z/\-])(?:(?:19|20)[0-9]{{2}}-{_DAY}|{_LEAP}-02-29|{_DAY_FIRST}/(?:19|20)[0-9]{{2}}|29/02/{_LEAP})(?![0-9A-Za-z/\-])",
+    "date": rf"(?<![0-9A-Za-z/\-])(?:(?:19|20)[0-9]{{2}}-{_DAY}|{_LEAP}-02-29|(?:{_DAY_FIRST}|{_MONTH_FIRST})/(?:19|20)[0-9]{{2}}|(?:29/02|02/29)/{_LEAP})(?![0-9A-Za-z/\-])",
     "ssn": r"(?<![0-9A-Za-z\-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z\-])",
     "ip": rf"(?<![0-9A-Za-z.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z]|\.[0-9])",
 }
@@ -153,9 +156,9 @@ def _branches(x: str, key: str) -> list[tuple[str, str, str]]:
     )
     out.append(("phone", f"{x} rlike {_text(f'^{_PHONE}$')}", phone))
     iso = f"{x} like '____-__-__'"
-    day = f"if({iso}, try_to_date({x}, 'yyyy-MM-dd'), try_to_date({x}, 'dd/MM/yyyy'))"
+    day = f"if({iso}, try_to_date({x}, 'yyyy-MM-dd'), coalesce(try_to_date({x}, 'dd/MM/yyyy'), try_to_date({x}, 'MM/dd/yyyy')))"
     date = _let(q=f"datediff({day}, date'1900-01-01')", p=_feistel("date", "q div 4297", "q % 4297", "17", "4297", key))(
-        f"if({iso}, date_format(date_add(date'1900-01-01', cast(p.a * 4297 + p.b as int)), 'yyyy-MM-dd'), date_format(date_add(date'1900-01-01', cast(p.a * 4297 + p.b as int)), 'dd/MM/yyyy'))"
+        f"date_format(date_add(date'1900-01-01', cast(p.a * 4297 + p.b as int)), case when {iso} then 'yyyy-MM-dd' when try_to_date({x}, 'dd/MM/yyyy') is not null then 'dd/MM/yyyy' else 'MM/dd/yyyy' end)"
     )
     out.append(("date", f"({iso} or {x} like '__/__/____') and {day} is not null", date))
     ssn = _let(q=f"cast(substr({x}, 1, 3) as int)", p=_feistel("ssn", "if(q > 666, q - 2, q - 1)", f"(cast(substr({x}, 5, 2) as int) - 1) * 9999 + cast(substr({x}, 8, 4) as int) - 1", "898", "989901", key))(

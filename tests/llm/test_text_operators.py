@@ -54,6 +54,25 @@ def test_log_ratios_find_junk(spark):
     assert all(rows[d]["kept"] for d, _ in good)
 
 
+def test_log_ratios_against_counting(spark):
+    rows = [(i, t) for i, t in enumerate(["a b c a", "a b", None, "x y z", "a"])]
+    lab = labels(spark, [(0, 1, 0), (1, 1, 1), (3, 0, 0), (4, 1, None)])
+    trusted, raw = collections.Counter(), collections.Counter()
+    grams = {}
+    for i, t in rows:
+        col = pa.array([t], pa.string())
+        bucket, _ = quality_rules.ngram_buckets(K.words_of(col))
+        grams[i] = bucket.tolist()
+        raw.update(grams[i])
+        trusted.update(grams[i] if i in (0, 4) else [])
+    size, prior = quality_rules.BUCKETS, quality_rules.PRIOR * quality_rules.BUCKETS
+    p = lambda b: (raw[b] + 0.5) / (sum(raw.values()) + 0.5 * size)
+    ratio = lambda b: np.log((trusted[b] + prior * p(b)) / (sum(trusted.values()) + prior) / p(b))
+    got = {r["doc_id"]: r["llr"] for r in quality_rules.quality_rules(documents(spark, rows, repeat=False), lab).collect()}
+    for i, own in grams.items():
+        assert abs(got[i] - (np.mean([ratio(b) for b in own]) if own else 0)) < 1e-8
+
+
 def test_no_labels_and_no_documents(spark):
     empty = spark.createDataFrame([], SCHEMA)
     none = labels(spark, [(1, None, None)]).limit(0)
