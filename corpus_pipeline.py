@@ -42,7 +42,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # places are worked out on narrow rows; rows alike in these three columns share a place, and all of them stay
     key = ["doc_id", "source", "size"]
-    placed = mix_sources(docs).groupBy(*key).agg(F.min("slot").alias("slot"), F.min("place_in_source").alias("place"))
+    placed = mix_sources(docs.select("doc_id", "source", "text")).groupBy(*key).agg(F.min("slot").alias("slot"), F.min("place_in_source").alias("place"))
     placed = placed.toDF(*[f"_{k}" for k in key], "slot", "place")
     size = F.octet_length(F.coalesce("text", F.lit(""))) + F.lit(ROW_BYTES)
     own = [F.col("doc_id"), F.col(f"{CARRIED}.source").cast("string"), size.cast("long")]
