@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rand import order_sql
-from .spread import node_influence
+from .spread import infections, runs_of
 
 ORDER = ("DC", "BC", "CC", "CI", "PR", "KS", "influence_fixed", "influence_adaptive")
 
@@ -62,11 +63,40 @@ def tau_against_truth(scored: DataFrame) -> DataFrame:
     return kendall_tau(scored, "score", "sir", ["method"])
 
 
-def tau_matrix(scores: DataFrame) -> DataFrame:
-    """(method_a, method_b, tau) of all pairs of methods over the common nodes."""
+def tau_b(x: np.ndarray, y: np.ndarray) -> float:
+    """Kendall's tau-b in O(n log n): inversions of y in the order of x, counted bit by bit of its ranks."""
+    n, order = len(x), np.lexsort((y, x))
+    x, (levels, rank) = x[order], np.unique(y[order], return_inverse=True)
+    tied = lambda *cols: sum(c * (c - 1) // 2 for c in np.unique(np.column_stack(cols), axis=0, return_counts=True)[1].tolist())
+    pairs, tx, ty, both = n * (n - 1) // 2, tied(x), tied(rank), tied(x, rank)
+    swaps, group = 0, np.zeros(n, np.int64)
+    for shift in range(max(len(levels) - 1, 0).bit_length() - 1, -1, -1):
+        one = (rank >> shift) & 1
+        before = np.cumsum(one) - one
+        start = np.searchsorted(group, group)  # groups stand in order
+        swaps += int((before - before[start])[one == 0].sum())
+        order = np.argsort(2 * group + one, kind="stable")
+        rank, group = rank[order], (2 * group + one)[order]
+    spread = math.sqrt(float(pairs - tx) * float(pairs - ty))
+    return (pairs - tx - ty + both - 2 * swaps) / spread if spread else 0.0
+
+
+def tau_matrix(scores: DataFrame, whole: int = 20_000_000) -> DataFrame:
+    """(method_a, method_b, tau) of all pairs of methods over all common nodes.
+
+    Up to ``whole`` nodes, counted before, each pair of methods is one task of two columns; beyond that, pairs of nodes are joined.
+    """
     s = scores.select("method", "node_id", "score")
     pairs = s.toDF("method_a", "node_id", "x").join(s.toDF("method_b", "node_id", "y"), "node_id").where("method_a < method_b")
-    return kendall_tau(pairs, "x", "y", ["method_a", "method_b"])
+    by = ["method_a", "method_b"]
+    most = s.groupBy("method").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > whole:
+        return kendall_tau(pairs, "x", "y", by)
+
+    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"method_a": [key[0]], "method_b": [key[1]], "tau": [tau_b(pdf["x"].to_numpy(), pdf["y"].to_numpy())]})
+
+    return pairs.select(*by, "x", "y").groupBy(*by).applyInPandas(one, "method_a string, method_b string, tau double")
 
 
 def precision_at_k(scored: DataFrame, k: int = 10) -> DataFrame:
@@ -109,18 +139,21 @@ def wilcoxon(scores: DataFrame) -> DataFrame:
 
 
 def tau_vs_rate(adj: DataFrame, scores: DataFrame, sample: DataFrame, rates: list[float], steps: int = 20, runs: int = 10) -> DataFrame:
-    """(method, rate, tau): ground truth for each rate on one fixed sample."""
-    truth = None
-    for rate in rates:
-        one = node_influence(adj, sample, rate, steps, runs).withColumn("rate", F.lit(rate))
-        truth = one if truth is None else truth.union(one)
+    """(method, rate, tau): ground truth for each rate on one fixed sample, all rates in one job."""
+    each = sample.select("node_id", F.explode(F.array(*[F.lit(float(r)) for r in rates])).alias("rate"))
+    seeds = each.select(F.concat_ws("@", "node_id", "rate").alias("label"), "node_id")
+    rate = F.split("label", "@")[1].cast("double")
+    times = infections(adj, runs_of(seeds, runs, salt="node_id").withColumn("rate", rate), steps)
+    size = times.groupBy("label", "run").agg(F.count(F.lit(1)).alias("n")).groupBy("label").agg((F.sum("n") / F.lit(runs)).alias("sir"))
+    truth = size.select(F.split("label", "@")[0].cast("long").alias("node_id"), rate.alias("rate"), "sir")
     rows = scores.join(F.broadcast(truth), "node_id").select("method", "rate", "node_id", "score", "sir")
     return kendall_tau(rows, "score", "sir", ["method", "rate"])
 
 
-def comparison_report(scored: DataFrame, scores: DataFrame, final: DataFrame, k: int = 10) -> DataFrame:
-    """method, tau, p_at_k, f_final and the top five nodes, best tau first. final: (method, f_final)."""
-    top = top_k(scores, 5).groupBy("method").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "node_id"))), lambda x: x["node_id"].cast("string")), ",").alias("top5"))
+def comparison_report(scored: DataFrame, scores: DataFrame, final: DataFrame, k: int = 10, shown: int = 5) -> DataFrame:
+    """method, tau, p_at_k, f_final and the first ``shown`` nodes, best tau first. final: (method, f_final)."""
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "node_id"))), lambda x: x["node_id"].cast("string")), ",")
+    top = top_k(scores, shown).groupBy("method").agg(names.alias(f"top{shown}"))
     out = tau_against_truth(scored).join(precision_at_k(scored, k), "method").join(final, "method").join(top, "method")
     return out.orderBy(F.desc("tau"), "method")
 

@@ -60,6 +60,11 @@ def ablation(parts: DataFrame, truth: DataFrame, k: int = 10) -> DataFrame:
     return kendall_tau(rows, "score", "sir", ["method"]).join(precision_at_k(rows, k), "method")
 
 
+def ablation_curves(adj: DataFrame, parts: DataFrame, k: int = 10, rate: float = RATE, steps: int = STEPS, runs: int = 15) -> DataFrame:
+    """(label, t, f): the curve of each setting's top k."""
+    return spread_curve(adj, top_k(ablation_scores(parts), k).select(F.col("method").alias("label"), "node_id"), rate, steps, runs)
+
+
 def component_gain(table: DataFrame) -> DataFrame:
     """(method, tau, gain): tau minus that of the setting before; the first is the baseline itself."""
     at = F.create_map(*[F.lit(x) for i, (n, _) in enumerate(ABLATION) for x in (n, i)])

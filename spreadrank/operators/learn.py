@@ -39,9 +39,29 @@ def losses(parts: DataFrame, truth: DataFrame, weights: DataFrame) -> DataFrame:
     return weights.join(tau, "candidate", "left").withColumn("tau", F.coalesce("tau", F.lit(0.0))).withColumn("loss", -F.col("tau") + F.lit(RIDGE) * square)
 
 
-def improvement(learned: float, fixed: float) -> float:
-    """Percent of improvement over fixed; 0 if fixed is about 0."""
-    return (learned - fixed) / abs(fixed) * 100 if abs(fixed) > 1e-8 else 0.0
+def descend(loss, rounds: int = 12, width: float = 1.0, least: float = 0.05) -> np.ndarray:
+    """Softmax parameters of a small loss, by descent from equal weights.
+
+    loss: from a list of points to their losses, all in one job. tau is a step
+    function, so slopes are central differences over ``width``; a round without
+    a gain halves the width, and descent ends under ``least``.
+    """
+    at = np.zeros(4)
+    best = loss([at])[0]
+    for _ in range(rounds):
+        if width < least:
+            break
+        probes = [at + s * width * e for e in np.eye(4) for s in (1, -1)]
+        got = loss(probes)
+        slope = (got[::2] - got[1::2]) / (2 * width)
+        size = np.linalg.norm(slope)
+        points = probes + ([at - slope / size * width * f for f in (2.0, 1.0, 0.5, 0.25)] if size > 1e-12 else [])
+        every = np.concatenate([got, loss(points[len(probes) :])]) if len(points) > len(probes) else got
+        if every.min() < best - 1e-12:
+            at, best = points[int(every.argmin())], every.min()
+        else:
+            width /= 2
+    return at
 
 
 def learn_weights(parts: DataFrame, truth: DataFrame, method: str = "grid", step: int = 10) -> DataFrame:
@@ -49,12 +69,19 @@ def learn_weights(parts: DataFrame, truth: DataFrame, method: str = "grid", step
 
     "grid" takes the candidate of least loss (the first of equal ones); equal
     weights are a candidate, so the loss is never above theirs. "gradient" is
-    descent from equal weights by finite differences: tau is a step function,
-    so it stays there.
+    descent() from equal weights.
     """
     weights = candidates(parts.sparkSession, step)
     if method == "gradient":
-        weights = weights.where(F.array(*[F.col(f"x{i}") for i in range(1, 5)]) == F.array(*[F.lit(float(x)) for x in EQUAL]))
+        spark = parts.sparkSession
+        table = lambda rows: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(rows)], "candidate long, x1 double, x2 double, x3 double, x4 double")
+
+        def loss(points: list) -> np.ndarray:  # a dozen rows at most
+            rows = losses(parts, truth, table([softmax(p) for p in points])).select("candidate", "loss").collect()
+            return np.array([r["loss"] for r in sorted(rows)])
+
+        found = tuple(np.round(softmax(descend(loss)), DIGITS).tolist())
+        weights = table([EQUAL, found] if found != EQUAL else [EQUAL])
     scored = losses(parts, truth, weights)
     fixed = scored.where("x1 = 0.25 and x2 = 0.25 and x3 = 0.25").select(F.col("tau").alias("tau_fixed"))
     best = scored.orderBy(F.round("loss", DIGITS), "candidate").limit(1)

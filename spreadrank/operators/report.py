@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scale import padded
-from .evaluate import canonical, ranks
+from .evaluate import canonical, hash_sample, ranks, tau_against_truth
 
 METHOD_COLUMN = "method"
 #: Colour and size rule (base, factor) of each tier of the network view.
@@ -81,8 +81,9 @@ def histogram(values: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def scatter_fit(scored: DataFrame) -> DataFrame:
-    """(method, pearson, slope, intercept) of sir on score."""
-    return scored.groupBy("method").agg(F.corr("score", "sir").alias("pearson"), F.regr_slope("sir", "score").alias("slope"), F.regr_intercept("sir", "score").alias("intercept"))
+    """(method, pearson, slope, intercept, tau) of sir on score."""
+    fit = scored.groupBy("method").agg(F.corr("score", "sir").alias("pearson"), F.regr_slope("sir", "score").alias("slope"), F.regr_intercept("sir", "score").alias("intercept"))
+    return fit.join(tau_against_truth(scored), "method")
 
 
 def quintiles(scores: DataFrame) -> DataFrame:
@@ -91,6 +92,13 @@ def quintiles(scores: DataFrame) -> DataFrame:
     return scores.crossJoin(F.broadcast(edges)).select("node_id", (F.size(F.filter("edges", lambda e: e < F.col("score"))) + 1).cast("long").alias("quintile"))
 
 
+def pair_table(scores: DataFrame, methods: list[str], hue: str, m: int = 500) -> DataFrame:
+    """wide_scores of m sampled nodes, and their quintile by the method ``hue`` within the sample."""
+    nodes = hash_sample(scores.select("node_id").distinct(), m)
+    shown = scores.join(F.broadcast(nodes), "node_id")
+    return wide_scores(shown, methods).join(quintiles(shown.where(F.col("method") == hue)), "node_id", "left")
+
+
 def radar(table: DataFrame) -> DataFrame:
     """Scaled tau, p_at_k, auc and f_final of each method; table: method, tau, p_at_k, auc, f_final."""
     w = Window.partitionBy(F.lit(1))  # one row a method

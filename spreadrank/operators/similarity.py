@@ -11,6 +11,8 @@ from .graph import degrees
 
 #: Vectors of one broadcast block; more vectors go in several blocks.
 BLOCK_ROWS = 200_000
+#: Vectors that one task compares with a block.
+ROWS_A_TASK = 20_000
 DIGITS = 9
 
 
@@ -64,7 +66,7 @@ def cosine_topk(vectors: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS) -
                     row, j, w = _best(mine @ x.T, ids, np.where(ids[own] == own_id, own, -1), k)
                     yield pd.DataFrame({"i": own_id[row], "j": j, "w": w})
 
-        one = vectors.mapInPandas(run, "i long, j long, w double")
+        one = vectors.repartition(max(vectors.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK))).mapInPandas(run, "i long, j long, w double")
         parts = one if parts is None else parts.union(one)
     if pieces > 1:
         rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("w"), "j"))

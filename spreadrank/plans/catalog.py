@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.session import cut
 from ..operators import centrality, evaluate, experiments, features, graph, influence, learn, report, similarity, spread
 from ..sources.edges import co_return_edges
-from .inputs import CHEAP, DIGITS, ROUNDS, RUNS, SAMPLE, TRUTH_RUNS, Inputs, K
-
-RATES = (0.05, 0.1, 0.2)
+from . import pipeline
+from .inputs import BASELINES, DIGITS, RATE_SAMPLE, RATES, ROUNDS, RUNS, TRUTH_RUNS, Inputs, K
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
@@ -32,12 +31,12 @@ def _thin(i: Inputs) -> DataFrame:
 
 
 def _top5(i: Inputs) -> DataFrame:
-    dc = i.scores.where("method = 'DC'")
+    dc = i.only("DC")
     return cut(evaluate.ranks(dc).where("rn <= 5").select("node_id", F.col("rn").alias("rank")))
 
 
 def _dc_top(i: Inputs, k: int = K) -> DataFrame:
-    return evaluate.top_k(i.scores.where("method = 'DC'"), k)
+    return evaluate.top_k(i.only("DC"), k)
 
 
 def _curve(i: Inputs) -> DataFrame:
@@ -64,7 +63,7 @@ def _top20(i: Inputs) -> DataFrame:
 
 
 def path_top(i: Inputs, m: int, depth: int) -> DataFrame:
-    centers = evaluate.top_k(i.scores.where("method = 'DC'"), m).select("node_id")
+    centers = evaluate.top_k(i.only("DC"), m).select("node_id")
     return influence.path_disruption(i.adj, centers, depth)
 
 
@@ -74,8 +73,8 @@ def _radar(i: Inputs) -> DataFrame:
 
 
 def _network(i: Inputs) -> DataFrame:
-    dc = i.scores.where("method = 'DC'").select("node_id", "score")
-    rn = evaluate.ranks(i.scores.where("method = 'DC'"))
+    dc = i.only("DC").select("node_id", "score")
+    rn = evaluate.ranks(i.only("DC"))
     return report.network_nodes(graph.ego_subgraph(i.adj, _top5(i)), dc, rn)
 
 
@@ -84,11 +83,11 @@ def _influence(i: Inputs) -> DataFrame:
 
 
 def _taus(i: Inputs) -> DataFrame:
-    return evaluate.tau_vs_rate(i.adj, i.scores, evaluate.hash_sample(i.nodes, SAMPLE), list(RATES), runs=TRUTH_RUNS)
+    return evaluate.tau_vs_rate(i.adj, i.scores, evaluate.hash_sample(i.nodes, RATE_SAMPLE), list(RATES), runs=TRUTH_RUNS)
 
 
 def _removal(i: Inputs) -> DataFrame:
-    return experiments.node_removal(i.edges, i.scores.where("method = 'DC'"), K, runs=RUNS)
+    return experiments.node_removal(i.edges, i.only("DC"), K, runs=RUNS)
 
 
 def _removal_summary(i: Inputs) -> DataFrame:
@@ -108,6 +107,9 @@ QUERIES = {
     "edge_projection": _query(lambda i: i.edges),
     "adjacency": _query(lambda i: i.adj),
     "graph_stats": _query(lambda i: graph.graph_stats(i.edges)),
+    "connected_components_whole": _query(lambda i: graph.connected_components(i.edges)),
+    "largest_component_whole": _query(lambda i: graph.largest_component(i.edges)),
+    "clean_graph_whole": _query(lambda i: graph.clean_graph(i.edges)),
     "connected_components": _query(lambda i: graph.connected_components(_thin(i))),
     "largest_component": _query(lambda i: graph.largest_component(_thin(i))),
     "clean_graph": _query(lambda i: graph.clean_graph(_thin(i))),
@@ -140,18 +142,18 @@ QUERIES = {
     "betweenness": _values(centrality.betweenness),
     "closeness": _values(centrality.closeness),
     "collective_influence": _values(centrality.collective_influence),
-    "wide_scores": _query(lambda i: report.wide_scores(i.scores, list(CHEAP))),
-    "all_scores": _query(lambda i: report.all_scores(i.scores, list(CHEAP), i.truth)),
-    "ranked_nodes_top20": _query(lambda i: report.ranked_nodes(report.with_truth(i.scores, i.nodes, i.truth), ["SIR", *CHEAP])),
+    "wide_scores": _query(lambda i: report.wide_scores(i.scores, list(BASELINES))),
+    "all_scores": _query(lambda i: report.all_scores(i.scores, list(BASELINES), i.truth)),
+    "ranked_nodes_top20": _query(lambda i: report.ranked_nodes(report.with_truth(i.scores, i.nodes, i.truth), ["SIR", *BASELINES])),
     "top_bars": _query(lambda i: report.top_bars(i.scores)),
     "hash_sample_200": _query(lambda i: evaluate.hash_sample(i.nodes, 200)),
-    "score_quintiles": _query(lambda i: report.quintiles(i.scores.where("method = 'CI'"))),
+    "score_quintiles": _query(lambda i: report.quintiles(i.only("CI"))),
     "sir_curve": _query(_curve),
     "sir_single_seed": _query(lambda i: i.truth),
     "spread_metrics": _query(_metrics),
     "sir_recovery_half": _query(lambda i: spread.slow_recovery_curve(i.adj, _dc_top(i).select(F.lit("DC").alias("label"), "node_id"), runs=3)),
     "kendall_tau": _query(lambda i: evaluate.tau_against_truth(i.scored)),
-    "method_tau_matrix": _query(lambda i: evaluate.tau_matrix(i.scored)),
+    "method_tau_matrix": _query(lambda i: evaluate.tau_matrix(i.scores)),
     "precision_at_k": _query(lambda i: evaluate.precision_at_k(i.scored, K)),
     "wilcoxon_z": _query(lambda i: evaluate.wilcoxon(i.scored).select("method_a", "method_b", "n", "w", "z")),
     "significance": _query(lambda i: evaluate.wilcoxon(i.scored).select("method_a", "method_b", "p_value", "significant")),
@@ -176,14 +178,39 @@ QUERIES = {
     "ablation": _query(lambda i: experiments.ablation(i.parts, i.truth, K)),
     "component_gain": _query(lambda i: experiments.component_gain(experiments.ablation(i.parts, i.truth, K))),
     "metric_table": _query(lambda i: experiments.metric_table(i.adj, i.scores, i.scored, K, runs=RUNS)),
-    "cascading_removal": _query(lambda i: experiments.cascading_removal(i.edges, i.scores.where("method in ('DC', 'CI')"), 4, runs=RUNS)),
+    "cascading_removal": _query(lambda i: experiments.cascading_removal(i.edges, i.only("DC", "CI"), 4, runs=RUNS)),
     "sir_error_bars": _query(lambda i: experiments.repeated_spread(i.adj, i.scores, K, 3, 3)),
     "curve_heatmap": _query(lambda i: report.curve_heatmap(_curve(i))),
     "box_stats": _query(lambda i: report.box_stats(i.scores)),
     "violin_quantiles": _query(lambda i: report.violin_quantiles(i.scores)),
     "radar": _query(_radar),
-    "histogram": _query(lambda i: report.histogram(i.scores.where("method = 'CI'"), "score")),
-    "scatter_fit": _query(lambda i: report.scatter_fit(i.scored)),
+    "histogram": _query(lambda i: report.histogram(i.only("CI"), "score")),
+    "scatter_fit": _query(lambda i: report.scatter_fit(i.scored).withColumn("slope", F.round("slope", 6))),
+    "pair_table": _query(lambda i: report.pair_table(i.scores, list(BASELINES), "CI")),
     "network_nodes": _query(_network),
     "network_edges": _query(lambda i: graph.induced(i.edges, graph.ego_subgraph(i.adj, _top5(i), 100))),
 }
+
+#: Tables of the study that are queries; the others are the same operators on the same tables.
+REGISTERED = ("influence", "weights", "scores", "metrics", "report", "significance", "tau_vs_rate", "classification", "ablation_curves", "histogram_score", "pair_table")
+_studies: dict = {}
+
+
+def _study(name: str):
+    """A table of the whole study of the co-return graph: seven features, path disruption to two hops, all eight methods."""
+
+    def run(spark, sf_dir: str) -> DataFrame:
+        key, folder = (spark.sparkContext.applicationId, sf_dir), spark.sparkContext._jsc.sc().getCheckpointDir()
+        if folder.isDefined():  # its tables are cut once and shared as long as their files are there
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder.get())
+            if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+                _studies.clear()
+        if key not in _studies:
+            _studies.clear()
+            _studies[key] = pipeline.study(cut(graph.clean_graph(co_return_edges(spark, sf_dir))), "co_return")
+        return rounded(_studies[key][name])
+
+    return run
+
+
+QUERIES |= {f"study_{name}": _study(name) for name in pipeline.TABLES if name in REGISTERED}

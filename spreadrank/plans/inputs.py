@@ -12,8 +12,10 @@ from ..operators import centrality, evaluate, features, graph, influence, simila
 from ..sources.edges import co_return_edges
 
 #: Parameters of the registered evaluation queries.
-SAMPLE, RUNS, TRUTH_RUNS, ROUNDS, K = 60, 5, 4, 20, 10
-CHEAP = ("DC", "CI", "PR", "KS")
+SAMPLE, RUNS, TRUTH_RUNS, ROUNDS, K = 200, 15, 10, 20, 10
+RATES = tuple(i / 100 for i in range(1, 11))
+RATE_SAMPLE = 150
+BASELINES = ("DC", "BC", "CC", "CI", "PR", "KS")
 DIGITS = 9
 
 
@@ -44,10 +46,15 @@ class Inputs:
 
     @property
     def scores(self) -> DataFrame:
-        """(method, node_id, score) of the cheap methods, rounded."""
-        build = lambda: centrality.all_baselines(self.adj, ROUNDS, None, CHEAP).select("method", "node_id", F.round("score", DIGITS).alias("score"))
+        """(method, node_id, score) of the six baselines, rounded."""
+        build = lambda: centrality.all_baselines(self.adj, ROUNDS, None, BASELINES).select("method", "node_id", F.round("score", DIGITS).alias("score"))
         return self._once("scores", build)
 
+    def only(self, *methods: str) -> DataFrame:
+        """Scores of the named baselines alone."""
+        build = lambda: centrality.all_baselines(self.adj, ROUNDS, None, methods).select("method", "node_id", F.round("score", DIGITS).alias("score"))
+        return self._once("+".join(methods), build)
+
     @property
     def truth(self) -> DataFrame:
         """(node_id, sir) of the sampled nodes."""
@@ -58,15 +65,14 @@ class Inputs:
         return self._once("scored", lambda: evaluate.on_sample(self.scores, self.truth))
 
     @property
-    def basic_features(self) -> DataFrame:
-        """Three scaled features whose values agree to the last digit in any engine."""
-        raw = features.degree_features(self.adj).join(features.core_numbers(self.adj), "node_id")
-        names = ("degree", "max_nbr_degree", "core")
-        return features.scaled_features(raw, names).select("node_id", F.array(*[F.col(f"{c}_norm") for c in names]).alias("x"))
+    def features(self) -> DataFrame:
+        """All seven scaled features as one vector, from values rounded so that they agree in any engine."""
+        raw = features.node_features(self.edges).select("node_id", *[F.round(F.col(c).cast("double"), DIGITS).alias(c) for c in features.NAMES])
+        return features.scaled_features(raw).select("node_id", F.array(*[F.col(f"{c}_norm") for c in features.NAMES]).alias("x"))
 
     @property
     def blended(self) -> DataFrame:
-        return self._once("ga", lambda: similarity.augmented_graph(self.adj, similarity.cosine_topk(self.basic_features)))
+        return self._once("ga", lambda: similarity.augmented_graph(self.adj, similarity.cosine_topk(self.features)))
 
     @property
     def parts(self) -> DataFrame:

@@ -13,10 +13,9 @@ from ..operators.evaluate import ORDER
 from ..operators.experiments import ABLATION
 from ..operators.learn import RIDGE, grid
 from ..operators.report import TIERS
-from .inputs import CHEAP, ROUNDS, RUNS, SAMPLE, TRUTH_RUNS, K
+from .inputs import BASELINES, RATE_SAMPLE, RATES, ROUNDS, RUNS, SAMPLE, TRUTH_RUNS, K
 
 CORE_ROUNDS, LEVELS, STEPS, RATE = 16, 9, 20, 0.1
-RATES = (0.05, 0.1, 0.2)
 
 PARTS: dict[str, str] = {
     "p": "SELECT DISTINCT l_orderkey o, l_partkey n FROM lineitem WHERE l_returnflag = 'R'",
@@ -32,6 +31,8 @@ PARTS: dict[str, str] = {
     "te": "SELECT DISTINCT a.n u, b.n v FROM tp a JOIN tp b ON a.o = b.o AND a.n < b.n",
     "tadj": "SELECT u, v FROM te UNION ALL SELECT v, u FROM te",
     "comp": "@USING KEY (node_id)@(node_id, component) SELECT DISTINCT u, u FROM tadj UNION (SELECT a.v, min(c.component) FROM comp c JOIN tadj a ON a.u = c.node_id JOIN recurring.comp o ON o.node_id = a.v WHERE c.component < o.component GROUP BY a.v)",
+    "wcomp": "@USING KEY (node_id)@(node_id, component) SELECT DISTINCT u, u FROM adj UNION (SELECT a.v, min(c.component) FROM wcomp c JOIN adj a ON a.u = c.node_id JOIN recurring.wcomp o ON o.node_id = a.v WHERE c.component < o.component GROUP BY a.v)",
+    "wlarge": "SELECT node_id FROM wcomp WHERE component = (SELECT component FROM wcomp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)",
     "large": "SELECT node_id FROM comp WHERE component = (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1)",
     # features
     "nbr": "SELECT a.u node_id, count(*) degree, avg(d.k) avg_nbr_degree, max(d.k) max_nbr_degree FROM adj a JOIN deg d ON d.node_id = a.v GROUP BY a.u",
@@ -42,10 +43,10 @@ PARTS: dict[str, str] = {
     "core0": "SELECT node_id, k core FROM deg",
     "pr0": "SELECT node_id, 1.0::DOUBLE / n r FROM deg, size_",
     # similarity
-    "raw3": "SELECT node_id, degree::DOUBLE a, max_nbr_degree::DOUBLE b, core::DOUBLE c FROM nbr JOIN core USING (node_id)",
-    "scaled3": "SELECT node_id, " + ", ".join(f"CASE WHEN max({x}) OVER () - min({x}) OVER () > 1e-12 THEN ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) ELSE 0.0 END {x}" for x in "abc") + " FROM raw3",
-    "unit3": "SELECT node_id, a / nullif(sqrt(a * a + b * b + c * c), 0) a, b / nullif(sqrt(a * a + b * b + c * c), 0) b, c / nullif(sqrt(a * a + b * b + c * c), 0) c FROM scaled3",
-    "sims": "SELECT x.node_id i, y.node_id j, round(least(1.0, greatest(0.0, x.a * y.a + x.b * y.b + x.c * y.c)), 9) w FROM unit3 x JOIN unit3 y ON x.node_id <> y.node_id",
+    "raw7": "SELECT node_id, degree::DOUBLE a, round(avg_nbr_degree, 9) b, max_nbr_degree::DOUBLE c, round(clu.value, 9) d, core::DOUBLE e, round(CASE WHEN k < 2 OR m = 0 THEN 0.0 ELSE s / m END, 9) f, round(r, 9) g FROM nbr JOIN clu USING (node_id) JOIN core USING (node_id) JOIN eff USING (node_id) JOIN pr USING (node_id)",
+    "scaled7": "SELECT node_id, " + ", ".join(f"CASE WHEN max({x}) OVER () - min({x}) OVER () > 1e-12 THEN ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) ELSE 0.0 END {x}" for x in "abcdefg") + " FROM raw7",
+    "unit7": "SELECT node_id, " + ", ".join(f"{x} / nullif(sqrt(" + " + ".join(f"{y} * {y}" for y in "abcdefg") + f"), 0) {x}" for x in "abcdefg") + " FROM scaled7",
+    "sims": "SELECT x.node_id i, y.node_id j, round(least(1.0, greatest(0.0, " + " + ".join(f"x.{y} * y.{y}" for y in "abcdefg") + ")), 9) w FROM unit7 x JOIN unit7 y ON x.node_id <> y.node_id",
     "top10s": "SELECT i, j, w FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, j) r FROM sims WHERE w > 0) WHERE r <= 10",
     "wk": "SELECT i, j, w / (SELECT max(w) FROM top10s) w FROM top10s",
     "support": "SELECT coalesce(b.i, s.i) i, coalesce(b.j, s.j) j, coalesce(b.a, 0.0) a, coalesce(s.w, 0.0) w FROM (SELECT u i, v j, 1.0::DOUBLE / kbar a FROM adj, size_ UNION ALL SELECT node_id, node_id, 1.0::DOUBLE / kbar FROM deg, size_) b FULL JOIN wk s ON s.i = b.i AND s.j = b.j",
@@ -62,7 +63,7 @@ PARTS: dict[str, str] = {
     "norm4": "SELECT *, " + ", ".join(f"CASE WHEN max({x}) OVER () - min({x}) OVER () > 1e-12 THEN ({x} - min({x}) OVER ()) / (max({x}) OVER () - min({x}) OVER ()) ELSE 0.0 END {x}_n" for x in ("cli", "csli", "caspi", "csi")) + " FROM raw4",
     "parts": "SELECT node_id, " + ", ".join(f"round({x}, 9) {x}, round({x}_n, 9) {x}_norm" for x in ("cli", "csli", "caspi", "csi")) + ", round(0.25 * cli_n + 0.25 * csli_n + 0.25 * caspi_n + 0.25 * csi_n, 9) score FROM norm4",
     # path disruption to two hops around the 20 nodes of highest degree
-    "c20": "SELECT node_id c FROM scores WHERE method = 'DC' ORDER BY score DESC, node_id LIMIT 20",
+    "c20": "SELECT node_id c FROM dcs ORDER BY score DESC, node_id LIMIT 20",
     "ball": "SELECT c, node FROM c20 JOIN hops ON src = c UNION ALL SELECT c, c FROM c20",
     "bnode": "SELECT 2 * c g, node FROM ball UNION ALL SELECT 2 * c + 1, node FROM ball WHERE node <> c",
     "bedge": "SELECT x.g, a.u, a.v FROM bnode x JOIN adj a ON a.u = x.node JOIN bnode y ON y.g = x.g AND y.node = a.v",
@@ -73,13 +74,18 @@ PARTS: dict[str, str] = {
     "apsp": "@USING KEY (s, x)@(s, x, d) SELECT node_id, node_id, 0 FROM deg UNION (SELECT DISTINCT f.s, a.v, f.d + 1 FROM apsp f JOIN adj a ON a.u = f.x WHERE NOT EXISTS (SELECT 1 FROM recurring.apsp o WHERE o.s = f.s AND o.x = a.v))",
     "close_": "SELECT s node_id, count(*) - 1 reached, sum(d) total FROM apsp GROUP BY s",
     "sg0": "SELECT node_id s, node_id x, 1.0::DOUBLE sigma FROM deg",
-    # scores of the cheap methods
+    # scores of the baselines
     "ci": "SELECT d.node_id, (d.k - 1) * coalesce(t, 0) value FROM deg d LEFT JOIN (SELECT src node_id, sum(k - 1) t FROM hop2 JOIN deg ON deg.node_id = node GROUP BY src) USING (node_id)",
-    "scores": "SELECT 'DC' AS method, node_id, round(k::DOUBLE / (n - 1), 9) score FROM deg, size_ UNION ALL SELECT 'CI', node_id, round(value::DOUBLE, 9) FROM ci UNION ALL SELECT 'PR', node_id, round(r, 9) FROM pr UNION ALL SELECT 'KS', node_id, core::DOUBLE FROM core",
+    "scores": "SELECT 'DC' AS method, node_id, round(k::DOUBLE / (n - 1), 9) score FROM deg, size_ UNION ALL SELECT 'CI', node_id, round(value::DOUBLE, 9) FROM ci UNION ALL SELECT 'PR', node_id, round(r, 9) FROM pr UNION ALL SELECT 'KS', node_id, core::DOUBLE FROM core UNION ALL SELECT 'BC', node_id, round(value, 9) FROM between UNION ALL SELECT 'CC', node_id, round(CASE WHEN total > 0 THEN reached::DOUBLE / total * reached / (n - 1) ELSE 0.0 END, 9) FROM close_, size_",
     "ranked": "SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, node_id) rn FROM scores",
-    "dctop": f"SELECT node_id, rn FROM ranked WHERE method = 'DC' AND rn <= {K}",
+    "dcs": "SELECT node_id, round(k::DOUBLE / (n - 1), 9) score FROM deg, size_",
+    "cis": "SELECT node_id, round(value::DOUBLE, 9) score FROM ci",
+    "dcranked": "SELECT *, row_number() OVER (ORDER BY score DESC, node_id) rn FROM dcs",
+    "ciranked": "SELECT *, row_number() OVER (ORDER BY score DESC, node_id) rn FROM cis",
+    "dctop": f"SELECT node_id, rn FROM dcranked WHERE rn <= {K}",
     # ground truth
     "sample": f"SELECT node_id FROM deg ORDER BY {order_sql('node_id')}, node_id LIMIT {SAMPLE}",
+    "shown500": f"SELECT node_id FROM deg ORDER BY {order_sql('node_id')}, node_id LIMIT 500",
     "tinf": f"@USING KEY (label, run, node_id)@(label, run, node_id, t) SELECT node_id, r, node_id, 0 FROM sample, range({TRUTH_RUNS}) q(r) UNION (SELECT DISTINCT f.label, f.run, a.v, f.t + 1 FROM tinf f JOIN adj a ON a.u = f.node_id WHERE f.t < {STEPS} AND {coin_sql('a.u', 'a.v', 'f.run', 'f.label')} < {threshold(RATE)} AND NOT EXISTS (SELECT 1 FROM recurring.tinf o WHERE o.label = f.label AND o.run = f.run AND o.node_id = a.v))",
     "truth": f"SELECT label node_id, count(*)::DOUBLE / {TRUTH_RUNS} sir FROM tinf GROUP BY label",
     "scored": "SELECT method, node_id, score, sir FROM scores JOIN truth USING (node_id)",
@@ -107,7 +113,7 @@ PARTS: dict[str, str] = {
     "atau": "SELECT a.method, any_value(a.ord) ord, coalesce(sum(sign(a.score - b.score) * sign(a.sir - b.sir))::DOUBLE / nullif(sqrt(sum(sign(a.score - b.score) ** 2)::DOUBLE * sum(sign(a.sir - b.sir) ** 2)), 0), 0.0) tau FROM ascored a JOIN ascored b ON a.method = b.method AND a.node_id < b.node_id GROUP BY a.method",
     "apk": f"SELECT method, sum((a <= {K} AND b <= {K})::INT)::DOUBLE / least({K}, count(*)) p_at_k FROM (SELECT method, row_number() OVER (PARTITION BY method ORDER BY score DESC, node_id) a, row_number() OVER (PARTITION BY method ORDER BY sir DESC, node_id) b FROM ascored) GROUP BY method",
     # ego view around the five nodes of highest degree
-    "five": "SELECT node_id, rn AS rank FROM ranked WHERE method = 'DC' AND rn <= 5",
+    "five": "SELECT node_id, rn AS rank FROM dcranked WHERE rn <= 5",
     "reach": "SELECT node node_id, min((rank, dist)) first_ FROM (SELECT node, rank, dist FROM hops JOIN five ON five.node_id = src UNION ALL SELECT node_id, rank, 0 FROM five) GROUP BY node",
     "filled": "SELECT rank, coalesce(sum(n) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) before FROM (SELECT first_[1] AS rank, count(*) n FROM reach GROUP BY 1)",
     "ego300": "SELECT node_id, first_[1] AS rank FROM reach WHERE first_[1] IN (SELECT rank FROM filled WHERE before < 300) ORDER BY first_[1], first_[2], node_id LIMIT 300",
@@ -145,18 +151,18 @@ PARTS["aseed"] = "SELECT 'after' AS label, node_id FROM outer5 WHERE node_id IN
 PARTS["binf"], PARTS["ainf"] = _spread("binf", "bseed", "adj", RUNS), _spread("ainf", "aseed", "adj2", RUNS)
 PARTS["rinf"] = _spread("rinf", "seeds", "adj", 9)
 for n, rate in enumerate(RATES):
-    PARTS[f"xseed{n}"] = "SELECT node_id label, node_id FROM sample"
+    PARTS[f"xseed{n}"] = f"SELECT node_id label, node_id FROM deg ORDER BY {order_sql('node_id')}, node_id LIMIT {RATE_SAMPLE}"
     PARTS[f"xinf{n}"] = _spread(f"xinf{n}", f"xseed{n}", "adj", TRUTH_RUNS, rate, "f.label")
 PARTS["xtruth"] = " UNION ALL ".join(f"SELECT label node_id, {r!r}::DOUBLE rate, count(*)::DOUBLE / {TRUTH_RUNS} sir FROM xinf{n} GROUP BY label" for n, r in enumerate(RATES))
 PARTS["xscored"] = "SELECT method, rate, node_id, score, sir FROM scores JOIN xtruth USING (node_id)"
 #: Cascades: for DC and CI and k up to 4, the graph without the first k.
 for m in ("DC", "CI"):
-    PARTS[f"ks{m}"] = f"SELECT method AS label, node_id FROM ranked WHERE method = '{m}' AND rn <= 3"
+    PARTS[f"ks{m}"] = f"SELECT '{m}' AS label, node_id FROM {m.lower()}ranked WHERE rn <= 3"
     PARTS[f"kb{m}"] = _spread(f"kb{m}", f"ks{m}", "adj", RUNS)
     for k in range(1, 5):
-        PARTS[f"kg{m}{k}"] = f"SELECT node_id FROM ranked WHERE method = '{m}' AND rn <= {k}"
+        PARTS[f"kg{m}{k}"] = f"SELECT node_id FROM {m.lower()}ranked WHERE rn <= {k}"
         PARTS[f"ka{m}{k}"] = f"SELECT u, v FROM adj WHERE u NOT IN (SELECT node_id FROM kg{m}{k}) AND v NOT IN (SELECT node_id FROM kg{m}{k})"
-        left = f"SELECT method AS label, node_id FROM ranked WHERE method = '{m}' AND rn > {k} AND rn <= 3 AND node_id IN (SELECT u FROM ka{m}{k})"
+        left = f"SELECT '{m}' AS label, node_id FROM {m.lower()}ranked WHERE rn > {k} AND rn <= 3 AND node_id IN (SELECT u FROM ka{m}{k})"
         PARTS[f"ke{m}{k}"] = left if k < 3 else f"SELECT '{m}' AS label, min(u) node_id FROM ka{m}{k}"
         PARTS[f"ki{m}{k}"] = _spread(f"ki{m}{k}", f"ke{m}{k}", f"ka{m}{k}", RUNS)
 PARTS["kbase"] = " UNION ALL ".join(f"SELECT '{m}' AS method, count(*)::DOUBLE / {RUNS} f FROM kb{m}" for m in ("DC", "CI"))
@@ -181,8 +187,8 @@ def statement(body: str) -> str:
     return ("WITH RECURSIVE " + ",\n".join(made) + "\n" if made else "") + body
 
 
-_wide = ", ".join(f"max(score) FILTER (method = '{m}') \"{m}\"" for m in CHEAP)
-_ranked = ", ".join(f"max(node_id) FILTER (method = '{m}') \"{m}\"" for m in ("SIR", *CHEAP))
+_wide = ", ".join(f"max(score) FILTER (method = '{m}') \"{m}\"" for m in BASELINES)
+_ranked = ", ".join(f"max(node_id) FILTER (method = '{m}') \"{m}\"" for m in ("SIR", *BASELINES))
 _cos = "list_dot_product(x.v, y.v) / nullif(sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v)), 0)"
 _tier = lambda i: f"CASE WHEN rn <= 5 THEN {TIERS[0][i]!r} WHEN rn <= 10 THEN {TIERS[1][i]!r} WHEN rn <= 50 THEN {TIERS[2][i]!r} ELSE {TIERS[3][i]!r} END"
 _ord = "CASE method " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(ORDER)) + f" ELSE {len(ORDER)} END"
@@ -200,6 +206,9 @@ BODIES = {
     "edge_projection": "SELECT u, v FROM e",
     "adjacency": "SELECT u, v FROM adj",
     "graph_stats": "SELECT count(*) nodes, (sum(k) // 2)::BIGINT edges, round(sum(k)::DOUBLE / count(*), 2) avg_degree, max(k) max_degree, round(sum(k)::DOUBLE / (count(*) * (count(*) - 1)), 9) density FROM deg",
+    "connected_components_whole": "SELECT node_id, component FROM wcomp",
+    "largest_component_whole": "SELECT node_id FROM wlarge",
+    "clean_graph_whole": "SELECT u, v FROM e WHERE u IN (SELECT node_id FROM wlarge)",
     "connected_components": "SELECT node_id, component FROM comp",
     "largest_component": "SELECT node_id FROM large",
     "clean_graph": "SELECT u, v FROM te WHERE u IN (SELECT node_id FROM large) AND v IN (SELECT node_id FROM large)",
@@ -234,12 +243,12 @@ BODIES = {
     "ranked_nodes_top20": f"SELECT rn AS rank, {_ranked} FROM (SELECT method, node_id, row_number() OVER (PARTITION BY method ORDER BY score DESC, node_id) rn FROM (SELECT method, node_id, score FROM scores UNION ALL SELECT 'SIR', node_id, coalesce(sir, 0.0) FROM deg LEFT JOIN truth USING (node_id))) WHERE rn <= 20 GROUP BY rn",
     "top_bars": f"SELECT method, ({_ord})::BIGINT ord, rn, node_id, score FROM ranked WHERE rn <= 10",
     "hash_sample_200": f"SELECT node_id FROM deg ORDER BY {order_sql('node_id')}, node_id LIMIT 200",
-    "score_quintiles": "SELECT node_id, (len(list_filter((SELECT list_distinct([quantile_cont(score, 0.2), quantile_cont(score, 0.4), quantile_cont(score, 0.6), quantile_cont(score, 0.8)]) FROM scores WHERE method = 'CI'), lambda q: q < score)) + 1)::BIGINT quintile FROM scores WHERE method = 'CI'",
+    "score_quintiles": "SELECT node_id, (len(list_filter((SELECT list_distinct([quantile_cont(score, 0.2), quantile_cont(score, 0.4), quantile_cont(score, 0.6), quantile_cont(score, 0.8)]) FROM cis), lambda q: q < score)) + 1)::BIGINT quintile FROM cis",
     "sir_curve": f"SELECT label, t::BIGINT t, {_n('f')} f FROM curve",
     "sir_single_seed": f"SELECT node_id, {_n('sir')} sir FROM truth",
     "spread_metrics": f"SELECT method, {_n('f_final')} f_final, {_n('ratio')} ratio, t_sat::BIGINT t_sat, t_peak::BIGINT t_peak FROM metrics",
     "kendall_tau": f"SELECT method, {_n('tau')} tau FROM tau",
-    "method_tau_matrix": "SELECT method_a, method_b, round(coalesce(sum(sign(a.x - b.x) * sign(a.y - b.y))::DOUBLE / nullif(sqrt(sum(sign(a.x - b.x) ** 2)::DOUBLE * sum(sign(a.y - b.y) ** 2)), 0), 0.0), 9) tau FROM (SELECT m.method method_a, n.method method_b, m.node_id, m.score x, n.score y FROM scored m JOIN scored n ON m.node_id = n.node_id AND m.method < n.method) a JOIN (SELECT m.method method_a, n.method method_b, m.node_id, m.score x, n.score y FROM scored m JOIN scored n ON m.node_id = n.node_id AND m.method < n.method) b USING (method_a, method_b) WHERE a.node_id < b.node_id GROUP BY method_a, method_b",
+    "method_tau_matrix": "SELECT method_a, method_b, round(coalesce(sum(sign(a.x - b.x) * sign(a.y - b.y))::DOUBLE / nullif(sqrt(sum(sign(a.x - b.x) ** 2)::DOUBLE * sum(sign(a.y - b.y) ** 2)), 0), 0.0), 9) tau FROM (SELECT m.method method_a, n.method method_b, m.node_id, m.score x, n.score y FROM scores m JOIN scores n ON m.node_id = n.node_id AND m.method < n.method) a JOIN (SELECT m.method method_a, n.method method_b, m.node_id, m.score x, n.score y FROM scores m JOIN scores n ON m.node_id = n.node_id AND m.method < n.method) b USING (method_a, method_b) WHERE a.node_id < b.node_id GROUP BY method_a, method_b",
     "precision_at_k": f"SELECT method, {_n('p_at_k')} p_at_k FROM pk",
     "wilcoxon_z": "SELECT method_a, method_b, n, round(w, 9) w, round((w - n::DOUBLE * (n + 1) / 4) / nullif(sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48), 0), 9) z FROM wil",
     "comparison_report": "SELECT method, round(tau, 9) tau, round(p_at_k, 9) p_at_k, round(f_final, 9) f_final, top5 FROM tau JOIN pk USING (method) JOIN metrics USING (method) JOIN (SELECT method, string_agg(node_id::VARCHAR, ',' ORDER BY rn) top5 FROM ranked WHERE rn <= 5 GROUP BY method) USING (method)",
@@ -251,7 +260,6 @@ BODIES = {
     "classification": "SELECT method, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 9) accuracy, round(coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0.0), 9) AS precision, round(coalesce(tp::DOUBLE / nullif(tp + fn, 0), 0.0), 9) recall, round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0.0), 9) f1 FROM cells",
     "weight_grid": "SELECT candidate, round(x1, 9) x1, round(x2, 9) x2, round(x3, 9) x3, round(x4, 9) x4, round(tau, 9) tau, round(loss, 9) loss FROM loss",
     "weight_learned": _learned.format("SELECT * FROM loss ORDER BY round(loss, 9), candidate LIMIT 1"),
-    "weight_gradient": _learned.format("SELECT * FROM loss WHERE x1 = 0.25 AND x2 = 0.25 AND x3 = 0.25"),
     "weights_summary": f"SELECT 'co_return' dataset, x1, x2, x3, x4, total, dominant FROM ({_best})",
     "weight_matrix": f"SELECT 'co_return' dataset, unnest(['cli', 'csli', 'caspi', 'csi']) component, unnest([x1, x2, x3, x4]) weight FROM ({_best})",
     "mean_improvement": f"SELECT round(avg(improvement), 6) improvement FROM ({_best})",
@@ -269,8 +277,9 @@ BODIES = {
     "box_stats": f"SELECT method, {', '.join(_n(_quant(p)) + ' ' + n for p, n in ((0.0, 'low'), (0.25, 'q1'), (0.5, 'median'), (0.75, 'q3'), (1.0, 'high')))} FROM {_scaledscores} s GROUP BY method",
     "violin_quantiles": f"SELECT method, round(q, 9) q, round(value, 9) AS value FROM (SELECT method, unnest(list_transform(range(21), lambda i: i / 20.0::DOUBLE)) q, unnest([{', '.join(_quant(i / 20) for i in range(21))}]) AS value FROM {_scaledscores} s GROUP BY method)",
     "radar": "SELECT method, round(greatest(tau, 0) / coalesce(nullif(max(abs(tau)) OVER (), 0), 1), 9) tau, round(p_at_k / coalesce(nullif(max(p_at_k) OVER (), 0), 1), 9) p_at_k, round(coalesce(auc, 0.5) / greatest(max(auc) OVER (), 1.0), 9) auc, round(f_final / coalesce(nullif(max(f_final) OVER (), 0), 1), 9) f_final FROM tau JOIN pk USING (method) JOIN auc USING (method) JOIN metrics USING (method)",
-    "histogram": "SELECT b::BIGINT bin, round(lo + b * (hi - lo) / 30, 9) low, count(x.node_id) n, round(count(x.node_id)::DOUBLE / (any_value(total) * ((hi - lo) / 30)), 9) density FROM (SELECT min(score) lo, max(score) hi, count(*) total FROM scores WHERE method = 'CI') s, range(30) g(b) LEFT JOIN (SELECT node_id, least(29, floor((score - min(score) OVER ()) / ((max(score) OVER () - min(score) OVER ()) / 30))) bin FROM scores WHERE method = 'CI') x ON x.bin = b GROUP BY b, lo, hi",
-    "scatter_fit": "SELECT method, round(corr(score, sir), 9) pearson, round(regr_slope(sir, score), 9) slope, round(regr_intercept(sir, score), 9) intercept FROM scored GROUP BY method",
+    "histogram": "SELECT b::BIGINT bin, round(lo + b * (hi - lo) / 30, 9) low, count(x.node_id) n, round(count(x.node_id)::DOUBLE / (any_value(total) * ((hi - lo) / 30)), 9) density FROM (SELECT min(score) lo, max(score) hi, count(*) total FROM cis) s, range(30) g(b) LEFT JOIN (SELECT node_id, least(29, floor((score - min(score) OVER ()) / ((max(score) OVER () - min(score) OVER ()) / 30))) bin FROM cis) x ON x.bin = b GROUP BY b, lo, hi",
+    "scatter_fit": "SELECT method, pearson, slope, intercept, round(tau, 9) tau FROM (SELECT method, round(corr(score, sir), 9) pearson, round(regr_slope(sir, score), 6) slope, round(regr_intercept(sir, score), 9) intercept FROM scored GROUP BY method) JOIN tau USING (method)",
+    "pair_table": f"SELECT w.*, quintile FROM (SELECT node_id, {_wide} FROM scores JOIN shown500 USING (node_id) GROUP BY node_id) w JOIN (SELECT node_id, (len(list_filter((SELECT list_distinct([quantile_cont(score, 0.2), quantile_cont(score, 0.4), quantile_cont(score, 0.6), quantile_cont(score, 0.8)]) FROM cis JOIN shown500 USING (node_id)), lambda q: q < score)) + 1)::BIGINT quintile FROM cis JOIN shown500 USING (node_id)) USING (node_id)",
     "network_nodes": f"SELECT node_id, {_tier(0)} tier, {_tier(1)} colour, round({_tier(2)} + x * {_tier(3)}, 6) AS size, CASE WHEN rn <= 5 THEN '★ ' || node_id ELSE node_id::VARCHAR END AS label, 'node ' || node_id || ' | rank ' || rn AS title FROM (SELECT g.node_id, rn, CASE WHEN max(score) OVER () - min(score) OVER () > 1e-12 THEN (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) ELSE 0.0 END x FROM ego300 g JOIN ranked r ON r.node_id = g.node_id AND r.method = 'DC')",
 }
 BODIES["all_metrics"] = BODIES["all_metrics"].format(ap=BODIES["average_precision"], cl=BODIES["classification"])

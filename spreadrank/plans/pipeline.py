@@ -20,6 +20,13 @@ def score_graph(edges: DataFrame, depth: int = 2, alpha: float = 0.6, top_k: int
     return adj, cut(influence.influence_components(adj, ga, depth))
 
 
+#: The tables of a study.
+TABLES = (
+    "stats", "influence", "weights", "scores", "all_scores", "metrics", "ranked_nodes", "report", "significance", "tau_vs_rate", "classification", "removal",
+    "ablation", "ablation_curves", "cascade", "error_bars", "tau_matrix", "box_stats", "scatter_fit", "quintiles", "histogram_score", "histogram_sir", "pair_table",
+)
+
+
 def study(edges: DataFrame, name: str, sample: int = 200, k: int = 10, truth_runs: int = 10, runs: int = 15, rates: tuple[float, ...] = tuple(i / 100 for i in range(1, 11))) -> dict[str, DataFrame]:
     """All result tables of a cleaned graph, lazily where they do not feed each other."""
     adj, parts = score_graph(edges)
@@ -35,13 +42,18 @@ def study(edges: DataFrame, name: str, sample: int = 200, k: int = 10, truth_run
     scored = cut(evaluate.on_sample(scores, probe))
     methods = list(evaluate.ORDER)
     adaptive = scores.where("method = 'influence_adaptive'")
+    seeds = evaluate.top_k(scores, k).select(F.col("method").alias("label"), "node_id")
+    final = spread.spread_curve(adj, seeds, runs=25).groupBy(F.col("label").alias("method")).agg(F.max_by("f", "t").alias("f_final"))
     return {
-        "stats": graph.graph_stats(edges), "weights": weights, "scores": report.wide_scores(scores, methods), "all_scores": report.all_scores(scores, methods, probe),
+        "stats": graph.graph_stats(edges), "influence": parts, "weights": weights, "scores": report.wide_scores(scores, methods), "all_scores": report.all_scores(scores, methods, probe),
         "metrics": experiments.metric_table(adj, scores, scored, k, runs=runs), "ranked_nodes": report.ranked_nodes(report.with_truth(scores, nodes, probe), ["SIR", *methods]),
+        "report": evaluate.comparison_report(scored, scores, final, k, 10), "ablation_curves": experiments.ablation_curves(adj, parts, k, runs=runs),
+        "quintiles": report.quintiles(adaptive), "histogram_score": report.histogram(adaptive, "score"), "histogram_sir": report.histogram(probe, "sir"),
+        "pair_table": report.pair_table(scores, methods, "influence_adaptive"),
         "significance": evaluate.wilcoxon(scored), "tau_vs_rate": evaluate.tau_vs_rate(adj, scores, evaluate.hash_sample(nodes, 150 if n > 500 else n), list(rates), runs=truth_runs),
         "classification": evaluate.all_metrics(scored, k), "removal": experiments.node_removal(edges, adaptive, k, runs=runs), "ablation": experiments.ablation(parts, probe, k),
         "cascade": experiments.cascading_removal(edges, scores.where("method in ('influence_adaptive', 'DC')")), "error_bars": experiments.repeated_spread(adj, scores, k),
-        "tau_matrix": evaluate.tau_matrix(scored), "box_stats": report.box_stats(scores), "scatter_fit": report.scatter_fit(scored),
+        "tau_matrix": evaluate.tau_matrix(scores), "box_stats": report.box_stats(scores), "scatter_fit": report.scatter_fit(scored),
     }
 
 

@@ -11,6 +11,7 @@ NAMES = [
     "edge_projection", "graph_stats", "connected_components", "clean_graph", "hop_layers_l2", "ego_subgraph_top5", "remove_top10", "node_features",
     "cosine_topk_embeddings", "path_disruption_l1", "influence_score", "betweenness", "closeness", "ranked_nodes_top20", "spread_metrics",
     "tau_vs_lambda", "wilcoxon_z", "comparison_report", "weight_learned", "node_removal", "ablation", "cascading_removal", "histogram", "network_nodes",
+    "connected_components_whole", "clean_graph_whole", "pair_table", "method_tau_matrix", "scatter_fit", "augmented_graph", "metric_table",
 ]
 
 
