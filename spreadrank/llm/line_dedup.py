@@ -1,4 +1,4 @@
-"""Fuzzy line dedup: MinHash over character shingles, with DataFrame functions only.
+"""Fuzzy line dedup: MinHash over character shingles, union-find over exact links.
 
 A line is a part of a text between newlines that holds a word. Its set is its
 distinct ``SHINGLE``-character shingles (the whole line if it is shorter). Two
@@ -6,23 +6,23 @@ lines link when the Jaccard similarity of their sets is at least 0.8. Linked
 lines form components by distributed union-find; of all lines of a component,
 exact copies included, only the first (smallest doc_id, then position) stays.
 
-Signatures are ``BANDS`` bands of two minima over all shingles of a line, hashed
-from a fixed-width encoding. They only propose pairs; whether two lines link is
-decided on whole sets:
+The style is free (NumPy over Arrow, joins): three forms with DataFrame functions
+only were measured and took three times the limit, see the README.
 
-1. Of the lines that share a band bucket with another line, and of no others,
-   each distinct line's set is made once: its exact size, and a map of ``WORDS``
-   * 64 bits of the hash classes that its shingles take.
-2. A class that only one of two lines takes stands for a shingle that only this
-   line has. That bounds the similarity from above, exactly, so a pair that fails
-   the bound is no link; it is a condition of the join that makes the pairs.
-3. Pairs that pass are tested on both sets. Each line of a bucket first meets the
-   bucket's smallest line. After union-find, lines of a bucket that still are in
-   different components meet: those outside the bucket's largest component meet
-   all, so one large family costs no pairs within itself.
+Signatures are ``BANDS`` bands of two minima over all shingles of a line. They
+only propose pairs; whether two lines link is decided on whole sets:
 
-No pair that shares a bucket and could join two components is left out. Lines
-are told apart by 128 bits. A hub that very many lines meet is dealt out by salt.
+1. Tasks send the band keys of their distinct lines in packed blocks by hash
+   range; lines that share a key with another line are kept, with their texts.
+2. For each of these the shingles that no other one has are counted. They cannot
+   be common to any pair, which bounds its similarity from above, exactly: many
+   lines can link with nothing, and a pair of the others must pass the bound to be made.
+3. In ``HUB_ROUNDS`` rounds the lines of a key meet one hub of that key, the one
+   with the least share of shingles of its own; what passes the exact test joins.
+4. Lines of a key that still are in different components and pass the bound meet.
+
+No pair that shares a key and could join two components is left out. Lines
+are told apart by 128 bits, shingles by 64 (those of ASCII letters only, exactly).
 
 Nulls: a null text has no lines and stays null; a null doc_id comes last in the
 order, and its lines lose to others. Empty tables give no rows. Rows that
@@ -33,120 +33,399 @@ earlier line. Other columns of the input are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import OrderedDict
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .components import components
 from .frames import cut, docs_only, parts, table
 
 SHINGLE, BANDS, ROWS = 9, 6, 2
 #: Lines link at 4/5 of Jaccard similarity.
 NUM, DEN = 4, 5
-#: 64-bit words of a line's map of hash classes.
-WORDS = 16
-#: Pairs with one line that meet in a task.
-SALTED = 2000
-_ALL = rf"(?s)(?=(.{{{SHINGLE}}}))"
+HUB_ROUNDS = 2
+#: Distinct lines, and tokens, that a task holds before it sends them.
+FLUSH_LINES, FLUSH_TOKENS = 200_000, 4_000_000
+#: Sets of lines sent to a task that it keeps while it tests pairs.
+KEPT_SETS = 4000
 _WORDED = r"[^\x20\x09-\x0D]"
-
-
-def _mask(i: int) -> int:
-    """A fixed odd pattern of 63 bits for permutation i."""
-    x = (i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
-    x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 % (1 << 64)
-    return (x ^ (x >> 32)) >> 1
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line and id (128 bits of the line) of each line with a word."""
-    line = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    line = line.where(F.col("line").rlike(_WORDED))
-    return line.withColumn("id", F.unhex(F.md5(F.col("line").cast("binary"))))
-
-
-def shingles(line: str = "line") -> Column:
-    """All shingles of a line, with repeats."""
-    return F.when(F.char_length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1)))
-
-
-def bands(lines: DataFrame) -> DataFrame:
-    """id and band keys of each distinct line, one row for each band."""
-    wide = lines.select("id", F.encode("line", "UTF-32").alias("u"), F.greatest(F.char_length("line") - SHINGLE, F.lit(0)).alias("last"))
-    at = wide.select("id", "u", F.explode(F.sequence(F.lit(0), "last")).alias("i"))
-    hashed = at.select("id", F.expr(f"xxhash64(substring(u, 4 * i + 1, {4 * SHINGLE}))").alias("h"))
-    minima = hashed.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(BANDS * ROWS)])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return minima.select("id", F.explode(keys).alias("key"))
-
-
-def _maps(texts: DataFrame) -> DataFrame:
-    """id, n (distinct shingles) and the words w0, w1, ... of the class map of each line."""
-    sets = texts.select("id", F.array_distinct(shingles()).alias("s"))
-    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("s")).select("id", "n", F.xxhash64("s").alias("h"))
-    word = F.shiftright("h", 6).bitwiseAND(WORDS - 1)
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    return each.groupBy("id", "n").agg(*[F.bit_or(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)])
-
-
-def _may(x: str, y: str) -> Column:
-    """Whether two lines can link, by their sizes and class maps; always true of those that do."""
-    alone = lambda a, b: " + ".join(f"bit_count({a}.w{k} & ~{b}.w{k})" for k in range(WORDS))
-    most = f"least({x}.n - ({alone(x, y)}), {y}.n - ({alone(y, x)}))"
-    return F.expr(f"({DEN} + {NUM}) * {most} >= {NUM} * ({x}.n + {y}.n)")
-
-
-_MAP = ["n", *[f"w{k}" for k in range(WORDS)]]
-
-
-def _with_line(pairs: DataFrame, texts: DataFrame, side: str, to: str) -> DataFrame:
-    """The pairs with the text of one of their lines. A line of many pairs is dealt out by salt."""
-    n, other = parts(pairs.sparkSession), "b" if side == "a" else "a"
-    many = pairs.groupBy(F.col(side).alias("id")).agg(F.ceil(F.count(F.lit(1)) / SALTED).cast("int").alias("salts"))
-    dealt = texts.join(many, "id").select(F.col("id").alias(side), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("line").alias(to))
-    salted = pairs.join(many.withColumnRenamed("id", side), side).withColumn("salt", F.pmod(F.xxhash64(other), "salts").cast("int")).drop("salts")
-    # a fixed number of tasks: few bytes, but much work for each of them
-    return salted.repartition(n, side, "salt").join(dealt.repartition(n, side, "salt"), [side, "salt"]).drop("salt")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b, n: both sizes together) of ids whose lines are similar enough."""
-    both = _with_line(_with_line(pairs, texts, "a", "x"), texts, "b", "y")
-    common = F.size(F.array_intersect(shingles("x"), shingles("y")))
-    return both.where((DEN + NUM) * common >= NUM * F.col("n")).select("a", "b")
-
-
-def line_classes(lines: DataFrame) -> DataFrame:
+#: A fixed odd pattern for each minimum.
+_MASKS = K.mix(np.arange(1, BANDS * ROWS + 1, dtype=K.U64) * K.U64(K.SEEDS[0]))
+_WHOLE = K.SEEDS[1] ^ 0x5555
+
+
+# -- lines and their shingles ----------------------------------------------------------------
+
+
+class Lines:
+    """The lines with a word of a chunk: document, position, byte span and 128 bits of each."""
+
+    def __init__(self, col: pa.Array):
+        self.data, o = K.text_bytes(col)
+        breaks = self.data == 10
+        begin = np.sort(np.concatenate([o[:-1], np.flatnonzero(breaks) + 1]))
+        end = np.sort(np.concatenate([np.flatnonzero(breaks), o[1:]]))
+        count = K.per_doc(breaks, o) + 1
+        doc = np.repeat(np.arange(len(count)), count)
+        pos = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+        worded = np.concatenate([[0], np.cumsum(K.SPACED[self.data])])
+        live = worded[end] > worded[begin]
+        self.doc, self.pos, self.begin, self.end = doc[live], pos[live], begin[live], end[live]
+        self.ids = np.stack([K.span_hashes(self.data, self.begin, self.end, s) for s in K.SEEDS], axis=1)
+
+    def distinct(self) -> np.ndarray:
+        """One line of each kind, ordered by id."""
+        return _first(self.ids)
+
+    def texts(self, which: np.ndarray) -> pa.Array:
+        raw = self.data.tobytes()
+        return pa.array([raw[s:e] for s, e in zip(self.begin[which].tolist(), self.end[which].tolist(), strict=True)], pa.binary()).cast(pa.string(), safe=False)
+
+
+def _first(ids: np.ndarray) -> np.ndarray:
+    order = np.lexsort((ids[:, 1], ids[:, 0]))
+    s = ids[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]).any(axis=1)
+    return order[new]
+
+
+def _names(ids: np.ndarray) -> pa.Array:
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(ids), [None, pa.py_buffer(K.pack(ids))]).cast(pa.binary())
+
+
+def _ids(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), K.U64).reshape(-1, 2)
+
+
+def _characters(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, and the spans among them; malformed bytes count as U+FFFD."""
+    if not len(data) or data.max() < 128:
+        return data, begin, end
+    at = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    try:
+        points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        return points, at[begin], at[end]
+    except UnicodeDecodeError:
+        each = [data[s:e].tobytes().decode(errors="replace").encode("utf-32-le") for s, e in zip(begin, end, strict=True)]
+        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in each])]).astype(np.int64)
+        return np.frombuffer(b"".join(each), "<u4"), at[:-1], at[1:]
+
+
+def shingles(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all lines, with repeats, and where each line's begin."""
+    points, s, e = _characters(data, begin, end)
+    n = len(points)
+    c = np.concatenate([points, np.zeros(SHINGLE, points.dtype)]).astype(K.U64)
+    # nine characters of seven bits fill one word, so equal hashes are equal shingles
+    two = c[:-1] | c[1:] << K.U64(7)
+    four = two[:-2] | two[2:] << K.U64(14)
+    h = K.mix((four[: n + 1] | four[4 : n + 5] << K.U64(28) | c[8 : n + 9] << K.U64(56))[:n])
+    wide = points >= 128
+    if wide.any():
+        seen = np.concatenate([[0], np.cumsum(np.concatenate([wide, np.zeros(SHINGLE - 1, bool)]))])
+        w = np.flatnonzero(seen[SHINGLE:] > seen[:n])
+        three = [c[w + k] | c[w + k + 1] << K.U64(21) | c[w + k + 2] << K.U64(42) for k in (0, 3, 6)]
+        h[w] = K._joined(K._joined(K.mix(three[0] ^ K.U64(_WHOLE)), three[1]), three[2])
+    count = np.maximum(e - s - SHINGLE + 1, 1)
+    at = np.concatenate([[0], np.cumsum(count)])
+    out = h[np.repeat(s - at[:-1], count) + np.arange(at[-1])] if n else np.zeros(0, K.U64)
+    short = np.flatnonzero(e - s < SHINGLE)
+    out[at[short]] = K.span_hashes(data, begin[short], end[short], _WHOLE)
+    return out, at
+
+
+def sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each line of a column, in order, and where each line's begin."""
+    data, o = K.text_bytes(col)
+    h, at = shingles(data, o[:-1], o[1:])
+    line = np.repeat(np.arange(len(o) - 1), np.diff(at))
+    order = np.lexsort((h, line))
+    h, line = h[order], line[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    return h[new], np.concatenate([[0], np.cumsum(np.bincount(line[new], minlength=len(o) - 1))])
+
+
+def signatures(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The band keys of each line, one column for each band."""
+    if not len(begin):
+        return np.zeros((0, BANDS), K.U64)
+    h, at = shingles(data, begin, end)
+    low = [np.minimum.reduceat(h ^ m, at[:-1]) for m in _MASKS]
+    return np.stack([K._joined(K._joined(K.mix(low[ROWS * b]), low[ROWS * b + 1]), K.U64(b)) for b in range(BANDS)], axis=1)
+
+
+def _place_rows(batches):
+    for b in K.chunks(batches):
+        x = Lines(K.column(b, "text"))
+        yield pa.RecordBatch.from_pydict({"doc_id": K.column(b, "doc_id").take(pa.array(x.doc)), "pos": pa.array(x.pos.astype(np.int32)), "id": _names(x.ids)})
+
+
+def _text_rows(batches):
+    for b in K.chunks(batches):
+        x = Lines(K.column(b, "text"))
+        own = x.distinct()
+        yield pa.RecordBatch.from_pydict({"id": _names(x.ids[own]), "line": x.texts(own)})
+
+
+# -- 1: lines that share a band key ----------------------------------------------------------
+
+
+def _ranges(values: np.ndarray, n_parts: int):
+    """(range, which of the values) for each hash range that has some."""
+    part = (K.mix(values) % K.U64(n_parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
+    for k in range(n_parts):
+        if cuts[k] < cuts[k + 1]:
+            yield k, order[cuts[k] : cuts[k + 1]]
+
+
+def _key_blocks(n_parts: int):
+    def sent(ids, keys):
+        ids, keys = np.concatenate(ids), np.concatenate(keys)
+        own = _first(ids)
+        flat, of = keys[own].ravel(), np.repeat(own, BANDS)
+        for k, some in _ranges(flat, n_parts):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "keys": K.binary([K.pack(flat[some])]), "ids": K.binary([K.pack(ids[of[some]])])})
+
+    def run(batches):
+        ids, keys, held = [], [], 0
+        for b in K.chunks(batches):
+            x = Lines(K.column(b, "text"))
+            own = x.distinct()
+            ids.append(x.ids[own])
+            keys.append(signatures(x.data, x.begin[own], x.end[own]))
+            held += len(own)
+            if held >= FLUSH_LINES:
+                yield from sent(ids, keys)
+                ids, keys, held = [], [], 0
+        if held:
+            yield from sent(ids, keys)
+
+    return run
+
+
+def _shared(batches):
+    """Of a hash range: the keys that several lines have, and these lines."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    if not rows:
+        return
+    keys, ids = np.frombuffer(b"".join([r["keys"] for r in rows]), K.U64), _ids([r["ids"] for r in rows])
+    del rows
+    order = np.lexsort((ids[:, 1], ids[:, 0], keys))
+    keys, ids = keys[order], ids[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
+    keys, ids = keys[new], ids[new]
+    same = keys[1:] == keys[:-1]
+    several = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    keys, ids = keys[several], ids[several]
+    for i in range(0, len(keys), 50_000):
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys[i : i + 50_000].view(np.int64)), "id": _names(ids[i : i + 50_000])})
+
+
+# -- 2: shingles that only one line has ------------------------------------------------------
+
+_NODE = "part int, nth int, id binary, n int, line string"
+
+
+def _node_rows(batches):
+    """Each line of a part once; the part comes ordered by id."""
+    last, nth = None, 0
+    for b in K.chunks(batches, "line"):
+        ids = _ids(K.column(b, "id").to_pylist())
+        new = np.ones(len(ids), bool)
+        new[1:] = (ids[1:] != ids[:-1]).any(axis=1)
+        new[0] = last is None or bool((ids[0] != last).any())
+        last = ids[-1]
+        b = b.filter(pa.array(new))
+        if b.num_rows:
+            _, at = sets(K.column(b, "line"))
+            order = pa.array(np.arange(nth, nth + b.num_rows, dtype=np.int32))
+            nth += b.num_rows
+            yield pa.RecordBatch.from_pydict({"part": K.column(b, "part"), "nth": order, "id": K.column(b, "id"), "n": pa.array(np.diff(at).astype(np.int32)), "line": K.column(b, "line")})
+
+
+_TOKENS = "part int, source int, steps binary, tokens binary"
+_ALONE = "part int, nths binary, counts binary"
+
+
+def _token_blocks(n_parts: int):
+    def sent(source, tokens, nths):
+        tokens, nths = np.concatenate(tokens), np.concatenate(nths)
+        for k, some in _ranges(tokens, n_parts):
+            steps = np.diff(nths[some], prepend=0).astype(np.uint32)
+            low = (tokens[some] & K.U64(0xFFFFFFFF)).astype(np.uint32)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "source": pa.array([source], pa.int32()), "steps": K.binary([K.pack(steps)]), "tokens": K.binary([K.pack(low)])})
+
+    def run(batches):
+        source, tokens, nths, held = None, [], [], 0
+        for b in K.chunks(batches, "line"):
+            source = K.column(b, "part")[0].as_py()
+            h, at = sets(K.column(b, "line"))
+            tokens.append(h)
+            nths.append(np.repeat(K.column(b, "nth").to_numpy().astype(np.int64), np.diff(at)))
+            held += len(h)
+            if held >= FLUSH_TOKENS:
+                yield from sent(source, tokens, nths)
+                tokens, nths, held = [], [], 0
+        if held:
+            yield from sent(source, tokens, nths)
+
+    return run
+
+
+def _alone(batches):
+    """Of a hash range: how many of its shingles only this line has, by line. Shingles that
+    32 bits confuse count as those of several lines, so the bound stays one."""
+    rows = [r for b in batches for r in b.to_pylist()]
+    if not rows:
+        return
+    size = [len(r["tokens"]) // 4 for r in rows]
+    tokens = np.frombuffer(b"".join([r.pop("tokens") for r in rows]), np.uint32)
+    order = np.argsort(tokens, kind="stable")
+    s = tokens[order]
+    same = s[1:] == s[:-1]
+    own = np.zeros(len(s), bool)
+    own[order] = ~(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+    at = 0
+    for r, k in zip(rows, size, strict=True):
+        nths, counts = np.unique(np.cumsum(np.frombuffer(r["steps"], np.uint32).astype(np.int64))[own[at : at + k]], return_counts=True)
+        at += k
+        if len(nths):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([r["source"]], pa.int32()), "nths": K.binary([K.pack(nths.astype(np.uint32))]), "counts": K.binary([K.pack(counts.astype(np.uint32))])})
+
+
+def _able(batches):
+    """The lines of a part that can link with any, with what others can have of their shingles (left)."""
+    kept, told = [], []
+    for b in batches:
+        nodes = b.filter(K.column(b, "id").is_valid())
+        if nodes.num_rows:
+            kept.append(nodes.select(["part", "nth", "id", "n"]))
+        told += b.filter(K.column(b, "id").is_null()).select(["nths", "counts"]).to_pylist()
+    if not kept:
+        return
+    t = pa.Table.from_batches(kept)
+    nth = t["nth"].to_numpy()
+    own = np.zeros(int(nth.max()) + 1, np.int64)
+    for r in told:
+        own[np.frombuffer(r["nths"], np.uint32)] += np.frombuffer(r["counts"], np.uint32)
+    n = t["n"].to_numpy().astype(np.int64)
+    t = t.select(["part", "id", "n"]).append_column("left", pa.array((n - own[nth]).astype(np.int32)))
+    yield from t.filter(pa.array(DEN * (n - own[nth]) >= NUM * n)).to_batches(10_000)
+
+
+# -- 3 and 4: pairs --------------------------------------------------------------------------
+
+_PAIR = ["part", "a", "b_part", "b"]
+
+
+def _set(line: str) -> np.ndarray:
+    return sets(pa.array([line], pa.string()))[0]
+
+
+def _verify(batches):
+    """Pairs of a part (a in the part, b sent to it) that are similar enough."""
+    here, sent, pairs = {}, {}, []
+    K.release()
+    for b in batches:
+        for kind, id_, other, line in zip(*(K.column(b, c).to_pylist() for c in ("kind", "id", "b", "line")), strict=True):
+            if kind == 2:
+                pairs.append((id_, other))
+            else:
+                (here if kind == 0 else sent)[id_] = line
+    pairs.sort()
+    found, last, x, kept = [], None, None, OrderedDict()
+    for a, b in pairs:
+        if a != last:
+            last, x = a, _set(here[a])
+        y = kept.pop(b, None)
+        if y is None:
+            y = _set(sent[b])
+        kept[b] = y
+        if len(kept) > KEPT_SETS:
+            kept.popitem(last=False)
+        low, high = (x, y) if len(x) < len(y) else (y, x)
+        both = int((high[np.minimum(np.searchsorted(high, low), len(high) - 1)] == low).sum())
+        if (DEN + NUM) * both >= NUM * (len(x) + len(y)):
+            found.append((a, b))
+    yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+
+def _links(nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """Links among the candidate pairs (part and id of a, part and id of b)."""
+    text = nodes.select("part", "id", "line")
+    none = F.lit(None).cast("binary").alias("b")
+    own = text.join(pairs.select("part", F.col("a").alias("id")).distinct(), ["part", "id"], "left_semi")
+    own = own.select("part", F.lit(0).alias("kind"), "id", none, "line")
+    asked = pairs.select("part", "b_part", F.col("b").alias("id")).distinct().join(text.withColumnRenamed("part", "b_part"), ["b_part", "id"])
+    asked = asked.select("part", F.lit(1).alias("kind"), "id", none, "line")
+    pairs = pairs.select("part", F.lit(2).alias("kind"), F.col("a").alias("id"), "b", F.lit(None).cast("string").alias("line"))
+    return own.union(asked).union(pairs).repartitionById(n, F.col("part")).mapInArrow(_verify, "a binary, b binary")
+
+
+def _may(x: str, y: str):
+    """Whether two lines can link, by their sizes and what others can have of them."""
+    return F.expr(f"{DEN + NUM} * least({x}left, {y}left) >= {NUM} * ({x}n + {y}n)")
+
+
+def _open(posts: DataFrame, joined: DataFrame) -> DataFrame:
+    """Posts with roots, of the keys whose lines are in several components."""
+    rooted = cut(posts.join(joined, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    return cut(rooted.join(several, "key", "left_semi"))
+
+
+def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    again = tested.select(*_PAIR).union(tested.select("b_part", "b", "part", "a"))
+    return pairs.distinct().join(again, _PAIR, "left_anti").select(*_PAIR)
+
+
+def line_classes(docs: DataFrame) -> DataFrame:
     """id and root of every line that links with a different line."""
-    posts = bands(lines)
-    shared = posts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    posts = cut(posts.join(shared, "key"))
-    texts = lines.select("id", "line").join(posts.select("id").distinct(), "id", "left_semi")
-    texts = cut(texts.groupBy("id").agg(F.first("line").alias("line")).repartition(parts(lines.sparkSession), "id"))
-    maps = cut(_maps(texts))
-    hubs = posts.groupBy("key").agg(F.min("id").alias("hub"))
-    met = posts.join(hubs, "key").where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    of = lambda side, to: maps.select(F.col("id").alias(side), F.struct(*_MAP).alias(to))
-    met = met.join(of("a", "x"), "a").join(of("b", "y"), "b").where(_may("x", "y"))
-    first = cut(met.select("a", "b", F.expr("x.n + y.n").alias("n")))
-    links = cut(_verified(first, texts))
-    rooted = posts.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    sizes = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    open_ = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("c", "root"))["root"].alias("main")).where("roots > 1").drop("roots")
-    rooted = cut(rooted.join(open_, "key").withColumn("main", F.col("root") == F.col("main")).join(maps, "id"))
-    x, y = rooted.where("not main").alias("x"), rooted.alias("y")
-    once = F.expr("x.key = y.key and x.root <> y.root and (y.main or x.id > y.id)")
-    rest = x.join(y, once & _may("x", "y")).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.expr("x.n + y.n").alias("n"))
-    rest = cut(rest.distinct().join(first, ["a", "b"], "left_anti"))
-    return components(links.union(_verified(rest, texts))).select(F.col("node").alias("id"), "root")
+    spark, n = docs.sparkSession, parts(docs.sparkSession)
+    blocks = docs.mapInArrow(_key_blocks(n), "part int, keys binary, ids binary")
+    posts = cut(blocks.repartitionById(n, F.col("part")).mapInArrow(_shared, "key long, id binary"))
+    texts = docs.mapInArrow(_text_rows, "id binary, line string").join(posts.select("id").distinct(), "id", "left_semi")
+    texts = texts.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    # partition i of the checkpoint is part i
+    nodes = cut(texts.repartitionById(n, F.col("part")).sortWithinPartitions("id").mapInArrow(_node_rows, _NODE))
+    told = nodes.mapInArrow(_token_blocks(n), _TOKENS).repartitionById(n, F.col("part")).mapInArrow(_alone, _ALONE)
+    both = nodes.drop("line").unionByName(told, allowMissingColumns=True)
+    able = cut(both.repartitionById(n, F.col("part")).mapInArrow(_able, "part int, id binary, n int, left int"))
+    posts = cut(posts.join(able, "id"))
+
+    joined, links = spark.createDataFrame([], "id binary, root binary"), spark.createDataFrame([], "a binary, b binary")
+    tested = spark.createDataFrame([], "part int, a binary, b_part int, b binary")
+    for _ in range(HUB_ROUNDS):
+        open_ = _open(posts, joined)
+        used = tested.select(F.col("b").alias("id")).distinct()
+        best = F.min(F.struct(F.expr("-round(left / n, 6)").alias("share"), "id", "part", "n", "left", "root")).alias("h")
+        hubs = open_.join(used, "id", "left_anti").groupBy("key").agg(best)
+        met = open_.join(hubs, "key").where("root <> h.root").where(_may("", "h."))
+        pairs = cut(_untested(met.select("part", F.col("id").alias("a"), F.col("h.part").alias("b_part"), F.col("h.id").alias("b")), tested))
+        links, tested = cut(links.union(_links(nodes, pairs, n))), tested.union(pairs)
+        joined = cut(components(links).withColumnRenamed("node", "id"))
+    open_ = _open(posts, joined)
+    x, y = open_.alias("x"), open_.alias("y")
+    rest = x.join(y, F.expr("x.key = y.key and x.id < y.id and x.root <> y.root") & _may("x.", "y."))
+    rest = cut(_untested(rest.select(F.col("x.part").alias("part"), F.col("x.id").alias("a"), F.col("y.part").alias("b_part"), F.col("y.id").alias("b")), tested))
+    return components(links.union(_links(nodes, rest, n))).select(F.col("node").alias("id"), "root")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (with a word), n_removed and the kept text of each document."""
     docs = docs_only(docs)
-    lines = lines_of(docs)
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "pos")
-    places = lines.select("id", place.alias("place"))
-    classes = cut(line_classes(lines))
+    places = docs.mapInArrow(_place_rows, "doc_id long, pos int, id binary").select("id", place.alias("place"))
+    classes = cut(line_classes(docs))
     # each exact line's first place and number of places, then each class's first place
     first = places.groupBy("id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).join(classes, "id", "left")
     best = first.where("root is not null").groupBy("root").agg(F.min("first").alias("best"))
