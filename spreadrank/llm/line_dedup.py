@@ -9,7 +9,7 @@ exact copies included, only the first (smallest doc_id, then position) stays.
 The style is free (NumPy over Arrow, joins): three forms with DataFrame functions
 only were measured and took three times the limit, see the README.
 
-Signatures are ``BANDS`` bands of two minima over all shingles of a line. They
+Signatures are ``BANDS`` bands of ``ROWS`` minima over all shingles of a line. They
 only propose pairs; whether two lines link is decided on whole sets:
 
 1. Tasks send the band keys of their distinct lines in packed blocks by hash
@@ -33,8 +33,6 @@ earlier line. Other columns of the input are not read.
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,14 +42,16 @@ from . import kernels as K
 from .components import components
 from .frames import cut, docs_only, parts, table
 
-SHINGLE, BANDS, ROWS = 9, 6, 2
+SHINGLE, BANDS, ROWS = 9, 9, 3
 #: Lines link at 4/5 of Jaccard similarity.
 NUM, DEN = 4, 5
 HUB_ROUNDS = 2
 #: Distinct lines, and tokens, that a task holds before it sends them.
 FLUSH_LINES, FLUSH_TOKENS = 200_000, 4_000_000
-#: Sets of lines sent to a task that it keeps while it tests pairs.
-KEPT_SETS = 4000
+#: Bytes of lines whose shingles are hashed at once, so that arrays stay in a processor's cache.
+SLICE = 1 << 17
+#: Pairs whose sets are made at once.
+TESTED = 2000
 _WORDED = r"[^\x20\x09-\x0D]"
 #: A fixed odd pattern for each minimum.
 _MASKS = K.mix(np.arange(1, BANDS * ROWS + 1, dtype=K.U64) * K.U64(K.SEEDS[0]))
@@ -78,8 +78,8 @@ class Lines:
         self.ids = np.stack([K.span_hashes(self.data, self.begin, self.end, s) for s in K.SEEDS], axis=1)
 
     def distinct(self) -> np.ndarray:
-        """One line of each kind, ordered by id."""
-        return _first(self.ids)
+        """One line of each kind."""
+        return np.sort(_first(self.ids))
 
     def texts(self, which: np.ndarray) -> pa.Array:
         raw = self.data.tobytes()
@@ -117,7 +117,7 @@ def _characters(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[n
 
 
 def shingles(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the shingles of all lines, with repeats, and where each line's begin."""
+    """Hashes of the shingles of all lines (in order, none empty), with repeats, and where each line's begin."""
     points, s, e = _characters(data, begin, end)
     n = len(points)
     c = np.concatenate([points, np.zeros(SHINGLE, points.dtype)]).astype(K.U64)
@@ -133,31 +133,52 @@ def shingles(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.n
         h[w] = K._joined(K._joined(K.mix(three[0] ^ K.U64(_WHOLE)), three[1]), three[2])
     count = np.maximum(e - s - SHINGLE + 1, 1)
     at = np.concatenate([[0], np.cumsum(count)])
-    out = h[np.repeat(s - at[:-1], count) + np.arange(at[-1])] if n else np.zeros(0, K.U64)
+    step = np.zeros(n + 1, np.int8)
+    step[s] += 1
+    step[s + count] -= 1
+    out = h[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
     short = np.flatnonzero(e - s < SHINGLE)
     out[at[short]] = K.span_hashes(data, begin[short], end[short], _WHOLE)
     return out, at
 
 
+def _slices(begin: np.ndarray, end: np.ndarray):
+    """Ranges of lines of at most ``SLICE`` bytes, or of one line."""
+    at = 0
+    while at < len(begin):
+        to = max(int(np.searchsorted(end, begin[at] + SLICE, side="right")), at + 1)
+        yield at, to
+        at = to
+
+
 def sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each line of a column, in order, and where each line's begin."""
     data, o = K.text_bytes(col)
-    h, at = shingles(data, o[:-1], o[1:])
-    line = np.repeat(np.arange(len(o) - 1), np.diff(at))
-    order = np.lexsort((h, line))
-    h, line = h[order], line[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    return h[new], np.concatenate([[0], np.cumsum(np.bincount(line[new], minlength=len(o) - 1))])
+    out, sizes = [np.zeros(0, K.U64)], [np.zeros(1, np.int64)]
+    for i, j in _slices(o[:-1], o[1:]):
+        h, at = shingles(data[o[i] : o[j]], o[i:j] - o[i], o[i + 1 : j + 1] - o[i])
+        for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            h[x:y].sort()
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        new[at[:-1]] = True
+        out.append(h[new])
+        sizes.append(K.per_doc(new, at))
+    return np.concatenate(out), np.cumsum(np.concatenate(sizes))
 
 
 def signatures(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """The band keys of each line, one column for each band."""
-    if not len(begin):
-        return np.zeros((0, BANDS), K.U64)
-    h, at = shingles(data, begin, end)
-    low = [np.minimum.reduceat(h ^ m, at[:-1]) for m in _MASKS]
-    return np.stack([K._joined(K._joined(K.mix(low[ROWS * b]), low[ROWS * b + 1]), K.U64(b)) for b in range(BANDS)], axis=1)
+    out = [np.zeros((0, BANDS), K.U64)]
+    for i, j in _slices(begin, end):
+        a, z = begin[i], end[j - 1]
+        h, at = shingles(data[a:z], begin[i:j] - a, end[i:j] - a)
+        low = [np.minimum.reduceat(h ^ m, at[:-1]) for m in _MASKS]
+        keys = [K.mix(low[ROWS * b] + K.U64(b)) for b in range(BANDS)]
+        for r in range(1, ROWS):
+            keys = [K._joined(x, low[ROWS * b + r]) for b, x in enumerate(keys)]
+        out.append(np.stack(keys, axis=1))
+    return np.concatenate(out)
 
 
 def _place_rows(batches):
@@ -327,10 +348,6 @@ def _able(batches):
 _PAIR = ["part", "a", "b_part", "b"]
 
 
-def _set(line: str) -> np.ndarray:
-    return sets(pa.array([line], pa.string()))[0]
-
-
 def _verify(batches):
     """Pairs of a part (a in the part, b sent to it) that are similar enough."""
     here, sent, pairs = {}, {}, []
@@ -342,21 +359,18 @@ def _verify(batches):
             else:
                 (here if kind == 0 else sent)[id_] = line
     pairs.sort()
-    found, last, x, kept = [], None, None, OrderedDict()
-    for a, b in pairs:
-        if a != last:
-            last, x = a, _set(here[a])
-        y = kept.pop(b, None)
-        if y is None:
-            y = _set(sent[b])
-        kept[b] = y
-        if len(kept) > KEPT_SETS:
-            kept.popitem(last=False)
-        low, high = (x, y) if len(x) < len(y) else (y, x)
-        both = int((high[np.minimum(np.searchsorted(high, low), len(high) - 1)] == low).sum())
-        if (DEN + NUM) * both >= NUM * (len(x) + len(y)):
-            found.append((a, b))
-    yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+    for i in range(0, len(pairs), TESTED):
+        some = pairs[i : i + TESTED]
+        lines = {a: here[a] for a, _ in some} | {b: sent[b] for _, b in some}
+        h, at = sets(pa.array(lines.values(), pa.large_string()))
+        of = {id_: h[x:y] for id_, x, y in zip(lines, at[:-1].tolist(), at[1:].tolist(), strict=True)}
+        found = []
+        for a, b in some:
+            low, high = (of[a], of[b]) if len(of[a]) < len(of[b]) else (of[b], of[a])
+            both = np.count_nonzero(high[np.minimum(high.searchsorted(low), len(high) - 1)] == low)
+            if (DEN + NUM) * both >= NUM * (len(low) + len(high)):
+                found.append((a, b))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
 
 
 def _links(nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
