@@ -17,12 +17,15 @@ only propose pairs; whether two lines link is decided on whole sets:
 2. For each of these the shingles that no other one has are counted. They cannot
    be common to any pair, which bounds its similarity from above, exactly: many
    lines can link with nothing, and a pair of the others must pass the bound to be made.
-3. In ``HUB_ROUNDS`` rounds the lines of a key meet one hub of that key, the one
-   with the least share of shingles of its own; what passes the exact test joins.
-4. Lines of a key that still are in different components and pass the bound meet.
+3. Each has a sketch, one bit of each of ``BITS`` more minima; of two lines whose
+   sketches differ in over ``FAR`` bits no pair is made.
+4. In ``HUB_ROUNDS`` rounds (one) the lines of a key meet ``HUBS`` hubs of that key, those
+   with the least share of shingles of their own; what passes the exact test joins.
+5. Lines of a key that still are in different components and pass both filters meet;
+   the line of the smaller component travels.
 
-No pair that shares a key and could join two components is left out. Lines
-are told apart by 128 bits, shingles by 64 (those of ASCII letters only, exactly).
+No pair that shares a key, passes the sketches and could join two components is left
+out. Lines are told apart by 128 bits, shingles by 64 (those of ASCII letters only, exactly).
 
 Nulls: a null text has no lines and stays null; a null doc_id comes last in the
 order, and its lines lose to others. Empty tables give no rows. Rows that
@@ -35,7 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -45,7 +48,9 @@ from .frames import cut, docs_only, parts, table
 SHINGLE, BANDS, ROWS = 9, 9, 3
 #: Lines link at 4/5 of Jaccard similarity.
 NUM, DEN = 4, 5
-HUB_ROUNDS = 2
+HUB_ROUNDS, HUBS = 1, 8
+#: Bits of a line's sketch, and how many may differ: at similarity 0.8 some 26 do, and more than 46 in one pair of 40,000.
+BITS, FAR = 256, 46
 #: Distinct lines, and tokens, that a task holds before it sends them.
 FLUSH_LINES, FLUSH_TOKENS = 200_000, 4_000_000
 #: Bytes of lines whose shingles are hashed at once, so that arrays stay in a processor's cache.
@@ -142,11 +147,11 @@ def shingles(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.n
     return out, at
 
 
-def _slices(begin: np.ndarray, end: np.ndarray):
-    """Ranges of lines of at most ``SLICE`` bytes, or of one line."""
+def _slices(begin: np.ndarray, end: np.ndarray, most: int = SLICE):
+    """Ranges of lines of at most ``most`` bytes (or shingles), or of one line."""
     at = 0
     while at < len(begin):
-        to = max(int(np.searchsorted(end, begin[at] + SLICE, side="right")), at + 1)
+        to = max(int(np.searchsorted(end, begin[at] + most, side="right")), at + 1)
         yield at, to
         at = to
 
@@ -253,7 +258,20 @@ def _shared(batches):
 
 # -- 2: shingles that only one line has ------------------------------------------------------
 
-_NODE = "part int, nth int, id binary, n int, line string"
+_SKETCH = [f"s{k}" for k in range(BITS // 64)]
+_NODE = "part int, nth int, id binary, n int, " + ", ".join(f"{s} long" for s in _SKETCH) + ", line string"
+#: Odd factors of the sketch's minima.
+_FACTORS = (K.mix(np.arange(1, BITS + 1, dtype=K.U64) ^ K.U64(K.SEEDS[1])) >> K.U64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One bit of each of ``BITS`` minima of every line, from its shingles; a row of 64-bit words a line."""
+    out, low = [np.zeros((0, BITS // 64), K.U64)], (h >> K.U64(32)).astype(np.uint32)
+    for i, j in _slices(at[:-1], at[1:], 1 << 15):
+        x, begin = low[at[i] : at[j]], at[i:j] - at[i]
+        minima = np.stack([np.minimum.reduceat(x * m, begin) for m in _FACTORS], axis=1)
+        out.append(np.packbits((minima * np.uint32(0x9E3779B1)) >> np.uint32(31) != 0, axis=1).view(K.U64))
+    return np.concatenate(out)
 
 
 def _node_rows(batches):
@@ -267,14 +285,17 @@ def _node_rows(batches):
         last = ids[-1]
         b = b.filter(pa.array(new))
         if b.num_rows:
-            _, at = sets(K.column(b, "line"))
+            h, at = sets(K.column(b, "line"))
+            bits = {s: pa.array(x.view(np.int64)) for s, x in zip(_SKETCH, np.ascontiguousarray(sketches(h, at).T), strict=True)}
             order = pa.array(np.arange(nth, nth + b.num_rows, dtype=np.int32))
             nth += b.num_rows
-            yield pa.RecordBatch.from_pydict({"part": K.column(b, "part"), "nth": order, "id": K.column(b, "id"), "n": pa.array(np.diff(at).astype(np.int32)), "line": K.column(b, "line")})
+            size = pa.array(np.diff(at).astype(np.int32))
+            yield pa.RecordBatch.from_pydict({"part": K.column(b, "part"), "nth": order, "id": K.column(b, "id"), "n": size} | bits | {"line": K.column(b, "line")})
 
 
 _TOKENS = "part int, source int, steps binary, tokens binary"
 _ALONE = "part int, nths binary, counts binary"
+_ABLE = "part int, id binary, n int, " + ", ".join(f"{s} long" for s in _SKETCH) + ", left int"
 
 
 def _token_blocks(n_parts: int):
@@ -329,7 +350,7 @@ def _able(batches):
     for b in batches:
         nodes = b.filter(K.column(b, "id").is_valid())
         if nodes.num_rows:
-            kept.append(nodes.select(["part", "nth", "id", "n"]))
+            kept.append(nodes.select(["part", "nth", "id", "n", *_SKETCH]))
         told += b.filter(K.column(b, "id").is_null()).select(["nths", "counts"]).to_pylist()
     if not kept:
         return
@@ -339,7 +360,7 @@ def _able(batches):
     for r in told:
         own[np.frombuffer(r["nths"], np.uint32)] += np.frombuffer(r["counts"], np.uint32)
     n = t["n"].to_numpy().astype(np.int64)
-    t = t.select(["part", "id", "n"]).append_column("left", pa.array((n - own[nth]).astype(np.int32)))
+    t = t.select(["part", "id", "n", *_SKETCH]).append_column("left", pa.array((n - own[nth]).astype(np.int32)))
     yield from t.filter(pa.array(DEN * (n - own[nth]) >= NUM * n)).to_batches(10_000)
 
 
@@ -386,8 +407,9 @@ def _links(nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
 
 
 def _may(x: str, y: str):
-    """Whether two lines can link, by their sizes and what others can have of them."""
-    return F.expr(f"{DEN + NUM} * least({x}left, {y}left) >= {NUM} * ({x}n + {y}n)")
+    """Whether two lines can link, by their sizes, what others can have of them, and their sketches."""
+    apart = " + ".join(f"bit_count({x}{s} ^ {y}{s})" for s in _SKETCH)
+    return F.expr(f"{DEN + NUM} * least({x}left, {y}left) >= {NUM} * ({x}n + {y}n) and {apart} <= {FAR}")
 
 
 def _open(posts: DataFrame, joined: DataFrame) -> DataFrame:
@@ -413,7 +435,7 @@ def line_classes(docs: DataFrame) -> DataFrame:
     nodes = cut(texts.repartitionById(n, F.col("part")).sortWithinPartitions("id").mapInArrow(_node_rows, _NODE))
     told = nodes.mapInArrow(_token_blocks(n), _TOKENS).repartitionById(n, F.col("part")).mapInArrow(_alone, _ALONE)
     both = nodes.drop("line").unionByName(told, allowMissingColumns=True)
-    able = cut(both.repartitionById(n, F.col("part")).mapInArrow(_able, "part int, id binary, n int, left int"))
+    able = cut(both.repartitionById(n, F.col("part")).mapInArrow(_able, _ABLE))
     posts = cut(posts.join(able, "id"))
 
     joined, links = spark.createDataFrame([], "id binary, root binary"), spark.createDataFrame([], "a binary, b binary")
@@ -421,15 +443,18 @@ def line_classes(docs: DataFrame) -> DataFrame:
     for _ in range(HUB_ROUNDS):
         open_ = _open(posts, joined)
         used = tested.select(F.col("b").alias("id")).distinct()
-        best = F.min(F.struct(F.expr("-round(left / n, 6)").alias("share"), "id", "part", "n", "left", "root")).alias("h")
-        hubs = open_.join(used, "id", "left_anti").groupBy("key").agg(best)
+        rank = Window.partitionBy("key").orderBy(F.expr("round(left / n, 6)").desc(), "id")
+        hubs = open_.join(used, "id", "left_anti").withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= HUBS)
+        hubs = hubs.select("key", F.struct("id", "part", "n", "left", "root", *_SKETCH).alias("h"))
         met = open_.join(hubs, "key").where("root <> h.root").where(_may("", "h."))
         pairs = cut(_untested(met.select("part", F.col("id").alias("a"), F.col("h.part").alias("b_part"), F.col("h.id").alias("b")), tested))
         links, tested = cut(links.union(_links(nodes, pairs, n))), tested.union(pairs)
         joined = cut(components(links).withColumnRenamed("node", "id"))
-    open_ = _open(posts, joined)
+    size = joined.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    open_ = cut(_open(posts, joined).join(size, "root", "left").withColumn("size", F.coalesce("size", F.lit(1))))
     x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, F.expr("x.key = y.key and x.id < y.id and x.root <> y.root") & _may("x.", "y."))
+    bigger = "x.key = y.key and x.root <> y.root and (x.size > y.size or x.size = y.size and x.id < y.id)"
+    rest = x.join(y, F.expr(bigger) & _may("x.", "y."))
     rest = cut(_untested(rest.select(F.col("x.part").alias("part"), F.col("x.id").alias("a"), F.col("y.part").alias("b_part"), F.col("y.id").alias("b")), tested))
     return components(links.union(_links(nodes, rest, n))).select(F.col("node").alias("id"), "root")
 
