@@ -295,7 +295,7 @@ def _node_rows(batches):
 
 _TOKENS = "part int, source int, steps binary, tokens binary"
 _ALONE = "part int, nths binary, counts binary"
-_ABLE = "part int, id binary, n int, " + ", ".join(f"{s} long" for s in _SKETCH) + ", left int"
+_ABLE = "id binary, node long, n int, " + ", ".join(f"{s} long" for s in _SKETCH) + ", left int"
 
 
 def _token_blocks(n_parts: int):
@@ -360,50 +360,56 @@ def _able(batches):
     for r in told:
         own[np.frombuffer(r["nths"], np.uint32)] += np.frombuffer(r["counts"], np.uint32)
     n = t["n"].to_numpy().astype(np.int64)
-    t = t.select(["part", "id", "n", *_SKETCH]).append_column("left", pa.array((n - own[nth]).astype(np.int32)))
+    node = t["part"].to_numpy().astype(np.int64) << 32 | nth
+    t = t.append_column("node", pa.array(node)).append_column("left", pa.array((n - own[nth]).astype(np.int32)))
+    t = t.select(["id", "node", "n", *_SKETCH, "left"])
     yield from t.filter(pa.array(DEN * (n - own[nth]) >= NUM * n)).to_batches(10_000)
 
 
 # -- 3 and 4: pairs --------------------------------------------------------------------------
 
-_PAIR = ["part", "a", "b_part", "b"]
+def _node(part: str = "part", nth: str = "nth"):
+    """A line's number: its part and its place there, as the checkpoint of the lines has them."""
+    return F.shiftleft(F.col(part).cast("long"), 32) + F.col(nth)
+
+
+def _part(node: str):
+    return F.shiftright(node, 32).cast("int")
 
 
 def _verify(batches):
     """Pairs of a part (a in the part, b sent to it) that are similar enough."""
-    here, sent, pairs = {}, {}, []
+    texts, pairs = {}, []
     K.release()
     for b in batches:
-        for kind, id_, other, line in zip(*(K.column(b, c).to_pylist() for c in ("kind", "id", "b", "line")), strict=True):
-            if kind == 2:
-                pairs.append((id_, other))
+        for node, other, line in zip(*(K.column(b, c).to_pylist() for c in ("node", "other", "line")), strict=True):
+            if other is None:
+                texts[node] = line
             else:
-                (here if kind == 0 else sent)[id_] = line
+                pairs.append((node, other))
     pairs.sort()
     for i in range(0, len(pairs), TESTED):
         some = pairs[i : i + TESTED]
-        lines = {a: here[a] for a, _ in some} | {b: sent[b] for _, b in some}
+        lines = {x: texts[x] for pair in some for x in pair}
         h, at = sets(pa.array(lines.values(), pa.large_string()))
-        of = {id_: h[x:y] for id_, x, y in zip(lines, at[:-1].tolist(), at[1:].tolist(), strict=True)}
+        of = {node: h[x:y] for node, x, y in zip(lines, at[:-1].tolist(), at[1:].tolist(), strict=True)}
         found = []
         for a, b in some:
             low, high = (of[a], of[b]) if len(of[a]) < len(of[b]) else (of[b], of[a])
             both = np.count_nonzero(high[np.minimum(high.searchsorted(low), len(high) - 1)] == low)
             if (DEN + NUM) * both >= NUM * (len(low) + len(high)):
                 found.append((a, b))
-        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.binary()), "b": pa.array([b for _, b in found], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 def _links(nodes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """Links among the candidate pairs (part and id of a, part and id of b)."""
-    text = nodes.select("part", "id", "line")
-    none = F.lit(None).cast("binary").alias("b")
-    own = text.join(pairs.select("part", F.col("a").alias("id")).distinct(), ["part", "id"], "left_semi")
-    own = own.select("part", F.lit(0).alias("kind"), "id", none, "line")
-    asked = pairs.select("part", "b_part", F.col("b").alias("id")).distinct().join(text.withColumnRenamed("part", "b_part"), ["b_part", "id"])
-    asked = asked.select("part", F.lit(1).alias("kind"), "id", none, "line")
-    pairs = pairs.select("part", F.lit(2).alias("kind"), F.col("a").alias("id"), "b", F.lit(None).cast("string").alias("line"))
-    return own.union(asked).union(pairs).repartitionById(n, F.col("part")).mapInArrow(_verify, "a binary, b binary")
+    """Links among the candidate pairs of nodes; b's text goes to a's part."""
+    text = nodes.select(_node().alias("node"), "line")
+    none = F.lit(None).cast("long").alias("other")
+    needed = pairs.select(F.col("a").alias("node"), _part("a").alias("part")).union(pairs.select(F.col("b").alias("node"), _part("a").alias("part")))
+    texts = needed.distinct().join(text, "node").select("part", "node", none, "line")
+    pairs = pairs.select(_part("a").alias("part"), F.col("a").alias("node"), F.col("b").alias("other"), F.lit(None).cast("string").alias("line"))
+    return texts.union(pairs).repartitionById(n, F.col("part")).mapInArrow(_verify, "a long, b long")
 
 
 def _may(x: str, y: str):
@@ -414,14 +420,14 @@ def _may(x: str, y: str):
 
 def _open(posts: DataFrame, joined: DataFrame) -> DataFrame:
     """Posts with roots, of the keys whose lines are in several components."""
-    rooted = cut(posts.join(joined, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    rooted = cut(posts.join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     return cut(rooted.join(several, "key", "left_semi"))
 
 
 def _untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
-    again = tested.select(*_PAIR).union(tested.select("b_part", "b", "part", "a"))
-    return pairs.distinct().join(again, _PAIR, "left_anti").select(*_PAIR)
+    again = tested.select("a", "b").union(tested.select("b", "a"))
+    return pairs.distinct().join(again, ["a", "b"], "left_anti")
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
@@ -435,28 +441,29 @@ def line_classes(docs: DataFrame) -> DataFrame:
     nodes = cut(texts.repartitionById(n, F.col("part")).sortWithinPartitions("id").mapInArrow(_node_rows, _NODE))
     told = nodes.mapInArrow(_token_blocks(n), _TOKENS).repartitionById(n, F.col("part")).mapInArrow(_alone, _ALONE)
     both = nodes.drop("line").unionByName(told, allowMissingColumns=True)
-    able = cut(both.repartitionById(n, F.col("part")).mapInArrow(_able, _ABLE))
-    posts = cut(posts.join(able, "id"))
+    able = both.repartitionById(n, F.col("part")).mapInArrow(_able, _ABLE)
+    posts = cut(posts.join(able, "id").drop("id"))
 
-    joined, links = spark.createDataFrame([], "id binary, root binary"), spark.createDataFrame([], "a binary, b binary")
-    tested = spark.createDataFrame([], "part int, a binary, b_part int, b binary")
+    joined, links = spark.createDataFrame([], "node long, root long"), spark.createDataFrame([], "a long, b long")
+    tested = links
     for _ in range(HUB_ROUNDS):
         open_ = _open(posts, joined)
-        used = tested.select(F.col("b").alias("id")).distinct()
-        rank = Window.partitionBy("key").orderBy(F.expr("round(left / n, 6)").desc(), "id")
-        hubs = open_.join(used, "id", "left_anti").withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= HUBS)
-        hubs = hubs.select("key", F.struct("id", "part", "n", "left", "root", *_SKETCH).alias("h"))
+        used = tested.select(F.col("b").alias("node")).distinct()
+        rank = Window.partitionBy("key").orderBy(F.expr("round(left / n, 6)").desc(), "node")
+        hubs = open_.join(used, "node", "left_anti").withColumn("nth", F.row_number().over(rank)).where(F.col("nth") <= HUBS)
+        hubs = hubs.select("key", F.struct("node", "n", "left", "root", *_SKETCH).alias("h"))
         met = open_.join(hubs, "key").where("root <> h.root").where(_may("", "h."))
-        pairs = cut(_untested(met.select("part", F.col("id").alias("a"), F.col("h.part").alias("b_part"), F.col("h.id").alias("b")), tested))
+        pairs = cut(_untested(met.select(F.col("node").alias("a"), F.col("h.node").alias("b")), tested))
         links, tested = cut(links.union(_links(nodes, pairs, n))), tested.union(pairs)
-        joined = cut(components(links).withColumnRenamed("node", "id"))
+        joined = cut(components(links))
     size = joined.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     open_ = cut(_open(posts, joined).join(size, "root", "left").withColumn("size", F.coalesce("size", F.lit(1))))
     x, y = open_.alias("x"), open_.alias("y")
-    bigger = "x.key = y.key and x.root <> y.root and (x.size > y.size or x.size = y.size and x.id < y.id)"
+    bigger = "x.key = y.key and x.root <> y.root and (x.size > y.size or x.size = y.size and x.node < y.node)"
     rest = x.join(y, F.expr(bigger) & _may("x.", "y."))
-    rest = cut(_untested(rest.select(F.col("x.part").alias("part"), F.col("x.id").alias("a"), F.col("y.part").alias("b_part"), F.col("y.id").alias("b")), tested))
-    return components(links.union(_links(nodes, rest, n))).select(F.col("node").alias("id"), "root")
+    rest = cut(_untested(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")), tested))
+    classes = components(links.union(_links(nodes, rest, n)))
+    return nodes.select(_node().alias("node"), "id").join(classes, "node").select("id", "root")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
