@@ -239,6 +239,22 @@ def test_bands_have_high_recall(spark):
     assert all(got[2 * i + 1] == text[2 * i + 1] for i in range(120) if i not in near)
 
 
+@pytest.mark.parametrize(("size", "common"), [(9, 8), (18, 16), (180, 160), (900, 800)])
+def test_sketches_pass_lines_that_link(size, common):
+    rng, sets = np.random.default_rng(3), []
+    for _ in range(1000):
+        both = rng.integers(0, 2**64, common, dtype=np.uint64)
+        sets += [np.concatenate([both, rng.integers(0, 2**64, size - common, dtype=np.uint64)]) for _ in range(2)]
+    got = line_dedup.sketches(np.concatenate(sets), np.arange(len(sets) + 1) * size)
+    apart = np.bitwise_count(got[::2] ^ got[1::2]).sum(axis=1)
+    assert (apart > line_dedup.FAR).sum() <= 1  # at the least similarity that links
+    assert abs(apart.mean() - 0.1 * line_dedup.BITS) < 1
+    strangers = np.bitwise_count(got[:-2:2] ^ got[2::2]).sum(axis=1)
+    assert (strangers <= line_dedup.FAR).sum() == 0
+    alone = [line_dedup.sketches(x, np.array([0, size])) for x in sets[:20]]
+    assert (np.concatenate(alone) == got[:20]).all()
+
+
 def test_repetitive_lines_of_different_lengths(spark):
     rng = random.Random(6)
     saying = " ".join(f"word{rng.randrange(1000)}" for _ in range(32))  # over 200 distinct shingles
