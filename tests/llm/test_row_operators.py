@@ -51,6 +51,29 @@ def test_preferences_are_logistic_in_differences():
     assert m.weights[0] > 1 and m.weights[3] < -0.4 and ((m.score(x) >= 0.5) == y).mean() > 0.97
 
 
+def test_all_pairs_and_rows_are_fitted(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, len(classifier.FEATURES)))
+    y = (x[:, 0] - 0.5 * x[:, 3] + rng.normal(size=300) > 0.3).astype(int)
+    m = classifier.BradleyTerry(x, y)
+    z, w = m._z(x), np.zeros(x.shape[1])
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, x.shape[1])  # every pair
+    for _ in range(20):
+        p = 1 / (1 + np.exp(-diff @ w))
+        w -= np.linalg.solve((diff * (p * (1 - p))[:, None]).T @ diff / len(diff) + classifier.RIDGE * np.eye(len(w)), diff.T @ (p - 1) / len(diff) + classifier.RIDGE * w)
+    assert np.abs(m.weights - w).max() < 1e-3 and abs(m.cut - np.quantile(z @ m.weights, (y == 0).mean())) < 1e-12
+    monkeypatch.setattr(classifier, "FEW", 3)
+    assert classifier.BradleyTerry(x, y).cut == m.cut
+    frame = spark.createDataFrame([(int(q), r.tolist()) for q, r in zip(y, x)], "quality int, x array<double>").repartition(3)
+    other = classifier.BradleyTerry(classifier._Spread(frame))
+    assert np.abs(other.weights - m.weights).max() < 1e-9 and abs(other.cut - m.cut) < 1e-9
+    # beyond the size of the former sample each row still counts
+    n = 21_000
+    x, y = rng.normal(size=(n, len(classifier.FEATURES))), np.arange(n) % 2
+    x[-500:, 5] += 40.0 * y[-500:]
+    assert classifier.BradleyTerry(x, y).mean[5] > 0.4
+
+
 def test_classifier_without_both_labels_and_on_odd_texts(spark):
     lab = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (6, None, 0), (9, 0, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
     got = classifier.classify(docs_only(documents(spark)), classifier.fit(documents(spark), lab)).collect()
