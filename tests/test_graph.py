@@ -116,6 +116,27 @@ def test_known_centralities(spark):
     assert ci[0] == 3 * 3 * 2 and values(centrality.collective_influence(star))[1] == 0
 
 
+def test_searches_stay_in_their_component(monkeypatch):
+    rng = np.random.default_rng(5)
+    one = np.unique(np.sort(rng.integers(0, 30, (60, 2)), axis=1), axis=0)
+    one = one[one[:, 0] < one[:, 1]]
+    u, v = np.vstack([one + 100 * k for k in range(3)] + [[[900, 901]]]).T
+    g = CSR(np.append(u, v), np.append(v, u))
+    alone = CSR(np.append(*one.T), np.append(*one.T[::-1]))
+    sizes = []
+    plain = CSR.dependencies
+    monkeypatch.setattr(CSR, "dependencies", lambda self, s: sizes.append(self.n) or plain(self, s))
+    total = np.zeros(g.n)
+    for at, own, nodes, part in g.by_component(np.arange(g.n)):
+        for a, s in zip(at, own):
+            got = part.dependencies(int(s))
+            total[nodes] += got
+            assert np.allclose(plain(g, int(a))[nodes], got)
+        assert all(np.array_equal(x[at], y) for x, y in zip(g.sums(np.arange(g.n)), part.sums(own)))
+    assert max(sizes) <= alone.n < g.n and sum(sizes) < g.n * g.n
+    assert np.allclose(total[: alone.n], sum(plain(alone, s) for s in range(alone.n)))
+
+
 def test_components_of_different_sizes_in_mean_path():
     u, v = np.array([0, 1, 5, 6, 7]), np.array([1, 2, 6, 7, 5])
     assert CSR(np.append(u, v), np.append(v, u)).path_length() == pytest.approx(4 / 3)  # equal sizes: that of node 0
