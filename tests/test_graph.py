@@ -150,6 +150,22 @@ def test_cosine_ties_zero_vectors_and_blocks(spark):
     assert {(r["i"], r["j"]) for r in similarity.cosine_topk(df, 1, block_rows=2).collect()} == set(one)
 
 
+def test_equal_vectors_are_compared_once(spark):
+    rng = np.random.default_rng(8)
+    kinds = [[float(v) for v in r] for r in rng.integers(0, 3, (9, 3))]
+    x = {int(i): kinds[int(i) % 9] for i in rng.permutation(200)[:90]} | {500: [0.3, 0.1, 7.0]}
+    df = spark.createDataFrame(list(x.items()), "node_id long, x array<double>")
+    rows, members = similarity._classes(df, 4)
+    assert rows.where("node_id = first").count() == members.count() == len({tuple(v) for v in x.values()})
+    cos = lambda a, b: round(min(1.0, max(0.0, float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b) or 1)))), 9)
+    want = {}
+    for i, a in x.items():
+        best = sorted((-cos(a, b), j) for j, b in x.items() if j != i)[:4]
+        want |= {(i, j): -w for w, j in best if w < 0}
+    for size in (similarity.BLOCK_ROWS, 3):
+        assert {(r["i"], r["j"]): r["w"] for r in similarity.cosine_topk(df, 4, block_rows=size).collect()} == want
+
+
 def test_augmented_graph_is_the_matrix_construction(spark):
     adj = made(spark, BARBELL)
     wk = np.zeros((8, 8))
