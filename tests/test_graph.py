@@ -137,6 +137,24 @@ def test_searches_stay_in_their_component(monkeypatch):
     assert np.allclose(total[: alone.n], sum(plain(alone, s) for s in range(alone.n)))
 
 
+def test_path_disruption_searches_balls_only(monkeypatch):
+    rng = np.random.default_rng(7)
+    pairs = np.unique(np.sort(rng.integers(0, 300, (420, 2)), axis=1), axis=0)
+    u, v = np.vstack([pairs[pairs[:, 0] < pairs[:, 1]], [[0, i] for i in range(200, 290)]]).T
+    pairs = np.unique(np.column_stack([u, v]), axis=0).T
+    g = CSR(np.append(*pairs), np.append(*pairs[::-1]))
+    plain, searched = CSR.spread, []
+    for depth in (1, 2):
+        near = [np.unique(np.concatenate([[c], *[np.flatnonzero(f) for _, f in g.distances(np.array([c]), depth)]])) for c in range(g.n)]
+        want = [influence._disruption(g.induced(x), int(np.searchsorted(x, c))) for c, x in enumerate(near)]
+        monkeypatch.setattr(CSR, "spread", lambda self, bits: searched.append(self is g) or plain(self, bits))
+        for room in (1, 500, 10**6):
+            assert influence._disruptions(g, np.arange(g.n), depth, g.walks(depth + 1), room).tolist() == want
+        monkeypatch.setattr(CSR, "spread", plain)
+        assert max(map(len, near)) > 64  # more sources than bits
+    assert searched and not any(searched)
+
+
 def test_components_of_different_sizes_in_mean_path():
     u, v = np.array([0, 1, 5, 6, 7]), np.array([1, 2, 6, 7, 5])
     assert CSR(np.append(u, v), np.append(v, u)).path_length() == pytest.approx(4 / 3)  # equal sizes: that of node 0
