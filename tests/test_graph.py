@@ -351,3 +351,47 @@ def test_pair_table_has_quintiles(spark):
     assert len(got) == 30 and {r["quintile"] for r in got} == {1, 2, 3, 4, 5}
     for q in range(1, 5):
         assert max(r["CI"] for r in got if r["quintile"] == q) < min(r["CI"] for r in got if r["quintile"] == q + 1)
+
+
+def test_cascade_shares_one_graph(spark, monkeypatch):
+    from spreadrank.operators import experiments
+
+    rng = np.random.default_rng(3)
+    pairs = [(0, 1), (1, 2), (3, 4), *{tuple(sorted(map(int, rng.choice(np.arange(5, 30), 2, replace=False)))) for _ in range(40)}]
+    edges = spark.createDataFrame(pairs, "u long, v long")
+    order = {"A": [1, 4, 3, 12, 20], "B": [0, 12, 2, 20, 7]}
+    scores = spark.createDataFrame([(m, x, float(-i)) for m, xs in order.items() for i, x in enumerate(xs)], "method string, node_id long, score double")
+    made, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(isinstance(value, CSR)) or broadcast(self, value))
+    got = {(r["method"], r["k"]): r["reduction"] for r in experiments.cascading_removal(edges, scores, 5, rate=0.4, runs=6).collect()}
+    assert sum(made) == 1
+
+    def final(pairs, seeds):
+        known = {x for p in pairs for x in p}
+        size = 0
+        for run in range(6):
+            hit = front = set(seeds) & known
+            for _ in range(20):
+                tries = {(x, y) for p in pairs for x, y in (p, p[::-1]) if x in front and y not in hit}
+                front = {y for x, y in tries if coin(x, y, run) < int(np.floor(0.4 * 2147483647))}
+                hit = hit | front
+            size += len(hit)
+        return size / 6 if set(seeds) & known else None
+
+    for m, xs in order.items():
+        base = final(pairs, xs[:3])
+        for k in range(1, 6):
+            rest = [p for p in pairs if not set(p) & set(xs[:k])]
+            f = final(rest, xs[k:3] if k < 3 else [min(x for p in rest for x in p)])
+            assert got[m, k] == pytest.approx(1.0 if f is None else (base - f) / base)
+    adj, gone = graph.adjacency(edges), spark.createDataFrame([("x", 1), ("x", 12), ("y", 7)], "label string, node_id long")
+    seeds = spread.runs_of(spark.createDataFrame([("x", 0), ("x", 20), ("x", 1), ("y", 0), ("z", 12)], "label string, node_id long"), 4, rate=0.5)
+    rows = [sorted(map(tuple, spread.infections(adj, seeds, broadcast=b, gone=gone).collect())) for b in (True, False)]
+    assert rows[0] == rows[1] and not any(r[0] == "x" and r[2] in (0, 1, 12) for r in rows[0])
+
+
+def test_collective_influence_of_both_forms(spark):
+    rng = np.random.default_rng(8)
+    adj = made(spark, {tuple(map(int, p)) for p in np.sort(rng.integers(0, 60, (150, 2)), axis=1) if p[0] < p[1]})
+    for radius in (1, 2, 3):
+        assert values(centrality.collective_influence(adj, radius)) == values(centrality.collective_influence(adj, radius, broadcast=False))
