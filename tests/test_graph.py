@@ -395,3 +395,12 @@ def test_collective_influence_of_both_forms(spark):
     adj = made(spark, {tuple(map(int, p)) for p in np.sort(rng.integers(0, 60, (150, 2)), axis=1) if p[0] < p[1]})
     for radius in (1, 2, 3):
         assert values(centrality.collective_influence(adj, radius)) == values(centrality.collective_influence(adj, radius, broadcast=False))
+
+
+def test_cores_and_pagerank_of_both_forms(spark):
+    rng = np.random.default_rng(9)
+    adj = made(spark, {tuple(map(int, p)) for p in np.sort(rng.integers(0, 80, (300, 2)), axis=1) if p[0] < p[1]} | {(100 + i, 101 + i) for i in range(40)})
+    assert values(features.core_numbers(adj), "core") == values(features.core_numbers(adj, broadcast=False), "core")
+    for rounds, tol in ((5, None), (50, 1e-5)):
+        a, b = (values(features.pagerank(adj, max_iter=rounds, tol=tol, broadcast=x), "pagerank") for x in (True, False))
+        assert a.keys() == b.keys() and all(a[x] == pytest.approx(b[x], rel=1e-12) for x in a)
