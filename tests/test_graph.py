@@ -9,6 +9,7 @@ import pytest
 from spreadrank.functions.csr import CSR
 from spreadrank.functions.rand import coin, coin_sql
 from spreadrank.functions.scale import minmax
+from spreadrank.functions.session import cut
 from spreadrank.operators import centrality, evaluate, features, graph, influence, learn, report, similarity, spread
 from spreadrank.sources import edges as source
 from spreadrank.sources import sinks
@@ -137,6 +138,35 @@ def test_searches_stay_in_their_component(monkeypatch):
     assert np.allclose(total[: alone.n], sum(plain(alone, s) for s in range(alone.n)))
 
 
+def _odd_graph(spark):
+    """A random part, a clique of 70 (more than 64 sources in a neighbourhood), a star and an edge alone."""
+    rng = np.random.default_rng(11)
+    pairs = [sorted(x) for x in rng.integers(0, 40, (90, 2)).tolist() if x[0] != x[1]]
+    pairs += [[100 + a, 100 + b] for a in range(70) for b in range(a + 1, 70)] + [[0, i] for i in range(40, 90)] + [[900, 901]]
+    pairs = sorted({tuple(x) for x in pairs})
+    return cut(spark.createDataFrame([p for u, v in pairs for p in ((u, v), (v, u))], "u long, v long"))
+
+
+def test_neighbourhoods_are_searched_without_joins(spark, monkeypatch):
+    adj = _odd_graph(spark)
+    forms = (features.clustering, features.local_efficiency, lambda a, **x: features.local_efficiency(a, "standard", **x))
+    want = [{r[0]: r[1] for r in f(adj, broadcast=False).collect()} for f in forms]
+    monkeypatch.setattr(features, "triangles", None)
+    for f, b in zip(forms, want):
+        a = {r[0]: r[1] for r in f(adj).collect()}
+        assert a.keys() == b.keys() and all(a[x] == pytest.approx(b[x], abs=1e-12) for x in b)
+
+
+def test_semilocal_influence_from_balls(spark, monkeypatch):
+    adj = _odd_graph(spark)
+    ga = spark.createDataFrame([(0, 0, 0.9), (0, 41, 0.5), (0, 101, 0.3), (41, 42, 0.0), (41, 43, None), (41, 0, 0.25), (100, 169, 2.0), (5, 12345, 0.7)], "i long, j long, w double")
+    want = [{r[0]: r[1] for r in influence.semilocal_influence(adj, ga, depth=d, broadcast=False).collect()} for d in (1, 2, 3)]
+    monkeypatch.setattr(influence, "hop_layers", None)
+    for d, b in zip((1, 2, 3), want):
+        a = {r[0]: r[1] for r in influence.semilocal_influence(adj, ga, depth=d).collect()}
+        assert a.keys() == b.keys() and all(a[x] == pytest.approx(b[x]) for x in b)
+
+
 def test_path_disruption_searches_balls_only(monkeypatch):
     rng = np.random.default_rng(7)
     pairs = np.unique(np.sort(rng.integers(0, 300, (420, 2)), axis=1), axis=0)
