@@ -138,6 +138,15 @@ def test_searches_stay_in_their_component(monkeypatch):
     assert np.allclose(total[: alone.n], sum(plain(alone, s) for s in range(alone.n)))
 
 
+def test_levels_are_bytes_while_they_fit():
+    path = CSR(np.append(np.arange(299), np.arange(1, 300)), np.append(np.arange(1, 300), np.arange(299)))
+    far = path.levels(np.array([0, 150]))
+    assert np.array_equal(far[0], np.arange(300)) and np.array_equal(far[1], np.abs(np.arange(300) - 150))
+    assert np.array_equal(path.all_dependencies(np.arange(300)), 2.0 * np.arange(300) * np.arange(299, -1, -1))
+    short = path.induced(np.arange(127))
+    assert short.levels(np.array([0])).itemsize == 1 and short.levels(np.array([0]))[0].tolist() == list(range(127))
+
+
 def _odd_graph(spark):
     """A random part, a clique of 70 (more than 64 sources in a neighbourhood), a star and an edge alone."""
     rng = np.random.default_rng(11)
