@@ -443,3 +443,31 @@ def test_cores_and_pagerank_of_both_forms(spark):
     for rounds, tol in ((5, None), (50, 1e-5)):
         a, b = (values(features.pagerank(adj, max_iter=rounds, tol=tol, broadcast=x), "pagerank") for x in (True, False))
         assert a.keys() == b.keys() and all(a[x] == pytest.approx(b[x], rel=1e-12) for x in a)
+
+
+def test_betweenness_and_closeness_share_a_search(spark, monkeypatch):
+    g = made(spark, PATH + [(20, 21), (21, 22), (20, 22), (22, 23)])
+    alone = {("BC", r.node_id): r.value for r in centrality.betweenness(g).collect()} | {("CC", r.node_id): r.value for r in centrality.closeness(g).collect()}
+    monkeypatch.setattr(centrality, "betweenness", None)
+    monkeypatch.setattr(centrality, "closeness", None)
+    got = {(r.method, r.node_id): r.score for r in centrality.all_baselines(g, methods=("BC", "CC")).collect()}
+    assert got == pytest.approx(alone) and got.keys() == alone.keys()
+
+
+def test_steps_of_deep_and_shallow_searches_agree():
+    rng = np.random.default_rng(3)
+    u, v = np.arange(400), np.where(np.arange(400) < 250, np.arange(400) + 1, rng.integers(0, 250, 400))  # a tail of 250 steps and a bush
+    g = CSR(np.append(u, v), np.append(v, u))
+    total, count, far = g.all_searches(np.arange(g.n))
+    dist = np.vstack([g.levels(np.arange(i, min(i + 64, g.n))).astype(int) for i in range(0, g.n, 64)])
+    assert 126 < dist.max() and np.array_equal(count, (dist > 0).sum(axis=1)) and np.array_equal(far, np.where(dist > 0, dist, 0).sum(axis=1))
+    assert np.isclose(total.sum(), np.where(dist > 0, dist - 1, 0).sum())  # a pair at distance d has d - 1 nodes between
+
+
+def test_scores_of_a_sample_are_those_of_all_nodes(spark):
+    g, asked = made(spark, BARBELL), spark.createDataFrame([(1,), (5,)], "node_id long")
+    rows = lambda df: {(r.method, r.node_id): r.score for r in df.collect()}
+    whole = rows(centrality.all_baselines(g))
+    some = rows(centrality.all_baselines(g, of=asked))
+    assert some == pytest.approx({k: x for k, x in whole.items() if k[1] in (1, 5)}) and len(some) == 12
+    assert {r.node_id for r in centrality.collective_influence(g, of=asked).collect()} == {1, 5}
