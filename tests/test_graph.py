@@ -471,3 +471,20 @@ def test_scores_of_a_sample_are_those_of_all_nodes(spark):
     some = rows(centrality.all_baselines(g, of=asked))
     assert some == pytest.approx({k: x for k, x in whole.items() if k[1] in (1, 5)}) and len(some) == 12
     assert {r.node_id for r in centrality.collective_influence(g, of=asked).collect()} == {1, 5}
+
+
+def test_twins_are_searched_once():
+    rng = np.random.default_rng(5)
+    star, full = [(0, i) for i in range(1, 6)], [(i, j) for i in range(10, 15) for j in range(10, i)]
+    for pairs, nodes, inside in ((star, 2, 40), (full, 1, 20), (star + full, 3, 60), ([(0, 1), (1, 2), (2, 3), (3, 0)], 2, 8)):
+        u, v = np.array(pairs).T
+        g, size, sums = CSR(np.append(u, v), np.append(v, u)).folded()
+        assert g.n == nodes and sums.sum() == inside and size.sum() == len(np.unique(pairs))
+    for _ in range(20):  # cliques that overlap, as orders do
+        orders = [rng.choice(25, rng.integers(2, 5), replace=False) for _ in range(12)]
+        u, v = np.array(sorted({(min(a, b), max(a, b)) for o in orders for a in o for b in o if a != b})).T
+        g = CSR(np.append(u, v), np.append(v, u))
+        for depth in (1, 2):
+            keys = g.balls(np.arange(g.n), depth)
+            got = g.side_by_side(keys).path_lengths(g.n, g.n)
+            assert np.array_equal(got, [g.induced(keys[keys // g.n == c] % g.n).path_length() for c in range(g.n)])
