@@ -488,3 +488,10 @@ def test_twins_are_searched_once():
             keys = g.balls(np.arange(g.n), depth)
             got = g.side_by_side(keys).path_lengths(g.n, g.n)
             assert np.array_equal(got, [g.induced(keys[keys // g.n == c] % g.n).path_length() for c in range(g.n)])
+
+
+def test_balls_do_not_hash_their_nodes(monkeypatch):
+    g = CSR(*np.array([p for a, b in BARBELL for p in ((a, b), (b, a))]).T)
+    want = [np.unique(np.concatenate([[c], *[g.tail[g.at[x] : g.at[x + 1]] for x in (c, *g.tail[g.at[c] : g.at[c + 1]])]])) + c * g.n for c in range(g.n)]
+    monkeypatch.setattr(np, "unique", None)
+    assert np.array_equal(g.balls(np.arange(g.n), 2), np.concatenate(want)) and not len(g.balls(np.zeros(0, np.int64), 2))
