@@ -454,6 +454,26 @@ def test_betweenness_and_closeness_share_a_search(spark, monkeypatch):
     assert got == pytest.approx(alone) and got.keys() == alone.keys()
 
 
+def test_a_task_of_the_search_gives_rows_of_its_own_components_only(spark, monkeypatch):
+    cliques = made(spark, [(10 * c + i, 10 * c + j) for c in range(40) for i in range(4) for j in range(i)] + PATH)
+    want = {("BC", x): s for x, s in values(centrality.betweenness(cliques, broadcast=False)).items()} | {("CC", x): s for x, s in values(centrality.closeness(cliques, broadcast=False)).items()}
+    searched, rows = centrality._searched, []
+    monkeypatch.setattr(centrality, "_searched", lambda *a: rows.append(cut(searched(*a))) or rows[-1])
+    got = {(r.method, r.node_id): r.value for r in centrality.betweenness_and_closeness(cliques).collect()}
+    assert got == pytest.approx(want) and got.keys() == want.keys()
+    n, tasks = len(want) // 2, 2 * spark.sparkContext.defaultParallelism
+    assert rows[0].count() <= n + tasks * 5  # a component may end in another share; each task once gave a row of every node
+
+
+def test_shares_hold_every_node_once():
+    u, v = np.array([(10 * c + i, 10 * c + j) for c in range(7) for i in range(5) for j in range(i)]).T
+    g = CSR(np.append(u, v), np.append(v, u))
+    for of in (1, 3, 40):
+        parts = [(nodes[own], nodes, piece) for i in range(of) for own, nodes, piece in g.share(i, of)]
+        assert np.array_equal(np.sort(np.concatenate([x for x, _, _ in parts])), np.arange(g.n))
+        assert all(np.array_equal(nodes[piece.tail], np.concatenate([g.tail[g.at[x] : g.at[x + 1]] for x in nodes])) for _, nodes, piece in parts)
+
+
 def test_steps_of_deep_and_shallow_searches_agree():
     rng = np.random.default_rng(3)
     u, v = np.arange(400), np.where(np.arange(400) < 250, np.arange(400) + 1, rng.integers(0, 250, 400))  # a tail of 250 steps and a bush
